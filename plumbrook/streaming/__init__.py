@@ -1,0 +1,5 @@
+"""No operator of this library is a streaming one: each takes a batch DataFrame and returns one.
+
+The mergeable states (log-bucket counts, run counts) can be kept per load and added later, which
+is how results of successive loads are combined here.
+"""
