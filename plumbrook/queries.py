@@ -5,6 +5,80 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbrook.operators import drift, rejects
+from plumbrook.sources.folder import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# 5. Rows that fail to parse
+
+
+def _layouts(spark: SparkSession, folder: str) -> DataFrame:
+    return rejects.layouts(table(spark, folder, "file_input"), table(spark, folder, "dq_field"))
+
+
+def _parsed(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
+    return rejects.parse(table(spark, folder, "raw_line"), _layouts(spark, folder), once)
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return rejects.rejected(_parsed(spark, folder)).select("file_id", "line_no", "rule_name").distinct()
+
+
+@query
+def p5_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The rejected records with the reason and the values read so far."""
+    return rejects.rejected(_parsed(spark, folder))
+
+
+@query
+def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    return rejects.loaded(_parsed(spark, folder, once=True))
+
+
+# 3. Schemas that drift between files
+
+
+def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files in order, their layouts, the matches of their fields, and the renames."""
+    files, layout = drift.sequence(table(spark, folder, "file_input")), _layouts(spark, folder)
+    matched = drift.matches(files, layout)
+    renamed = drift.renames(drift.shares(matched, rejects.loaded(_parsed(spark, folder, once=True))))
+    return files, layout, matched, renamed
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, matched, renamed = _drift(spark, folder)
+    return drift.changes(matched, renamed).select("file_id", "change_kind", "field_name").distinct()
+
+
+@query
+def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change with its old and new name or type."""
+    _, _, matched, renamed = _drift(spark, folder)
+    return drift.changes(matched, renamed)
+
+
+@query
+def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of the consistent tables and their types."""
+    files, layout, _, renamed = _drift(spark, folder)
+    return drift.column_types(drift.columns(files, layout, renamed))
+
+
+@query
+def p3_united(spark: SparkSession, folder: str) -> DataFrame:
+    """All valid records of all files as records of the consistent tables."""
+    files, layout, _, renamed = _drift(spark, folder)
+    return drift.unite(rejects.loaded(_parsed(spark, folder, once=True)), drift.columns(files, layout, renamed))
