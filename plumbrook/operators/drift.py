@@ -206,7 +206,9 @@ def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
     both = newer.unionByName(older).groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
     one = both.join(wanted.select("file_id", F.explode("pairs").alias("p")), "file_id")
     at = lambda side, column, no: F.get(F.col(f"{side}.{column}"), F.col(f"p.{no}"))
-    same = at("a", "canonical_values", "old_no").eqNullSafe(at("b", "canonical_values", "new_no")) | at("a", "row_values", "old_no").eqNullSafe(at("b", "row_values", "new_no"))
+    # Where a type changes, a value may be read as a number on one side and as text on the other.
+    text = lambda side, no: F.trim(at(side, "row_values", no))
+    same = at("a", "canonical_values", "old_no").eqNullSafe(at("b", "canonical_values", "new_no")) | text("a", "old_no").eqNullSafe(text("b", "new_no"))
     return one.groupBy("file_id", F.col("p.old_name").alias("old_name"), F.col("p.new_name").alias("new_name"), F.col("p.score").alias("score")).agg(
         F.count(F.lit(1)).alias("shared_records"), F.count_if(same).alias("same_values")
     )
