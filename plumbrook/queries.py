@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrook.operators import drift, rejects
-from plumbrook.sources.folder import table
+from plumbrook.operators import drift, load_profile, rejects
+from plumbrook.sources.folder import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,73 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+# 2. Column-level data quality profile
+
+PROFILED = ["customer_id", "item_id", "amount", "cost_cents", "status_code", "zone_code", "ref_code", "measure", "ordered_on"]
+PERCENTS = [5, 25, 50, 75, 95]
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return load_profile.findings(table(spark, folder, "dq_record"), "load_id", table(spark, folder, "dp_column"), table(spark, folder, "dq_violation"))
+
+
+@query
+def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls, distinct values and range of every column of every load."""
+    return load_profile.profile(table(spark, folder, "dq_record"), PROFILED, "load_id")
+
+
+@query
+def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact percentiles of every column of every load."""
+    records = table(spark, folder, "dq_record")
+    plans = load_profile.plan_columns(records, PROFILED)
+    placed = load_profile.curves(load_profile.ranged(load_profile.value_runs(records, plans, "load_id")), shared_folder(spark, "curves"))
+    q = load_profile.named(load_profile.quantiles(placed, PERCENTS), plans)
+    return q.select("load_id", "column_name", F.col("pct").cast("int").alias("pct"), load_profile.shown(F.col("kind"), F.col("ordinal"), F.col("text")).alias("value"))
+
+
+@query
+def p2_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact Kolmogorov-Smirnov distance of every column of every load to the load before it."""
+    return load_profile.distances(table(spark, folder, "dq_record"), PROFILED, "load_id")
+
+
+def _unpivoted(numeric: bool = False) -> str:
+    """One row per stored row and profiled column; v is null where a value is not present."""
+    parts = []
+    for name in PROFILED:
+        text = name in ("customer_id", "item_id", "status_code", "zone_code", "ref_code")
+        v = f"CASE WHEN trim({name}, ' ') <> '' THEN {name} END" if text else f"CAST({name} AS VARCHAR)"
+        x = "NULL" if text else f"CAST({name} - DATE '1970-01-01' AS DOUBLE)" if name == "ordered_on" else f"CAST({name} AS DOUBLE) + 0.0"
+        k = f"CASE WHEN trim({name}, ' ') <> '' THEN {name} END" if text else f"CAST({x} AS VARCHAR)"
+        parts.append(f"SELECT load_id, '{name}' AS column_name, {v} AS v, CAST({x} AS DOUBLE) AS x, {k} AS k FROM dq_record")
+    return " UNION ALL ".join(parts)
+
+
+SQL["p2_found"] = f"""
+WITH u AS ({_unpivoted()}),
+g AS (SELECT load_id, column_name, COUNT(*) AS r, COUNT(k) AS n, COUNT(DISTINCT k) AS d, MIN(x) AS lo, MAX(x) AS hi FROM u GROUP BY ALL),
+cell AS (SELECT column_name, b.low AS low, b.high AS high, NULL AS item, b.bucket_count AS c FROM (SELECT column_name, unnest(pmf) AS b FROM dp_column)
+  UNION ALL SELECT column_name, NULL, NULL, i.item, i.item_count FROM (SELECT column_name, unnest(items) AS i FROM dp_column)),
+share AS (SELECT *, SUM(c) OVER (PARTITION BY column_name) AS t FROM cell),
+inside AS (SELECT u.load_id, s.column_name, s.low, s.item, COUNT(*) AS m FROM u JOIN share s ON s.column_name = u.column_name AND u.k IS NOT NULL
+  AND (s.item = u.v OR (u.x >= s.low AND u.x < s.high)) GROUP BY ALL),
+dist AS (SELECT g.load_id, g.column_name, SUM(ABS(COALESCE(i.m, 0) * CAST(s.t AS HUGEINT) - s.c * CAST(g.n AS HUGEINT))) + (g.n - SUM(COALESCE(i.m, 0))) * MAX(s.t) AS moved, g.n * MAX(s.t) AS whole
+  FROM g JOIN share s USING (column_name) LEFT JOIN inside i ON i.load_id = g.load_id AND i.column_name = s.column_name AND i.low IS NOT DISTINCT FROM s.low AND i.item IS NOT DISTINCT FROM s.item
+  GROUP BY g.load_id, g.column_name, g.n),
+b AS (SELECT v.load_id, c.column_name, COUNT(DISTINCT v.primary_key) AS k FROM dq_violation v JOIN dp_column c ON lower(trim(v.rule_name)) = lower(trim(c.rule_name)) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN data_type = 'date' THEN CAST(TRY_CAST(min_value AS DATE) - DATE '1970-01-01' AS DOUBLE) ELSE TRY_CAST(min_value AS DOUBLE) END AS lo0,
+  CASE WHEN data_type = 'date' THEN CAST(TRY_CAST(max_value AS DATE) - DATE '1970-01-01' AS DOUBLE) ELSE TRY_CAST(max_value AS DOUBLE) END AS hi0 FROM dp_column)
+SELECT g.load_id, g.column_name, 'null_rate' AS finding FROM g JOIN a USING (column_name) WHERE ABS((g.r - g.n) * a.profiled_count - a.count_nulls * g.r) * 20 > g.r * a.profiled_count
+UNION ALL SELECT g.load_id, g.column_name, 'value_range' FROM g JOIN a USING (column_name) WHERE g.lo < a.lo0 OR g.hi > a.hi0
+UNION ALL SELECT g.load_id, g.column_name, 'distinct_count' FROM g JOIN a USING (column_name) WHERE g.d * 2 < a.count_unique OR g.d > 2 * a.count_unique
+UNION ALL SELECT load_id, column_name, 'drift' FROM dist WHERE moved * 5 > 2 * whole
+UNION ALL SELECT g.load_id, g.column_name, 'violations' FROM g JOIN a USING (column_name) JOIN b ON b.load_id = g.load_id AND b.column_name = g.column_name
+  WHERE (b.k * a.profiled_count - a.count_violations * g.r) * 20 > g.r * a.profiled_count"""
+
+
 # 5. Rows that fail to parse
 
 

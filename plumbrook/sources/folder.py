@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` of the folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for an intermediate table, in the folder all executors share.
+
+    The cluster names that folder in spark.checkpoint.dir; only where it is unset (a local session) is
+    one set, on this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = f"file://{tempfile.mkdtemp()}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
