@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrook.llm import frequent, percentiles
-from plumbrook.sources.folder import table
+from plumbrook.llm import frequent, leaks, mixing, percentiles, repetition
+from plumbrook.sources.folder import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,79 @@ SQL["p4_found"] = f"""{_RANKED}
 SELECT DISTINCT q.group_code, q.pct FROM dp_quantile q JOIN r ON r.group_code IS NOT DISTINCT FROM q.group_code
   AND r.k = GREATEST(1, (q.pct * r.n + 99) // 100)
 WHERE abs(r.v - q.accepted_value) > {TOLERANCE} * abs(q.accepted_value)"""
+
+
+# 6. Evaluation texts in training text
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+@query
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item with the number of documents that hold it."""
+    items = table(spark, folder, "eval_item")
+    found = leaks.leaks(table(spark, folder, "documents"), items).groupBy("eval_id").agg(F.count(F.lit(1)).alias("documents"))
+    return items.join(found, "eval_id", "left").select("eval_id", "suite_name", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+# 7. Mixing sources to target weights
+
+
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents, written once: both the plan and the mix use them."""
+    path = shared_folder(spark, "tokens")
+    counted = mixing.token_counts(table(spark, folder, "documents"))
+    counted.write.parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+@query
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_target")
+    planned = mixing.plan(mixing.token_counts(table(spark, folder, "documents")), targets)
+    short = planned.where("falls_short").select(F.col("source").alias("name"))
+    return targets.join(short, mixing.plain(F.col("source")) == F.col("name"), "left_semi").select("source").distinct()
+
+
+@query
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    counted = _counted(spark, folder)
+    return mixing.mix(counted, mixing.plan(counted, table(spark, folder, "mix_target")))
+
+
+@query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    counted = _counted(spark, folder)
+    planned = mixing.plan(counted, table(spark, folder, "mix_target"))
+    return mixing.actual_shares(mixing.mix(counted, planned), planned)
+
+
+# 8. Repetition inside a document
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.measures(table(spark, folder, "documents"), parts=False).where(repetition.is_repetitive()).select("doc_id")
+
+
+@query
+def p8_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents under risk-controlled cutoffs on repeated sentences and paragraphs, learnt from the word rule."""
+    path = shared_folder(spark, "measures")
+    measured = repetition.measures(table(spark, folder, "documents"))
+    measured.write.parquet(path)
+    measured = spark.read.schema(measured.schema).parquet(path)
+    return repetition.rejected(measured, repetition.sure_cutoffs(repetition.strata(measured)))
+
+
+@query
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of repeated words, sentences and paragraphs of every document."""
+    measured = repetition.measures(table(spark, folder, "documents"))
+    share = F.coalesce(F.col("repeated_words") / F.nullif(F.col("word_count"), F.lit(0)), F.lit(0.0))
+    return measured.select("doc_id", "word_count", share.alias("repeated_share"), "repeated_sentences", "repeated_paragraphs")
