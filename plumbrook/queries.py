@@ -116,11 +116,19 @@ def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
 # 3. Schemas that drift between files
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder: a plan that uses them again starts there."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Files in order, their layouts, the matches of their fields, and the renames."""
-    files, layout = drift.sequence(table(spark, folder, "file_input")), _layouts(spark, folder)
-    matched = drift.matches(files, layout)
-    renamed = drift.renames(drift.shares(matched, rejects.loaded(_parsed(spark, folder, once=True))))
+    """Files in order, their layouts, the matches of their fields, and the renames (rows per file, not per record)."""
+    files, layout = drift.sequence(table(spark, folder, "file_input")), _written(_layouts(spark, folder), "layouts")
+    matched = _written(drift.matches(files, layout), "matches")
+    records = rejects.loaded(rejects.parse(table(spark, folder, "raw_line"), layout, once=True))
+    renamed = _written(drift.renames(drift.shares(matched, records)), "renames")
     return files, layout, matched, renamed
 
 
