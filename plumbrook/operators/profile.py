@@ -7,9 +7,12 @@ list the items, distinct count and discrete distribution are exact, and extras s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +46,7 @@ class ProfileConfig:
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Percentiles by which an approximate distribution is read from a sketch.
-GRID = 500
+GRID = 400
 _ITEM = "array<struct<item:string,count:bigint>>"
 _BUCKET = "array<struct<low:double,high:double,count:bigint>>"
 COLUMN_SCHEMA = (
@@ -131,114 +134,101 @@ def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
     return out
 
 
-def _steps(df: DataFrame, plans: list[_Plan], c: ProfileConfig) -> DataFrame:
-    """The aggregated row with what several fields are made of, each computed once.
+_STATE = (
+    "struct<nulls:bigint,empty:bigint,zeros:bigint,length:bigint,bits:bigint,low:string,high:string,low_number:double,high_number:double,mean:double,n:bigint,valued:bigint,distinct:bigint,"
+    f"items:{_ITEM},quantiles:array<string>,ends:array<double>,grid:array<double>>"
+)
 
-    Projections in steps: Spark does not merge a step into the next where its columns are used twice.
-    """
-    found, exact, items, ends, edges, points = {}, {}, {}, {}, {}, {}
-    for k, plan in enumerate(plans):
-        family = _family(plan.kind)
-        if family in ("string", "integral", "fractional") and c.items > 0:
-            kept = F.col(f"found{k}")
-            found[f"found{k}"] = F.filter(F.col(f"items{k}"), lambda i: i["item"] != "\x00null")
-            # Nothing was dropped from the sketch if its counts add up to all values.
-            held = F.aggregate(kept, F.lit(0).cast("bigint"), lambda n, i: n + i["count"])
-            exact[f"exact{k}"] = (F.size(kept) <= c.items) & (held == F.col(f"valued{k}"))
-            # The largest counts, ties by item, shown in the order of the items.
-            best = F.slice(F.array_sort(F.transform(kept, lambda i: F.struct((-i["count"]).alias("c"), i["item"].alias("i")))), 1, c.items)
-            items[f"shown{k}"] = F.array_sort(F.transform(best, lambda b: F.struct(b["i"].alias("item"), (-b["c"]).alias("count"))))
-        if family in ("integral", "fractional") and c.quantiles:
-            quantile = lambda ranks, k=k: F.call_function("kll_sketch_get_quantile_double", F.col(f"sketch{k}"), F.array(*(F.lit(r) for r in ranks)))
-            some = F.col(f"n{k}") > 0
-            ends[f"ends{k}"] = F.when(some, quantile((0.005, 0.995, *QUANTILES)))
-            if c.pmf_buckets > 0:
-                # The sketch takes constant ranks only, so ranks of bounds are read from a fine grid.
-                ends[f"grid{k}"] = F.when(some, quantile([g / GRID for g in range(GRID)]))
-                low, high = F.get(F.col(f"ends{k}"), F.lit(0)), F.get(F.col(f"ends{k}"), F.lit(1))
-                pad = (high - low) * (0.005 / 0.99)
-                edges[f"start{k}"], edges[f"width{k}"] = low - pad, (high - low + 2 * pad) / c.pmf_buckets
-                # Each percentile's bucket, then how many percentiles lie below each bound: no pass per bucket.
-                points[f"place{k}"] = _places(F.col(f"grid{k}"), F.col(f"start{k}"), F.col(f"width{k}"))
-                if c.items > 0:
-                    numbers = F.transform(F.col(f"shown{k}"), lambda i: F.struct(i["item"].try_cast("double").alias("x"), i["count"].alias("n")))
-                    points[f"points{k}"] = F.array_sort(F.filter(numbers, lambda p: p["x"].isNotNull() & ~F.isnan(p["x"])))
-    for step in (found | ends, exact | items | edges, points):
-        df = df.withColumns(step) if step else df
-    return df
-
-
-def _column(plan: _Plan, c: ProfileConfig, k: int) -> Column:
-    """The profile struct from the aggregated row."""
+
+def _state(plan: _Plan, c: ProfileConfig, k: int, names: set[str]) -> Column:
+    """What the aggregated row holds of one column, in one shape for all kinds; absent parts are null."""
     family = _family(plan.kind)
-    has_items = family in ("string", "integral", "fractional")
-    null = lambda kind: F.lit(None).cast(kind)
-    col = lambda n: F.col(f"{n}{k}")
-    text = {"string": lambda x: x, "integral": lambda x: x.cast("string"), "fractional": lambda x: x.cast(plan.kind if not isinstance(plan.kind, T.DecimalType) else "double").cast("string")}.get(family)
-    with_items = has_items and c.items > 0
-    items, exact = (col("shown"), col("exact")) if with_items else (F.array().cast(_ITEM), F.lit(True))
-    unique = null("bigint")
-    if has_items and c.count_distincts:
-        unique = F.when(exact & F.lit(c.items > 0), F.size(items).cast("bigint")).otherwise(col("distinct"))
-    extras = F.create_map(F.lit("is_exact"), exact.cast("string")) if has_items else F.create_map().cast("map<string,string>")
-    pmf = F.array().cast(_BUCKET)
-    if family in ("integral", "fractional"):
-        if family == "integral":
-            extras = F.map_concat(extras, F.create_map(F.lit("max_length_in_bits"), F.coalesce(col("bits"), F.lit(0)).cast("string")))
-        if c.quantiles:
-            shown = F.concat(F.lit("{"), *(F.concat(F.lit(f"{', ' if j else ''}\"{q:g}\": \""), _plain(F.get(col("ends"), F.lit(j + 2)), family), F.lit('"')) for j, q in enumerate(QUANTILES)), F.lit("}"))
-            extras = F.when(col("n") > 0, F.map_concat(extras, F.create_map(F.lit("quantiles"), shown))).otherwise(extras)
-            if c.pmf_buckets > 0:
-                near = _approximate(col, c.pmf_buckets)
-                pmf = F.when(col("n") == 0, pmf).when(exact & (F.size(items) > 1), _discrete(col("points"))).otherwise(near) if with_items else F.when(col("n") > 0, near).otherwise(pmf)
-    length = null("bigint")
-    kind_name = plan.kind.typeName()
-    if family in ("string", "sized") or plan.inferred:
-        length = col("length")
-    elif family == "integral":
-        length = F.ceil(F.coalesce(col("bits"), F.lit(0)) / 8).cast("bigint")
-    elif family == "fractional":
-        length = F.lit(_WIDTH.get(kind_name, (4 if getattr(plan.kind, "precision", 0) <= 9 else 8 if getattr(plan.kind, "precision", 0) <= 18 else 16))).cast("bigint")
-    mean = null("double")
-    if family == "integral":
-        mean = F.round(col("mean")).cast("double")
-    elif family == "fractional":
-        mean = col("mean")
-    shown_type = family not in ("sized", "struct")
+    col = lambda n: F.col(f"{n}{k}") if f"{n}{k}" in names else F.lit(None)
+    shown = plan.kind if family == "fractional" and not isinstance(plan.kind, T.DecimalType) else T.DoubleType() if family == "fractional" else T.LongType()
+    text = lambda x: x if family == "string" else x.cast(shown).cast("string")
+    quantile = lambda ranks: F.call_function("kll_sketch_get_quantile_double", col("sketch"), F.array(*(F.lit(r) for r in ranks)))
+    ends = quantiles = grid = F.lit(None)
+    if f"sketch{k}" in names:
+        some = F.col(f"n{k}") > 0
+        ends, quantiles = F.when(some, quantile((0.005, 0.995))), F.when(some, F.transform(quantile(QUANTILES), text))
+        grid = F.when(some, quantile([g / GRID for g in range(GRID)])) if c.pmf_buckets > 0 else grid
+    numbers = family in ("integral", "fractional")
     return F.struct(
-        F.lit(plan.name).alias("name"), F.lit("integer" if kind_name == "integer" else kind_name.split("(")[0]).alias("data_type"),
-        (F.lit(plan.kind.json()) if shown_type else null("string")).alias("data_type_json"), F.lit(plan.nullable).alias("nullable"),
-        (F.array(*(F.lit(v) for v in plan.enum_values)) if plan.enum_values else F.array().cast("array<string>")).alias("enum_values"), F.lit(plan.format).cast("string").alias("format"),
-        F.col("row_count").alias("count"), (F.lit(None).cast("bigint") if family == "struct" else col("empty")).alias("count_empty"), col("nulls").alias("count_nulls"), unique.alias("count_unique"),
-        (col("zeros") if family in ("integral", "fractional") else null("bigint")).alias("count_zeros"), length.alias("max_length"),
-        (text(col("min")) if text else null("string")).alias("min"), (text(col("max")) if text else null("string")).alias("max"), mean.alias("mean"), pmf.alias("pmf"), items.alias("items"), extras.alias("extras"),
-    ).cast(COLUMN_SCHEMA)
+        *(col(n).alias(n) for n in ("nulls", "empty", "zeros", "length", "bits")), text(col("min")).alias("low"), text(col("max")).alias("high"),
+        *((col(n).cast("double") if numbers else F.lit(None)).alias(a) for n, a in (("min", "low_number"), ("max", "high_number"))), *(col(n).alias(n) for n in ("mean", "n", "valued", "distinct")),
+        col("items").alias("items"), quantiles.alias("quantiles"), ends.alias("ends"), grid.alias("grid"),
+    ).cast(_STATE)
 
 
-def _plain(x: Column, family: str) -> Column:
-    return x.cast("bigint").cast("string") if family == "integral" else x.cast("string")
+_NO_ITEM = "\x00null"
 
 
-def _places(grid: Column, start: Column, width: Column) -> Column:
-    return F.transform(grid, lambda g: F.when(width > 0, F.floor((g - start) / width)).otherwise(0).cast("int"))
+def _finish(plan: tuple, s: dict, rows: int, c: ProfileConfig) -> dict:
+    """The profile of one column from its state; plan: name, family, type name, type JSON, nullable, enum values, format, inferred, width."""
+    name, family, kind, kind_json, nullable, enum_values, shape, inferred, width = plan
+    whole = lambda x: None if x is None or x != x else int(x)
+    numbers, has_items = family in ("integral", "fractional"), family in ("string", "integral", "fractional")
+    items, exact, extras, unique, pmf = [], True, {}, None, []
+    if has_items:
+        if c.items > 0:
+            found = [(i["item"], int(i["count"])) for i in (s["items"] if s["items"] is not None else ()) if i["item"] != _NO_ITEM]
+            # Nothing was dropped from the sketch if its counts add up to all values.
+            exact = len(found) <= c.items and sum(n for _, n in found) == s["valued"]
+            # The largest counts, ties by item, shown in the order of the items.
+            items = sorted(sorted(found, key=lambda f: (-f[1], f[0]))[: c.items])
+        if c.count_distincts:
+            unique = len(items) if exact and c.items > 0 else whole(s["distinct"])
+        extras["is_exact"] = "true" if exact else "false"
+    if family == "integral":
+        extras["max_length_in_bits"] = str(whole(s["bits"]) or 0)
+    if numbers and s["quantiles"] is not None:
+        extras["quantiles"] = "{" + ", ".join(f'"{q:g}": "{v}"' for q, v in zip(QUANTILES, s["quantiles"], strict=True)) + "}"
+        if c.pmf_buckets > 0:
+            pmf = _discrete(items) if c.items > 0 and exact and len(items) > 1 else _approximate(s, c.pmf_buckets)
+    length = whole(s["length"]) if family in ("string", "sized") or inferred else -(-(whole(s["bits"]) or 0) // 8) if family == "integral" else width
+    mean = None if not numbers or s["mean"] is None or s["mean"] != s["mean"] else float(s["mean"])
+    return {
+        "name": name, "data_type": kind, "data_type_json": kind_json, "nullable": nullable, "enum_values": list(enum_values), "format": shape, "count": rows,
+        "count_empty": None if family == "struct" else whole(s["empty"]), "count_nulls": whole(s["nulls"]), "count_unique": unique, "count_zeros": whole(s["zeros"]) if numbers else None, "max_length": length,
+        "min": s["low"] if has_items else None, "max": s["high"] if has_items else None, "mean": mean if family != "integral" or mean is None else float(math.floor(mean + 0.5)), "pmf": pmf,
+        "items": [{"item": i, "count": n} for i, n in items], "extras": extras,
+    }
+
+
+def _discrete(items: list[tuple[str, int]]) -> list[dict]:
+    """Buckets around the items, as wide as the median gap between them."""
+    points = sorted((x, n) for i, n in items if (x := _number_of(i)) is not None)
+    gaps = sorted(b[0] - a[0] for a, b in zip(points, points[1:], strict=False))
+    half = (gaps[len(gaps) // 2] if gaps else 1.0) / 2
+    return [{"low": x - half, "high": x + half, "count": n} for x, n in points]
 
 
-def _discrete(points: Column) -> Column:
-    """Buckets around the items, as wide as the median gap between them."""
-    gaps = F.array_sort(F.transform(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, j: p["x"] - F.get(points, j)["x"]))
-    half = F.coalesce(F.get(gaps, F.floor(F.greatest(F.size(points) - 1, F.lit(0)) / 2).cast("int")), F.lit(1.0)) / 2
-    return F.transform(points, lambda p: F.struct((p["x"] - half).alias("low"), (p["x"] + half).alias("high"), p["n"].alias("count")))
+def _number_of(item: str) -> float | None:
+    try:
+        x = float(item)
+    except ValueError:
+        return None
+    return x if math.isfinite(x) else None
 
 
-def _approximate(col, buckets: int) -> Column:
+def _approximate(s: dict, buckets: int) -> list[dict]:
     """Equal buckets from the 0.5 % to the 99.5 % percentile, widened by what lies beyond; counts by rank."""
+    n = int(s["n"])
     if buckets == 1:
-        return F.array(F.struct(col("min").cast("double").alias("low"), col("max").cast("double").alias("high"), col("n").alias("count")))
-    edge = lambda j: col("start") + col("width") * j
+        return [{"low": float(s["low_number"]), "high": float(s["high_number"]), "count": n}]
+    low, high = (float(x) for x in s["ends"])
+    pad = (high - low) * (0.005 / 0.99)
+    start, width = low - pad, (high - low + 2 * pad) / buckets
+    grid = sorted(float(g) for g in s["grid"])
     # The outer buckets take all that lies beyond them.
-    rank = lambda j: F.round(F.size(F.filter(col("place"), lambda p: p < j)) / F.lit(float(GRID)) * col("n")).cast("bigint")
-    upto = lambda j: F.when(j == 0, F.lit(0).cast("bigint")).when(j == buckets, col("n")).otherwise(rank(j))
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda j: F.struct(edge(j).alias("low"), edge(j + 1).alias("high"), (upto(j + 1) - upto(j)).alias("count")))
+    upto = [0, *(round(bisect.bisect_left(grid, start + width * k) / len(grid) * n) for k in range(1, buckets)), n]
+    return [{"low": start + width * k, "high": start + width * (k + 1), "count": upto[k + 1] - upto[k]} for k in range(buckets)]
+
+
+def _plan_values(p: _Plan) -> tuple:
+    family, kind = _family(p.kind), p.kind.typeName()
+    width = _WIDTH.get(kind, 4 if getattr(p.kind, "precision", 0) <= 9 else 8 if getattr(p.kind, "precision", 0) <= 18 else 16) if family == "fractional" else None
+    return p.name, family, kind.split("(")[0], None if family in ("sized", "struct") else p.kind.json(), p.nullable, p.enum_values, p.format, p.inferred, width
 
 
 @dataclass(frozen=True)
@@ -264,8 +254,15 @@ def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> Profile:
         plans = _inferred(numbered, plans, config)
     aggregates = [a for k, p in enumerate(plans) for a in _aggregates(p, config, k)]
     one = numbered.agg(F.count(F.lit(1)).alias("row_count"), *aggregates)
-    one = _steps(one, plans, config)
-    return Profile(one.select("row_count", F.array(*(_column(p, config, k) for k, p in enumerate(plans))).alias("columns")))
+    states = one.select("row_count", F.array(*(_state(p, config, k, set(one.columns)) for k, p in enumerate(plans))).alias("states"))
+    values = [_plan_values(p) for p in plans]
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(int(n), [_finish(v, s, int(n), config) for v, s in zip(values, own, strict=True)]) for n, own in zip(frame["row_count"], frame["states"], strict=True)]
+            yield pd.DataFrame(rows, columns=["row_count", "columns"])
+
+    return Profile(states.mapInPandas(finish, f"row_count bigint, columns array<{COLUMN_SCHEMA}>"))  # one row
 
 
 def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list[_Plan]:

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,7 +177,7 @@ class _Package:
         for name, tree in own.items():
             self.parts[name] = ET.tostring(tree, xml_declaration=True, encoding="UTF-8")
         for name, tree, space in (("xl/_rels/workbook.xml.rels", self.rels, PACKAGE), ("[Content_Types].xml", self.types, TYPES)):
-            self.parts[name] = ET.tostring(tree, xml_declaration=True, encoding="UTF-8", default_namespace=space)
+            self.parts[name] = _flat_xml(tree, space)
         self.parts.pop("xl/calcChain.xml", None) if "xl/calcChain.xml" not in {r.get("Target") for r in self.rels} else None
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -185,6 +186,13 @@ class _Package:
         return out.getvalue()
 
 
+def _flat_xml(tree: ET.Element, space: str) -> bytes:
+    """A root with childless elements, all in one namespace that needs no prefix."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    children = "".join(f"<{local(e)} {' '.join(f'{k}={quoteattr(v)}' for k, v in e.attrib.items())}/>" for e in tree)
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<{local(tree)} xmlns="{space}">{children}</{local(tree)}>'.encode()
+
+
 @dataclass
 class _Marks:
     """What a template's sheet says about the table."""
