@@ -92,7 +92,7 @@ def _read(df: DataFrame, plans: list[ColumnPlan], load: str) -> DataFrame:
         elif p.kind == "date":
             c = F.unix_date(c).cast("bigint")
         elif p.kind == "text" and not isinstance(schema[p.name], T.StringType):
-            c = F.to_json(F.struct(c.alias("v")))
+            c = F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
         picked.append(c.cast({"double": "double", "text": "string"}.get(p.kind, "bigint")).alias(f"v{p.number}"))
     return df.select(*picked)
 
