@@ -238,7 +238,7 @@ class Index:
         numbers = np.fromiter(map(word_number, tokens), np.uint64, len(tokens))
         for tables, in_order in ((self.passage_tables, False), (self.word_tables, True)):
             for t in tables:
-                own, place = np.unique(shingles(numbers, t.shingle) if t.shingle > 1 else numbers, return_inverse=True)
+                own, place = np.unique(numbers if in_order else shingles(numbers, t.shingle), return_inverse=True)
                 of, starts, ends, serves = t.windows(parts, offsets)
                 if not len(starts):
                     continue

@@ -84,6 +84,7 @@ def deviations(df: DataFrame, value: str, by: Sequence[str], accepted: DataFrame
     rows of that group are counted against the limit, which decides exactly: the percentile of rank r
     is above the limit if fewer than r values are not, and below it if at least r values are.
     """
+    accepted = accepted.select(*by, "pct", "accepted_value").distinct()
     a = F.col("accepted_value")
     found = percentiles(bucket_counts(df, value, by, accuracy), by, accepted, accuracy).withColumns({
         "upper": bucket_of(a + tolerance * F.abs(a), accuracy),
