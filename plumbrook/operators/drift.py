@@ -191,6 +191,13 @@ def matches(files: DataFrame, layout: DataFrame) -> DataFrame:
 # Verification on shared records
 
 
+def _spread(rows: DataFrame, per_file: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on the file; rows of one file are spread over parts, so that a file with a third of them is no hot key."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(rejects.SALTS - 1)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(rejects.SALTS)).cast("int"))
+    return salted.join(per_file.withColumn("salt", parts), [key, "salt"]).drop("salt")
+
+
 def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates with shared_records and same_values, counted over the keys valid in both files.
 
@@ -200,11 +207,11 @@ def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
     candidate = matched.where("kind = 'candidate'")
     wanted = candidate.groupBy("file_id", "prior_id").agg(F.collect_list(F.struct("old_name", "new_name", "old_no", "new_no", "score")).alias("pairs"))
     keyed = records.where("row_values[0] IS NOT NULL").select("file_id", "line_no", F.trim(F.col("canonical_values")[0]).alias("key"), F.struct("row_values", "canonical_values").alias("v"))
-    newer = keyed.join(wanted.select("file_id"), "file_id").select("file_id", "key", F.lit(True).alias("newer"), "line_no", "v")
-    older = keyed.withColumnRenamed("file_id", "prior_id").join(wanted.select("file_id", "prior_id"), "prior_id").select("file_id", "key", F.lit(False).alias("newer"), "line_no", "v")
+    newer = _spread(keyed, wanted.select("file_id"), "file_id", "line_no").select("file_id", "key", F.lit(True).alias("newer"), "line_no", "v")
+    older = _spread(keyed.withColumnRenamed("file_id", "prior_id"), wanted.select("file_id", "prior_id"), "prior_id", "line_no").select("file_id", "key", F.lit(False).alias("newer"), "line_no", "v")
     first = lambda newer: F.min(F.when(F.col("newer") == newer, F.struct("line_no", "v")))["v"]
     both = newer.unionByName(older).groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
-    one = both.join(wanted.select("file_id", F.explode("pairs").alias("p")), "file_id")
+    one = _spread(both, wanted.select("file_id", "pairs"), "file_id", "key").withColumn("p", F.explode("pairs"))
     at = lambda side, column, no: F.get(F.col(f"{side}.{column}"), F.col(f"p.{no}"))
     # Where a type changes, a value may be read as a number on one side and as text on the other.
     text = lambda side, no: F.trim(at(side, "row_values", no))
@@ -307,7 +314,7 @@ def unite(records: DataFrame, columns: DataFrame) -> DataFrame:
     Canonical texts cast to the column's type without loss; a column that a file lacks is not in the map.
     """
     per_file = columns.groupBy("file_id", "table_name").agg(F.array_sort(F.collect_list(F.struct("field_no", "column_name"))).alias("fields"))
-    joined = records.join(per_file, "file_id")
+    joined = _spread(records, per_file, "file_id", "line_no")
     record = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["column_name"], F.get(F.col("canonical_values"), f["field_no"]))))
     return joined.select("table_name", "file_id", "line_no", record.alias("record"))
 

@@ -365,7 +365,7 @@ def to_excel_files(dfs: Sequence[DataFrame], config: WorkbookConfig = WorkbookCo
     with_path = [df for has, df in parts if has]
     out = reduce(lambda a, b: a.join(b, PATH, "full"), with_path) if with_path else None
     for df in (df for has, df in parts if not has):
-        out = df if out is None else out.crossJoin(F.broadcast(df))  # one row: a sheet that all workbooks share
+        out = df if out is None else out.crossJoin(df)  # one row: a sheet that all workbooks share
     path = F.coalesce(F.col(PATH), F.lit("workbook.xlsx")) if with_path else F.lit("workbook.xlsx")
     make = F.udf(lambda *lists: workbook_bytes([_sheet_of(s.name, s.rows) for sheets in lists for s in sheets or ()], config), "binary")
     return out.select(path.alias("path"), make(*(F.col(f"s{k}") for k in range(len(dfs)))).alias("content"))
