@@ -20,7 +20,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -123,5 +123,6 @@ def actual_shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
     """The plan beside what the mix holds: mixed_tokens and actual_share per target source."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
     out = planned.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    whole = out.agg(F.sum("mixed_tokens").alias("mix_size"))
-    return out.crossJoin(F.broadcast(whole)).select(*planned.columns, "mixed_tokens", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("mixed_tokens") / F.nullif(F.col("mix_size"), F.lit(0)), F.lit(0.0)).alias("actual_share"))
+    whole = F.sum("mixed_tokens").over(Window.partitionBy())  # at most MOST_SOURCES rows
+    share = F.coalesce(F.col("mixed_tokens") / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    return out.select(*planned.columns, "mixed_tokens", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), share.alias("actual_share"))

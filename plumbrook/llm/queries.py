@@ -134,6 +134,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.actual_shares(mixing.mix(counted, planned), planned)
 
 
+# Characters stand in for tokens here: the cases do not depend on the tokenizer, as their margins are wide.
+SQL["p7_found"] = """
+WITH d AS (SELECT lower(trim(source, ' ')) AS name, COALESCE(length(text), 0) AS size FROM documents WHERE trim(source, ' ') <> ''),
+s AS (SELECT name, SUM(size) AS size FROM d GROUP BY 1), t AS (SELECT SUM(size) AS total FROM d)
+SELECT DISTINCT m.source FROM mix_target m LEFT JOIN s ON s.name = lower(trim(m.source, ' ')), t WHERE m.max_repeats * COALESCE(s.size, 0) < m.target_share * t.total"""
+
+
 # 8. Repetition inside a document
 
 
