@@ -205,20 +205,20 @@ def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
     spreads any file over all tasks; only files that have candidates take part.
     """
     candidate = matched.where("kind = 'candidate'")
-    wanted = candidate.groupBy("file_id", "prior_id").agg(F.collect_list(F.struct("old_name", "new_name", "old_no", "new_no", "score")).alias("pairs"))
-    keyed = records.where("row_values[0] IS NOT NULL").select("file_id", "line_no", F.trim(F.col("canonical_values")[0]).alias("key"), F.struct("row_values", "canonical_values").alias("v"))
-    newer = _spread(keyed, wanted.select("file_id"), "file_id", "line_no").select("file_id", "key", F.lit(True).alias("newer"), "line_no", "v")
-    older = _spread(keyed.withColumnRenamed("file_id", "prior_id"), wanted.select("file_id", "prior_id"), "prior_id", "line_no").select("file_id", "key", F.lit(False).alias("newer"), "line_no", "v")
+    wanted = candidate.groupBy("file_id", "prior_id").agg(F.array_sort(F.collect_list(F.struct("old_name", "new_name", "old_no", "new_no", "score"))).alias("pairs"))
+    keyed = records.where("row_values[0] IS NOT NULL").withColumn("key", F.trim(F.col("canonical_values")[0]))
+    # Where a type changes, a value may be read as a number on one side and as text on the other.
+    picked = lambda no: F.transform("pairs", lambda p: F.struct(F.get("canonical_values", p[no]).alias("value"), F.trim(F.get("row_values", p[no])).alias("text")))
+    side = lambda rows, newer, no: rows.select("file_id", "key", F.lit(newer).alias("newer"), "line_no", picked(no).alias("v"))
+    # Only the values of candidates are shuffled, in the order of the pairs.
+    newer = side(_spread(keyed, wanted.select("file_id", "pairs"), "file_id", "line_no"), True, "new_no")
+    older = side(_spread(keyed.withColumnRenamed("file_id", "prior_id"), wanted, "prior_id", "line_no"), False, "old_no")
     first = lambda newer: F.min(F.when(F.col("newer") == newer, F.struct("line_no", "v")))["v"]
     both = newer.unionByName(older).groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
-    one = _spread(both, wanted.select("file_id", "pairs"), "file_id", "key").withColumn("p", F.explode("pairs"))
-    at = lambda side, column, no: F.get(F.col(f"{side}.{column}"), F.col(f"p.{no}"))
-    # Where a type changes, a value may be read as a number on one side and as text on the other.
-    text = lambda side, no: F.trim(at(side, "row_values", no))
-    same = at("a", "canonical_values", "old_no").eqNullSafe(at("b", "canonical_values", "new_no")) | text("a", "old_no").eqNullSafe(text("b", "new_no"))
-    return one.groupBy("file_id", F.col("p.old_name").alias("old_name"), F.col("p.new_name").alias("new_name"), F.col("p.score").alias("score")).agg(
-        F.count(F.lit(1)).alias("shared_records"), F.count_if(same).alias("same_values")
-    )
+    same = F.zip_with("a", "b", lambda x, y: x["value"].eqNullSafe(y["value"]) | x["text"].eqNullSafe(y["text"]))
+    counts = both.select("file_id", F.posexplode(same).alias("pair_no", "same")).groupBy("file_id", "pair_no").agg(F.count(F.lit(1)).alias("shared_records"), F.count_if("same").alias("same_values"))
+    named = wanted.select("file_id", F.posexplode("pairs").alias("pair_no", "p"))
+    return counts.join(named, ["file_id", "pair_no"]).select("file_id", "p.old_name", "p.new_name", "p.score", "shared_records", "same_values")
 
 
 def _select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
