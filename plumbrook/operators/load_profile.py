@@ -21,6 +21,7 @@ clash, as only their values are read; a null load is a load of its own.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -150,6 +151,8 @@ def segment_parts(ordered: DataFrame, plans: list[ColumnPlan], cells: dict[int,
         own = cells.get(number)
         if own is None:
             return None
+        if not (own.items or own.low):
+            return np.full(len(ordinal), -1)
         if own.items is not None:
             if kinds[number] == "text":
                 place = pc.index_in(text, value_set=pa.array(own.items, pa.string()))
@@ -391,10 +394,15 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
 RATE_PARTS, DRIFT_PARTS = 20, 5
 
 
-def _ordinal(kind: str, text: str) -> int:
-    """The ordinal of an accepted bound."""
-    import datetime
+def _ordinal(kind: str, text: str) -> int | None:
+    """The ordinal of an accepted bound; None, nothing to compare, if it is no value of the kind."""
+    try:
+        return _read_ordinal(kind, text.strip())
+    except (ValueError, OverflowError):
+        return None
 
+
+def _read_ordinal(kind: str, text: str) -> int:
     if kind == "double":
         return int(order_of_doubles(np.array([float(text)]))[0])
     if kind == "date":
@@ -414,11 +422,12 @@ def _accepted(rows: list, plans: list[ColumnPlan]) -> tuple[list[tuple], dict[in
     for r in rows:
         p = kinds[r["column_name"]]
         counts = None
-        if r["pmf"] is not None:
-            cells[p.number] = Cells(low=[b["low"] for b in r["pmf"]], high=[b["high"] for b in r["pmf"]])
-            counts = [b["bucket_count"] or 0 for b in r["pmf"]]
+        if r["pmf"] is not None and p.kind != "text":
+            kept = [b for b in r["pmf"] if b is not None and b["low"] is not None and b["high"] is not None]
+            cells[p.number] = Cells(low=[b["low"] for b in kept], high=[b["high"] for b in kept])
+            counts = [b["bucket_count"] or 0 for b in kept]
         elif r["items"] is not None:
-            kept = [i for i in r["items"] if i["item"] is not None]
+            kept = [i for i in r["items"] if i is not None and i["item"] is not None]
             cells[p.number] = Cells(items=[i["item"] for i in kept])
             counts = [i["item_count"] or 0 for i in kept]
         bound = lambda v, text: None if v is None or (p.kind == "text") != text else v if text else _ordinal(p.kind, v)  # noqa: B023, E731

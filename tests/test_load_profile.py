@@ -125,6 +125,18 @@ def test_findings(spark):
     assert lp.findings(df.limit(0), "load_id", table, spark.createDataFrame([], VIOLATION)).count() == 0
 
 
+def test_odd_accepted_profiles(spark):
+    df = spark.createDataFrame([(1, 5, "a", 0.5), (1, 6, "b", None)], "load_id bigint, num int, text string, x double")
+    table = spark.createDataFrame(
+        [
+            accepted("num", profiled_count=0, count_nulls=0, min_value="low", max_value="", pmf=[(None, 1.0, 3), None], count_unique=0), accepted("text", pmf=[(0.0, 1.0, 5)], items=[]), accepted("x", min_value="0.6", max_value="nan", items=[("0.5", 1), (None, 2), None]),
+        ],
+        ACCEPTED,
+    )
+    got = sorted(tuple(r) for r in lp.findings(df, "load_id", table, spark.createDataFrame([], VIOLATION)).collect())
+    assert got == [(1, "num", "distinct_count"), (1, "x", "value_range")]
+
+
 def test_merge_sorted_across_batches():
     import pyarrow as pa
 
