@@ -207,14 +207,17 @@ def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
     candidate = matched.where("kind = 'candidate'")
     wanted = candidate.groupBy("file_id", "prior_id").agg(F.array_sort(F.collect_list(F.struct("old_name", "new_name", "old_no", "new_no", "score"))).alias("pairs"))
     keyed = records.where("row_values[0] IS NOT NULL").withColumn("key", F.trim(F.col("canonical_values")[0]))
+    # A file is the newer one of its own pairs and the older one of the next file's.
+    per_file = wanted.select("file_id", F.col("pairs").alias("own")).join(wanted.select(F.col("prior_id").alias("file_id"), F.col("file_id").alias("next_id"), F.col("pairs").alias("next")), "file_id", "full")
+    spread = _spread(keyed, per_file, "file_id", "line_no")
     # Where a type changes, a value may be read as a number on one side and as text on the other.
-    picked = lambda no: F.transform("pairs", lambda p: F.struct(F.get("canonical_values", p[no]).alias("value"), F.trim(F.get("row_values", p[no])).alias("text")))
-    side = lambda rows, newer, no: rows.select("file_id", "key", F.lit(newer).alias("newer"), "line_no", picked(no).alias("v"))
-    # Only the values of candidates are shuffled, in the order of the pairs.
-    newer = side(_spread(keyed, wanted.select("file_id", "pairs"), "file_id", "line_no"), True, "new_no")
-    older = side(_spread(keyed.withColumnRenamed("file_id", "prior_id"), wanted, "prior_id", "line_no"), False, "old_no")
+    picked = lambda pairs, no: F.transform(pairs, lambda p: F.struct(F.get("canonical_values", p[no]).alias("value"), F.trim(F.get("row_values", p[no])).alias("text")))
+    side = lambda pairs, file_id, newer, no: F.when(F.col(pairs).isNotNull(), F.struct(F.col(file_id).alias("file_id"), F.lit(newer).alias("newer"), picked(pairs, no).alias("v")))
+    sides = F.filter(F.array(side("own", "file_id", True, "new_no"), side("next", "next_id", False, "old_no")), lambda s: s.isNotNull())
+    # Only the values of candidates are shuffled on, in the order of the pairs.
+    rows = spread.select("key", "line_no", F.explode(sides).alias("s")).select("s.file_id", "key", "s.newer", "line_no", "s.v")
     first = lambda newer: F.min(F.when(F.col("newer") == newer, F.struct("line_no", "v")))["v"]
-    both = newer.unionByName(older).groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
+    both = rows.groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
     same = F.zip_with("a", "b", lambda x, y: x["value"].eqNullSafe(y["value"]) | x["text"].eqNullSafe(y["text"]))
     counts = both.select("file_id", F.posexplode(same).alias("pair_no", "same")).groupBy("file_id", "pair_no").agg(F.count(F.lit(1)).alias("shared_records"), F.count_if("same").alias("same_values"))
     named = wanted.select("file_id", F.posexplode("pairs").alias("pair_no", "p"))
