@@ -181,7 +181,7 @@ def dq_missing_columns(spark: SparkSession, folder: str) -> DataFrame:
     return Quality.from_df(table(spark, folder, "nation")).rules([qr.named_rule("n_name", "known", "n_name = n_other")]).rule_statistics()
 
 
-@query("SELECT LEAST(CAST(60 AS BIGINT), a + b) AS sampled FROM (SELECT LEAST(20, COUNT_IF(NOT (l_quantity <= 45))) AS a, LEAST(20, COUNT_IF(NOT (l_quantity > 5))) AS b FROM lineitem)")
+@query("SELECT CAST(LEAST(60, a + b) AS BIGINT) AS sampled FROM (SELECT LEAST(20, COUNT_IF(NOT (l_quantity <= 45))) AS a, LEAST(20, COUNT_IF(NOT (l_quantity > 5))) AS b FROM lineitem)")
 def dq_row_sample_size(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty rows for each of two rules that exclude each other."""
     q = Quality.from_df(table(spark, folder, "lineitem")).rules([qr.Rule("max", "l_quantity <= 45"), qr.Rule("min", "l_quantity > 5")]).config(QualityConfig(max_rows=60))
