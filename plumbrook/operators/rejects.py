@@ -163,11 +163,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse(raw_line: DataFrame, layout: DataFrame, once: bool = False) -> DataFrame:
     """Every record with its verdict: PARSED. `once` drops equal lines of a file stored again."""
     lines = raw_line.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), "line").where("line IS NOT NULL AND line <> ''")
-    if once:
-        lines = lines.dropDuplicates(["file_id", "line_no", "line"])
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(SALTS)).cast("int"))
     salted = layout.select("file_id", "layout", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = lines.join(salted, ["file_id", "salt"], "left")
+    if once:  # after the join, whose partitioning serves for this too
+        joined = joined.dropDuplicates(["file_id", "salt", "line_no", "line"])
     return joined.select("file_id", "line_no", "line", "layout").mapInArrow(_parse, PARSED)
 
 
