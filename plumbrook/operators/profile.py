@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -280,8 +281,8 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
             F.count(v).alias(f"n{k}"), F.count(F.lit(1)).alias(f"all{k}"), F.count_if(F.col(f"v{k}").isNull()).alias(f"null{k}"), F.count(integral).alias(f"long{k}"), F.count_if((integral >= -(1 << 31)) & (integral < 1 << 31)).alias(f"int{k}"),
             F.count_if(integral.isin(0, 1)).alias(f"bit{k}"), F.count(F.when(v.rlike(fraction), F.trim(v).try_cast("double"))).alias(f"double{k}"),
         ]
-        tests += [F.count(F.try_to_timestamp(v, F.lit(f))).alias(f"date{j}_{k}") for j, f in enumerate(rules.date_formats)]
-        tests += [F.count(F.try_to_timestamp(v, F.lit(f))).alias(f"time{j}_{k}") for j, f in enumerate(rules.timestamp_formats)]
+        tests += [F.count(_read_time(v, f)).alias(f"date{j}_{k}") for j, f in enumerate(rules.date_formats)]
+        tests += [F.count(_read_time(v, f)).alias(f"time{j}_{k}") for j, f in enumerate(rules.timestamp_formats)]
         tests += [F.count_if(F.upper(F.trim(v)).isin([x.upper() for x in values])).alias(f"enum{j}_{k}") for j, (_, values) in enumerate(rules.enums)]
     got = numbered.agg(*tests).first().asDict()
     out = list(plans)
@@ -302,10 +303,10 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
         else:
             for j, f in enumerate(rules.date_formats):
                 if kind is None and got[f"date{j}_{k}"] == n:
-                    kind, value, shape = T.DateType(), F.try_to_timestamp(v, F.lit(f)).cast("date"), f
+                    kind, value, shape = T.DateType(), _read_time(v, f).cast("date"), f
             for j, f in enumerate(rules.timestamp_formats):
                 if kind is None and got[f"time{j}_{k}"] == n:
-                    kind, value, shape = T.TimestampType(), F.try_to_timestamp(v, F.lit(f)), f
+                    kind, value, shape = T.TimestampType(), _read_time(v, f), f
             for j, (name, listed) in enumerate(rules.enums):
                 if kind is None and got[f"enum{j}_{k}"] == n:
                     upper = F.upper(t)
@@ -322,6 +323,22 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
     return out
 
 
+def _read_time(v: Column, pattern: str) -> Column:
+    """The moment in a text, else null. Texts of another shape are not parsed: a failing parse is slow."""
+    shape = ""
+    for m in re.finditer(r"([A-Za-z])\1*|'[^']*'|[^A-Za-z']", pattern):
+        part = m[0]
+        if m[1]:
+            if m[1] not in "yMdHms" or len(part) < 2 or (m[1] == "M" and len(part) > 2):
+                shape = None
+                break
+            shape += f"[0-9]{{{len(part)}}}"
+        else:
+            shape += re.escape(part.strip("'") or "'")
+    read = F.try_to_timestamp(v, F.lit(pattern))
+    return read if shape is None else F.when(v.rlike(f"^{shape}$"), read)
+
+
 def schema_of(columns: Sequence) -> T.StructType:
     """A schema from the rows of Profile.columns(); enum values and formats become metadata."""
     import json
