@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,6 +234,11 @@ def segments(parts: DataFrame) -> DataFrame:
     return counted
 
 
+def _in_cell(k: Column) -> Column:
+    """The present values of a segment in one accepted cell."""
+    return F.aggregate(F.filter("cells", lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda s, e: s + e["value"])
+
+
 def as_double(ordinal: Column) -> Column:
     """The double of an ordinal, for columns of kind double (JVM side, without Python)."""
     bits = F.when(ordinal < 0, ordinal.bitwiseXOR(F.lit(int(_SIGN)))).otherwise(ordinal)
@@ -261,17 +266,55 @@ def named(df: DataFrame, plans: list[ColumnPlan]) -> DataFrame:
     return df.withColumns({"column_name": F.get(names, F.col("column_no")), "kind": F.get(kinds, F.col("column_no"))}).drop("column_no")
 
 
-def profile(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
-    """Per load and column: rows, nulls (or blanks), null rate, distinct values, least and greatest value."""
+def profile(df: DataFrame, names: Sequence[str], load: str, accepted: DataFrame | None = None, violations: DataFrame | None = None) -> DataFrame:
+    """Per load and column: rows, nulls (or blanks), null rate, distinct values, least and greatest value.
+
+    With `accepted`, also `cells`: of the present values, the share in each accepted bucket or item beside the
+    accepted share, and `outside_share`, the share in none of them; both null for a column without accepted cells.
+    With `violations`, also `violations`: per rule_name (in lower case without outer blanks) the distinct primary
+    keys logged for the load. A logged rule belongs to the columns of its column_names and to those whose accepted
+    rule_name it is; log rows without rule_name or primary_key count nowhere.
+    """
     plans = plan_columns(df, names)
-    found = named(segments(segment_parts(ranged(value_runs(df, plans, load)), plans, {})), plans)
-    rows = F.col("present") + F.col("absent")
-    return found.select(
-        "load_id", "column_name", rows.alias("row_count"), F.col("absent").alias("count_nulls"), (F.col("absent") / rows).alias("null_rate"), F.col("distincts").alias("count_unique"),
-        shown(F.col("kind"), F.col("least"), F.col("least_text")).alias("min_value"), shown(F.col("kind"), F.col("greatest"), F.col("greatest_text")).alias("max_value"),
+    rows = [] if accepted is None else [r for r in accepted.limit(MOST_COLUMNS + 1).collect() if r["column_name"] in names]
+    table, cells = _accepted(rows, plans)
+    found = segments(segment_parts(ranged(value_runs(df, plans, load)), plans, cells))
+    row_count = F.col("present") + F.col("absent")
+    more = []
+    if accepted is not None:
+        spark = df.sparkSession
+        layout = [(t[0], [(*bounds, n) for bounds, n in zip(_bounds(cells[t[0]]), t[8], strict=True)]) for t in table if t[8]]
+        own = spark.createDataFrame(layout, "column_no int, accepted_cells array<struct<low:double,high:double,item:string,accepted_count:bigint>>")
+        found = found.join(F.broadcast(own), "column_no", "left")
+        total = F.aggregate("accepted_cells", F.lit(0).cast("bigint"), lambda s, x: s + x["accepted_count"])
+        share = lambda k: F.when(F.col("present") > 0, _in_cell(k) / F.col("present"))
+        each = lambda x, k: F.struct(x["low"].alias("low"), x["high"].alias("high"), x["item"].alias("item"), share(k).alias("share"), F.when(total > 0, x["accepted_count"] / total).alias("accepted_share"))
+        more += [F.transform("accepted_cells", each).alias("cells"), F.when(F.col("accepted_cells").isNotNull(), share(F.lit(-1))).alias("outside_share")]
+    if violations is not None:
+        logged = logged_violations(violations, plans, table, df.sparkSession).withColumnsRenamed({"load_id": "logged_load", "column_no": "logged_column"})
+        found = found.join(logged, F.col("load_id").eqNullSafe(F.col("logged_load")) & (F.col("column_no") == F.col("logged_column")), "left")
+        more.append(F.coalesce("violations", F.array().cast(_LOGGED)).alias("violations"))
+    return named(found, plans).select(
+        "load_id", "column_name", row_count.alias("row_count"), F.col("absent").alias("count_nulls"), (F.col("absent") / row_count).alias("null_rate"), F.col("distincts").alias("count_unique"),
+        shown(F.col("kind"), F.col("least"), F.col("least_text")).alias("min_value"), shown(F.col("kind"), F.col("greatest"), F.col("greatest_text")).alias("max_value"), *more,
     )
 
 
+_LOGGED = "array<struct<rule_name:string,count_violations:bigint>>"
+
+
+def logged_violations(violations: DataFrame, plans: list[ColumnPlan], table: list[tuple], spark: SparkSession) -> DataFrame:
+    """load_id, column_no, violations: the distinct primary keys logged per load, column and rule_name."""
+    log = violations.where("primary_key IS NOT NULL AND rule_name IS NOT NULL").select(F.col("load_id").cast("bigint").alias("load_id"), F.lower(F.trim("rule_name")).alias("rule"), "primary_key", "column_names")
+    by_name = spark.createDataFrame([(p.number, p.name.strip().lower()) for p in plans], "column_no int, name string")
+    by_rule = spark.createDataFrame([(t[0], t[9]) for t in table if t[9] is not None], "column_no int, rule string")
+    keys = ["load_id", "column_no", "rule", "primary_key"]
+    of_names = log.withColumn("name", F.explode("column_names")).withColumn("name", F.lower(F.trim("name"))).join(F.broadcast(by_name), "name").select(*keys)
+    both = of_names.unionByName(log.join(F.broadcast(by_rule), "rule").select(*keys))
+    counts = both.groupBy("load_id", "column_no", "rule").agg(F.count_distinct("primary_key").alias("n"))
+    return counts.groupBy("load_id", "column_no").agg(F.array_sort(F.collect_list(F.struct(F.col("rule").alias("rule_name"), F.col("n").alias("count_violations")))).alias("violations"))
+
+
 # Exact quantiles from prefix counts
 
 
@@ -436,6 +479,11 @@ def _accepted(rows: list, plans: list[ColumnPlan]) -> tuple[list[tuple], dict[in
     return out, cells
 
 
+def _bounds(own: Cells) -> list[tuple[float | None, float | None, str | None]]:
+    """low, high and item of every accepted cell of a column."""
+    return [(None, None, item) for item in own.items] if own.items is not None else [(low, high, None) for low, high in zip(own.low, own.high, strict=True)]
+
+
 def findings(df: DataFrame, load: str, accepted: DataFrame, violations: DataFrame) -> DataFrame:
     """load_id, column_name, finding of every departure from the accepted profile.
 
@@ -460,9 +508,8 @@ def findings(df: DataFrame, load: str, accepted: DataFrame, violations: DataFram
     distinct = (F.col("distincts") * 2 < F.col("a_unique")) | (F.col("distincts") > F.col("a_unique") * 2)
     zero = F.lit(0).cast("decimal(38,0)")
     total = F.aggregate("cell_counts", zero, lambda s, x: (s + x).cast("decimal(38,0)"))
-    in_cell = lambda k: F.aggregate(F.filter("cells", lambda e: e["key"] == k), F.lit(0).cast("bigint"), lambda s, e: s + e["value"])
-    apart = F.transform("cell_counts", lambda x, k: F.abs(in_cell(k).cast("decimal(38,0)") * F.col("accepted_total") - x.cast("decimal(38,0)") * wide("present")))
-    outside = in_cell(F.lit(-1)).cast("decimal(38,0)") * F.col("accepted_total")
+    apart = F.transform("cell_counts", lambda x, k: F.abs(_in_cell(k).cast("decimal(38,0)") * F.col("accepted_total") - x.cast("decimal(38,0)") * wide("present")))
+    outside = _in_cell(F.lit(-1)).cast("decimal(38,0)") * F.col("accepted_total")
     moved = F.aggregate(apart, zero, lambda s, x: (s + x).cast("decimal(38,0)")) + outside
     drift = (F.col("present") > 0) & (F.col("accepted_total") > 0) & (moved * DRIFT_PARTS > F.lit(2) * wide("present") * F.col("accepted_total"))
     tests = {"null_rate": null_rate, "value_range": beyond, "distinct_count": distinct, "drift": drift, "violations": broken_rate}

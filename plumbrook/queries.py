@@ -22,10 +22,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 # 2. Column-level data quality profile
 
+#: Columns of the accepted profile: those of p2_found and its SQL. The other queries take every column but the load.
 PROFILED = ["customer_id", "item_id", "amount", "cost_cents", "status_code", "zone_code", "ref_code", "measure", "ordered_on"]
 PERCENTS = [5, 25, 50, 75, 95]
 
 
+def _every_column(records: DataFrame) -> list[str]:
+    return [c for c in records.columns if c != "load_id"]
+
+
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return load_profile.findings(table(spark, folder, "dq_record"), "load_id", table(spark, folder, "dp_column"), table(spark, folder, "dq_violation"))
@@ -33,15 +38,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Nulls, distinct values and range of every column of every load."""
-    return load_profile.profile(table(spark, folder, "dq_record"), PROFILED, "load_id")
+    """Nulls, distinct values, range, shares of accepted cells and logged violations of every column of every load."""
+    records = table(spark, folder, "dq_record")
+    return load_profile.profile(records, _every_column(records), "load_id", table(spark, folder, "dp_column"), table(spark, folder, "dq_violation"))
 
 
 @query
 def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of every column of every load."""
     records = table(spark, folder, "dq_record")
-    plans = load_profile.plan_columns(records, PROFILED)
+    plans = load_profile.plan_columns(records, _every_column(records))
     placed = load_profile.curves(load_profile.ranged(load_profile.value_runs(records, plans, "load_id")), shared_folder(spark, "curves"))
     q = load_profile.named(load_profile.quantiles(placed, PERCENTS), plans)
     return q.select("load_id", "column_name", F.col("pct").cast("int").alias("pct"), load_profile.shown(F.col("kind"), F.col("ordinal"), F.col("text")).alias("value"))
@@ -50,7 +56,8 @@ def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Exact Kolmogorov-Smirnov distance of every column of every load to the load before it."""
-    return load_profile.distances(table(spark, folder, "dq_record"), PROFILED, "load_id")
+    records = table(spark, folder, "dq_record")
+    return load_profile.distances(records, _every_column(records), "load_id")
 
 
 def _unpivoted(numeric: bool = False) -> str:

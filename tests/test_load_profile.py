@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbrook import queries
 from plumbrook.operators import load_profile as lp
 from plumbrook.operators import runs
 from plumbrook.sources.folder import shared_folder
@@ -125,6 +126,32 @@ def test_findings(spark):
     assert lp.findings(df.limit(0), "load_id", table, spark.createDataFrame([], VIOLATION)).count() == 0
 
 
+def test_profile_shows_cells_and_logged_violations(spark):
+    rows = [(1, 5, "a")] * 3 + [(1, 15, "b"), (1, 99, " "), (2, None, None), (None, 5, "a")]
+    df = spark.createDataFrame(rows, "load_id bigint, num int, text string")
+    table = spark.createDataFrame([accepted("num", pmf=[(0.0, 10.0, 1), (10.0, 20.0, 3)]), accepted("text", items=[("b", 1), ("c", 1)], rule_name="Extra")], ACCEPTED)
+    logged = [
+        (1, ["1"], ["num"], " NUM__rule "), (1, ["1"], ["num"], "num__rule"), (1, ["2"], ["num", "text"], "num__rule"), (1, ["1"], ["num"], "other"), (1, ["1"], None, "extra"),
+        (1, None, ["num"], "other"), (2, ["3"], ["absent"], "other"), (None, ["4"], ["text"], "extra"),
+    ]
+    got = {(r.load_id, r.column_name): r for r in lp.profile(df, ["num", "text"], "load_id", table, spark.createDataFrame(logged, "load_id bigint, primary_key array<string>, column_names array<string>, rule_name string")).collect()}
+    assert len(got) == 6 and got[1, "text"].count_nulls == 1
+    assert [tuple(c) for c in got[1, "num"].cells] == [(0.0, 10.0, None, 0.6, 0.25), (10.0, 20.0, None, 0.2, 0.75)] and got[1, "num"].outside_share == 0.2
+    assert [tuple(c) for c in got[1, "text"].cells] == [(None, None, "b", 0.25, 0.5), (None, None, "c", 0.0, 0.5)] and got[1, "text"].outside_share == 0.75
+    assert [c.share for c in got[2, "num"].cells] == [None, None] and got[2, "num"].outside_share is None
+    assert {k: [tuple(v) for v in r.violations] for k, r in got.items() if r.violations} == {
+        (1, "num"): [("num__rule", 2), ("other", 1)], (1, "text"): [("extra", 1), ("num__rule", 1)], (None, "text"): [("extra", 1)],
+    }
+
+
+@pytest.mark.parametrize("name", ["p2_profile", "p2_quantiles", "p2_distances"])
+def test_queries_take_every_column(spark, name):
+    folder = "/root/testdata/sf0.001"
+    every = set(spark.read.parquet(f"{folder}/dq_record.parquet").columns) - {"load_id"}
+    got = queries.QUERIES[name](spark, folder).groupBy("load_id").agg(F.collect_set("column_name").alias("names")).collect()
+    assert got and all(set(r.names) == every for r in got)
+
+
 def test_odd_accepted_profiles(spark):
     df = spark.createDataFrame([(1, 5, "a", 0.5), (1, 6, "b", None)], "load_id bigint, num int, text string, x double")
     table = spark.createDataFrame(
