@@ -311,14 +311,22 @@ def column_types(columns: DataFrame) -> DataFrame:
     return columns.groupBy("table_name", "column_name").agg(F.collect_set("data_type").alias("kinds")).select("table_name", "column_name", common("kinds").alias("data_type"))
 
 
-def unite(records: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row per valid record: table_name, file_id, line_no, record (column -> canonical text).
+def unite(records: DataFrame, columns: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """One row per valid record: table_name, file_id, line_no, record (column -> text of a value of the column's type).
 
-    Canonical texts cast to the column's type without loss; a column that a file lacks is not in the map.
+    kinds is column_types(columns). Where the common type is string, a value is the text that the file holds, without
+    the blanks around a number; else it is the canonical text, equal for equal values of all types that the column has
+    had, which casts to the common type. A column that a file lacks is not in the map.
     """
-    per_file = columns.groupBy("file_id", "table_name").agg(F.array_sort(F.collect_list(F.struct("field_no", "column_name"))).alias("fields"))
+    common = (column_types(columns) if kinds is None else kinds).select("table_name", "column_name", (F.col("data_type") == "string").alias("as_text"))
+    typed = columns.join(common, ["table_name", "column_name"])
+    number = F.col("data_type").isin(*types.INTEGER_BITS, "double", "float") | F.col("data_type").startswith("decimal(")
+    per_file = typed.groupBy("file_id", "table_name").agg(F.array_sort(F.collect_list(F.struct("field_no", "column_name", "as_text", number.alias("number")))).alias("fields"))
     joined = _spread(records, per_file, "file_id", "line_no")
-    record = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["column_name"], F.get(F.col("canonical_values"), f["field_no"]))))
+    held = lambda f: F.get(F.col("row_values"), f["field_no"])
+    text = lambda f: F.when(f["number"], F.regexp_replace(held(f), r"(?U)^\s+|\s+$", "")).otherwise(held(f))
+    value = lambda f: F.when(f["as_text"], text(f)).otherwise(F.get(F.col("canonical_values"), f["field_no"]))
+    record = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["column_name"], value(f))))
     return joined.select("table_name", "file_id", "line_no", record.alias("record"))
 
 

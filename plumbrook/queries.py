@@ -162,6 +162,8 @@ def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p3_united(spark: SparkSession, folder: str) -> DataFrame:
-    """All valid records of all files as records of the consistent tables."""
+    """All valid records of all files as records of the consistent tables, each value in its column's common type."""
     files, layout, _, renamed = _drift(spark, folder)
-    return drift.unite(rejects.loaded(_parsed(spark, folder, once=True)), drift.columns(files, layout, renamed))
+    columns = _written(drift.columns(files, layout, renamed), "columns")
+    kinds = _written(drift.column_types(columns), "column_types")
+    return drift.unite(rejects.loaded(_parsed(spark, folder, once=True)), columns, kinds)

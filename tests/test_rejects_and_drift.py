@@ -186,6 +186,19 @@ def test_union(drifting):
     assert dict(table.dtypes)["id"] == "bigint" and table.where("file_id = 3 AND id = 4").first().asDict() == {"file_id": 3, "line_no": 46, "amount": "4.50", "extra": "y", "id": 4, "name": "n4", "note": None}
 
 
+def test_union_converts_to_the_common_type(spark):
+    files = [(k, "p", None, None, meta("t", f"2024-01-0{k}T00:00:00Z")) for k in (1, 2)]
+    f = lambda file, no, name, kind, pattern=None: (file, no, name, json.dumps(kind), True, None, pattern, None)
+    fields = [f(1, 0, "id", "integer"), f(1, 1, "day", "date", "dd.MM.yyyy"), f(1, 2, "b", "boolean"), f(1, 3, "n", "integer"), f(1, 4, "x", "integer"), f(1, 5, "d", "date", "dd.MM.yyyy")]
+    fields += [f(2, 0, "id", "integer"), f(2, 1, "day", "string"), f(2, 2, "b", "string"), f(2, 3, "n", "string"), f(2, 4, "x", "decimal(9,2)"), f(2, 5, "d", "date")]
+    files, fields, lines = tables(spark, files, fields, [(1, 1, "7,17.11.2023,TRUE, 007 ,5,17.11.2023", NOON), (2, 1, "07,17.11.2023,TRUE,007,5.00,2023-11-17", NOON), (2, 2, "8,,x,,1.50,", NOON)])
+    layout = rejects.layouts(files, fields)
+    columns = drift.columns(drift.sequence(files), layout, spark.createDataFrame([], "file_id bigint, old_name string, new_name string, score double, share double"))
+    got = {(r.file_id, r.line_no): r.record for r in drift.unite(rejects.loaded(rejects.parse(lines, layout, once=True)), columns).collect()}
+    same = {"id": "7", "day": "17.11.2023", "b": "TRUE", "n": "007", "x": "5", "d": "2023-11-17"}
+    assert got == {(1, 1): same, (2, 1): same, (2, 2): {"id": "8", "day": None, "b": "x", "n": None, "x": "1.5", "d": None}}
+
+
 def test_no_shared_records_is_no_rename(spark, drifting):
     files, fields, lines = drifting
     layout = rejects.layouts(files, fields)
