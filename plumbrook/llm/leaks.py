@@ -9,8 +9,11 @@ document, so sizes are partitioned. Items are cut into units: passages of five-w
 first rule, whole items as sets of words for the second. Units of like size form a class, and for each
 class the document is cut into overlapping windows in proportion to the class, such that any stretch
 that satisfies the rule lies in one window. That bounds the Jaccard similarity of unit and window from
-below, and with it the number of equal MinHash values: the count that is asked for is missed by a true
-case with a probability under MISS. Candidates are verified exactly, by shingles and by order.
+below, by the distinct shingles of the unit, and with it the number of equal MinHash values: the count
+that is asked for is missed by a true case with a probability under MISS. Units of so few distinct
+shingles that not even one equal value is sure are found by an exact index instead: passages by the hash
+of all their words, items by the words they share with a window. Candidates are verified exactly, by
+shingles and by order.
 
 The items are a stated query set: they are indexed in blocks of BLOCK items, each sent to all tasks;
 documents are read once per block and never shuffled. Documents of any length are processed whole, in
@@ -26,6 +29,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,7 @@ def word_number(word: str, _known: dict[str, int] = {}) -> int:  # noqa: B006
     return n
 
 
+@lru_cache(maxsize=65536)
 def least_count(similarity: float, count: int, miss: float = MISS) -> int:
     """The largest number of equal values that a pair of this similarity falls short of with probability < miss."""
     total, k = 0.0, 0
@@ -95,8 +100,12 @@ class SizeClass:
     hash_count: int
     window: int
     hop: int
-    similarity: float
-    units: list[tuple[int, np.ndarray]] = field(default_factory=list)  # item, shingle hashes
+    others: float  # most shingles of a window that are none of the unit's
+    units: list[tuple[int, np.ndarray, int]] = field(default_factory=list)  # item, shingle hashes, needed count
+
+    def needed(self, distinct: int, shared: int) -> int:
+        """The equal values to ask for if a window holds `shared` of the `distinct` shingles of a unit; 0: none is sure."""
+        return least_count(shared / (distinct + self.others), self.hash_count)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in words, of the windows of a segment of `length` words."""
@@ -104,6 +113,22 @@ class SizeClass:
         return starts, np.minimum(starts + self.window, length)
 
 
+class Exact:
+    """Items by hash values of which all occurrences are wanted."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        table = sorted(set(pairs))
+        self.keys = np.array([k for k, _ in table], dtype=np.uint64)
+        self.owners = np.array([i for _, i in table], dtype=np.int64)
+
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item) of every number that is a key of an item, by position."""
+        low = np.searchsorted(self.keys, numbers, "left")
+        counts = np.searchsorted(self.keys, numbers, "right") - low
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(np.arange(len(numbers)), counts), self.owners[np.repeat(low, counts) + offset]
+
+
 class Table:
     """The MinHash values of the units of all classes that share shingle length and hash functions."""
 
@@ -113,12 +138,17 @@ class Table:
         self.place = np.arange(self.hash_count, dtype=np.uint64) << np.uint64(32)
         pairs = set()
         self.needed, self.class_of = np.full(item_count, self.hash_count + 1), np.full(item_count, -1)
+        exact: list[tuple[int, int]] = []
         for number, c in enumerate(classes):
-            least = max(1, least_count(c.similarity, self.hash_count))
-            for item, numbers in c.units:
+            for item, numbers, least in c.units:
+                self.class_of[item] = number
+                if least < 1:
+                    exact += [(int(k), item) for k in numbers]
+                    continue
                 pairs.update((int(k), item) for k in hashes(numbers, self.hash_count).min(axis=0).astype(np.uint64) | self.place)
-                self.needed[item], self.class_of[item] = least, number
+                self.needed[item] = min(self.needed[item], least)
             c.units = []
+        self.exact = Exact(exact)
         table = sorted(pairs)
         self.keys = np.array([k for k, _ in table], dtype=np.uint64)
         self.owners = np.array([i for _, i in table], dtype=np.int64)
@@ -148,6 +178,8 @@ class Table:
 
     def search(self, signatures: np.ndarray, serves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs with the needed number of equal values and a window of the item's class."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         asked = (signatures.astype(np.uint64) | self.place[None, :]).ravel()
         low = np.searchsorted(self.keys, asked, "left")
         which = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == asked)
@@ -198,15 +230,22 @@ class Index:
 
     def _passage_classes(self) -> list[SizeClass]:
         classes: dict[int, SizeClass] = {}
+        exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, tokens in enumerate(self.tokens):
             size = min(PASSAGE, len(tokens))
             shingle = min(SHINGLE, size)
             if size not in classes:
                 window, hop = (size, 1) if size <= SHINGLE else (2 * size, size)
-                classes[size] = SizeClass(shingle, PASSAGE_HASHES, window, hop, (size - shingle + 1) / (window - shingle + 1))
-            numbers = shingles(np.array([word_number(w) for w in tokens], dtype=np.uint64), shingle)
-            span = size - shingle + 1
-            classes[size].units += [(k, numbers[i : i + span]) for i in range(len(numbers) - span + 1)]
+                classes[size] = SizeClass(shingle, PASSAGE_HASHES, window, hop, window - size)
+            own = np.array([word_number(w) for w in tokens], dtype=np.uint64)
+            numbers, span = shingles(own, shingle), size - shingle + 1
+            for i, whole in enumerate(shingles(own, size).tolist()):
+                distinct = len(set(numbers[i : i + span].tolist()))
+                if (least := classes[size].needed(distinct, distinct)) < 1:
+                    exact[size].append((whole, k))
+                else:
+                    classes[size].units.append((k, numbers[i : i + span], least))
+        self.exact_passages = {size: Exact(pairs) for size, pairs in exact.items()}
         return list(classes.values())
 
     def _word_classes(self) -> list[SizeClass]:
@@ -218,13 +257,9 @@ class Index:
         for members in by_size.values():
             stretch = max(len(self.tokens[k]) for k in members) * STRETCH_HALVES // 2
             hop = max(1, stretch // 2)
-            worst = 1.0
-            for k in members:
-                n, distinct = len(self.tokens[k]), len(self.bags[k])
-                shared = max(1, distinct - (n - needed_words(n)))
-                worst = min(worst, shared / (stretch + hop + distinct - shared))
-            c = SizeClass(1, WORD_HASHES, stretch + hop, hop, worst)
-            c.units = [(k, np.array([word_number(w) for w in set(self.tokens[k])], dtype=np.uint64)) for k in members]
+            # Words of the item in the order, at least, are not others.
+            c = SizeClass(1, WORD_HASHES, stretch + hop, hop, stretch + hop - min(needed_words(len(self.tokens[k])) for k in members))
+            c.units = [(k, np.array([word_number(w) for w in self.bags[k]], dtype=np.uint64), c.needed(len(self.bags[k]), least_shared(self.bags[k]))) for k in members]
             classes.append(c)
         return classes
 
@@ -236,6 +271,13 @@ class Index:
         if not tokens:
             return out
         numbers = np.fromiter(map(word_number, tokens), np.uint64, len(tokens))
+        for size, exact in self.exact_passages.items():
+            at, items = exact.hits(shingles(numbers, size))
+            part = np.searchsorted(offsets, at, "right") - 1
+            whole = at + size <= offsets[part + 1]
+            for p, a, k in zip(part[whole].tolist(), at[whole].tolist(), items[whole].tolist(), strict=True):
+                if k not in out[p] and tuple(tokens[a : a + size]) in self.passages[k]:
+                    out[p].add(k)
         for tables, in_order in ((self.passage_tables, False), (self.word_tables, True)):
             for t in tables:
                 own, place = np.unique(numbers if in_order else shingles(numbers, t.shingle), return_inverse=True)
@@ -246,12 +288,30 @@ class Index:
                 edges = np.column_stack([starts, ends - t.shingle + 1]).ravel()
                 at, items = t.search(np.minimum.reduceat(made, edges, axis=0)[::2], serves)
                 if in_order:
+                    more, held = self._share_enough(t, numbers, starts, ends, serves)
+                    at, items = np.append(at, more), np.append(items, held)
                     at, items = self._may_hold(at, items, tokens, starts, ends)
                 for w, k in zip(at.tolist(), items.tolist(), strict=True):
                     if k not in out[of[w]] and (self._holds_in_order if in_order else self._holds_passage)(k, tokens[starts[w] : ends[w]]):
                         out[of[w]].add(k)
         return out
 
+    def _share_enough(self, t: Table, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, serves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the exactly indexed items with enough words in a window of their class."""
+        places, owners = t.exact.hits(numbers)
+        if not len(places):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        windows, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        order = np.argsort(owners, kind="stable")
+        members, first = np.unique(owners[order], return_index=True)
+        for k, own in zip(members.tolist(), np.split(places[order], first[1:]), strict=True):
+            if len(own) >= (need := needed_words(len(self.tokens[k]))):
+                inside = np.searchsorted(own, ends) - np.searchsorted(own, starts)
+                some = np.flatnonzero((inside >= need) & ((serves >> t.class_of[k]) & 1 == 1))
+                windows.append(some)
+                held.append(np.full(len(some), k))
+        return np.concatenate(windows), np.concatenate(held)
+
     def _may_hold(self, at: np.ndarray, items: np.ndarray, tokens: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drops pairs whose window lacks too many of the item's words, whatever their order."""
         if not len(at):
@@ -299,6 +359,18 @@ def needed_words(n: int) -> int:
     return -(-n * KEPT_TENTHS // 10)
 
 
+def least_shared(bag: Counter[str]) -> int:
+    """The fewest distinct words among any 70 % of an item's words: the rarest are lost first."""
+    n, distinct = bag.total(), len(bag)
+    lost = n - needed_words(n)
+    for count in sorted(bag.values()):
+        lost -= count
+        if lost < 0:
+            break
+        distinct -= 1
+    return distinct
+
+
 def holds_in_order(item: list[str], window: list[str]) -> bool:
     """Whether some stretch of at most 1.5 times the item's words has 70 % of them in order.
 

@@ -70,6 +70,36 @@ def test_against_plain_rule(spark, corpus):
     assert (long, 17) in got
 
 
+def test_units_of_few_distinct_shingles_are_found():
+    """Repeated words: too few distinct shingles for equal MinHash values to be sure."""
+    r = random.Random(4)
+    items = [" ".join(f"i{k}x{j % d}" for j in range(n)) for d in (1, 2, 3, 5) for n in (6, 8, 11, 12, 13, 20, 24, 40) for k in [100 * d + n]]
+    index = leaks.Index(list(enumerate(items)))
+    parts, want = [], []
+    for _ in range(12):
+        for k, item in enumerate(items):
+            own = words(item)
+            size, pad = min(12, len(own)), lambda: [f"p{r.randint(0, 10**6)}" for _ in range(r.randint(20, 60))]
+            a = r.randint(0, len(own) - size)
+            parts.append(pad() + own[a : a + size] + pad())
+            want.append(k)
+            parts.append(own[: size - 1])  # the next part goes on with the missing word
+            want.append(None)
+            parts.append(own[size - 1 : size])
+            want.append(None)
+            if len(own) >= 20:
+                gap = iter(range(10**6))
+                parts.append(pad() + [w for j, w in enumerate(own) for w in ((w,) if j % 4 else (f"g{next(gap)}",))] + pad())
+                want.append(k)
+    found = index.found(parts)
+    for part, got, k in zip(parts, found, want, strict=True):
+        assert (k is None or k in got) and got == {j for j, t in enumerate(items) if (j == k or k is None) and holds(" ".join(part), t)}
+
+
+def test_least_shared():
+    assert leaks.least_shared(leaks.Counter("abcdefghijklmnopqrst")) == 14 and leaks.least_shared(leaks.Counter("abcde" * 4)) == 4 and leaks.least_shared(leaks.Counter("a" * 20)) == 1
+
+
 def test_blocks_of_items(spark, corpus, monkeypatch):
     documents, items = corpus
     df = spark.createDataFrame(list(enumerate(documents[:150])), "doc_id bigint, text string")
