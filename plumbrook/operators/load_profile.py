@@ -146,6 +146,7 @@ class Cells:
 def segment_parts(ordered: DataFrame, plans: list[ColumnPlan], cells: dict[int, Cells]) -> DataFrame:
     """One row per range and segment. cells counts present values per accepted cell, -1 for those in none."""
     kinds = {p.number: p.kind for p in plans}
+    days = {n: pa.array([_ordinal(kinds[n], i) for i in c.items], pa.int64()) for n, c in cells.items() if c.items is not None and kinds[n] in ("date", "timestamp")}
 
     def cell_numbers(number: int, ordinal: np.ndarray, text: pa.Array) -> np.ndarray | None:
         own = cells.get(number)
@@ -156,6 +157,8 @@ def segment_parts(ordered: DataFrame, plans: list[ColumnPlan], cells: dict[int,
         if own.items is not None:
             if kinds[number] == "text":
                 place = pc.index_in(text, value_set=pa.array(own.items, pa.string()))
+            elif number in days:
+                place = pc.index_in(pa.array(ordinal, pa.int64()), value_set=days[number])
             else:
                 place = pc.index_in(pa.array([str(x) for x in _shown(kinds[number], ordinal)], pa.string()), value_set=pa.array(own.items, pa.string()))
             return pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -276,7 +279,7 @@ def profile(df: DataFrame, names: Sequence[str], load: str, accepted: DataFrame
     rule_name it is; log rows without rule_name or primary_key count nowhere.
     """
     plans = plan_columns(df, names)
-    rows = [] if accepted is None else [r for r in accepted.limit(MOST_COLUMNS + 1).collect() if r["column_name"] in names]
+    rows = [] if accepted is None else _accepted_rows(accepted, names)
     table, cells = _accepted(rows, plans)
     found = segments(segment_parts(ranged(value_runs(df, plans, load)), plans, cells))
     row_count = F.col("present") + F.col("absent")
@@ -459,6 +462,14 @@ def _read_ordinal(kind: str, text: str) -> int:
 _ACCEPTED = "column_no int, a_count bigint, a_nulls bigint, a_unique bigint, least_ordinal bigint, most_ordinal bigint, least_accepted string, most_accepted string, cell_counts array<bigint>, rule string, a_violations bigint"
 
 
+def _accepted_rows(accepted: DataFrame, names: Sequence[str]) -> list:
+    """The accepted profiles of the named columns, whatever other columns the table holds."""
+    rows = accepted.where(F.col("column_name").isin(list(names))).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} accepted profiles")
+    return rows
+
+
 def _accepted(rows: list, plans: list[ColumnPlan]) -> tuple[list[tuple], dict[int, Cells]]:
     kinds = {p.name: p for p in plans}
     out, cells = [], {}
@@ -490,7 +501,7 @@ def findings(df: DataFrame, load: str, accepted: DataFrame, violations: DataFram
     accepted has one row per profiled column (at most MOST_COLUMNS) and is read to the driver; columns
     that df lacks are not compared. Shares are compared as whole numbers, without rounding.
     """
-    rows = [r for r in accepted.limit(MOST_COLUMNS + 1).collect() if r["column_name"] in df.columns]
+    rows = _accepted_rows(accepted, df.columns)
     plans = plan_columns(df, [r["column_name"] for r in rows])
     spark = df.sparkSession
     table, cells = _accepted(rows, plans)

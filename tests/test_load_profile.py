@@ -164,6 +164,18 @@ def test_odd_accepted_profiles(spark):
     assert got == [(1, "num", "distinct_count"), (1, "x", "value_range")]
 
 
+def test_accepted_profiles_of_other_columns_and_items_of_days(spark, monkeypatch):
+    monkeypatch.setattr(lp, "MOST_COLUMNS", 3)
+    rows = [(1, datetime.date(2024, 1, 1), datetime.datetime(2024, 1, 1, 5)), (1, datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 1, 6)), (2, datetime.date(2024, 1, 3), datetime.datetime(2024, 1, 1, 7))]
+    df = spark.createDataFrame(rows, "load_id bigint, day date, at timestamp")
+    own = [accepted("day", items=[("2024-01-01", 1), ("no day", 0), ("2024-01-02", 1)]), accepted("at", items=[("2024-01-01 05:00:00", 1), ("2024-01-01 06:00:00", 1)])]
+    table = spark.createDataFrame([accepted(f"absent{k}") for k in range(5)] + own, ACCEPTED).coalesce(1)
+    got = sorted(tuple(r) for r in lp.findings(df, "load_id", table, spark.createDataFrame([], VIOLATION)).collect())
+    assert got == [(2, "at", "drift"), (2, "day", "drift")]
+    with pytest.raises(ValueError):
+        lp.findings(df, "load_id", spark.createDataFrame(own * 2, ACCEPTED), spark.createDataFrame([], VIOLATION))
+
+
 def test_merge_sorted_across_batches():
     import pyarrow as pa
 
