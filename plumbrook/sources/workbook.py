@@ -3,7 +3,7 @@
 A workbook is one row and is made by one task, as its format demands; many workbooks are many rows.
 Columns named __x__ steer: __path__ names the workbook, __sheet__ the sheet, __rowid__ the order; none
 of them is shown. In a template, texts <<TABLE_STARTS_HERE>>, <<HEADER_STYLE>>, <<CELL_STYLE>> and
-<<COLUMN_STYLE:name>> give the place of the table and the styles of its cells.
+<<COLUMN_STYLE:name>> give the place of the table and the styles of its cells. A text too long for a cell is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PATH, SHEET, ROW_ID = "__path__", "__sheet__", "__rowid__"
 SPECIAL_COLUMN = re.compile(r"__.*__")
 _MARK = re.compile(r"<<(TABLE_STARTS_HERE|HEADER_STYLE|CELL_STYLE|COLUMN_STYLE)(?::(.*))?>>")
 _ANY_MARK = re.compile(r"<<.*>>")
+#: UTF-16 units that a cell holds; longer texts raise.
+MOST_TEXT = 32_767
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
@@ -269,7 +271,9 @@ def _cell(row: ET.Element, place: tuple[int, int], value: Any, style: int, confi
     elif isinstance(value, str | float) or config.convert_unsupported_types_to_string:
         cell.set("t", "inlineStr")
         text = ET.SubElement(ET.SubElement(cell, _tag("is")), _tag("t"), {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
-        text.text = _ILLEGAL.sub("", str(value))[:32_767]
+        text.text = _ILLEGAL.sub("", str(value))
+        if len(text.text.encode("utf-16-le", "surrogatepass")) > 2 * MOST_TEXT:
+            raise PlumbrookError(f"the text of cell {cell.get('r')} is longer than the {MOST_TEXT} characters a cell holds")
     else:
         raise PlumbrookError(f"values of type {type(value).__name__} can't be written to a cell")
 

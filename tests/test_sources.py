@@ -163,6 +163,14 @@ def template():
     return out.getvalue()
 
 
+def test_workbook_text_too_long_for_a_cell():
+    config = workbook.WorkbookConfig(use_header=False)
+    assert cells(workbook.workbook_bytes([workbook.Sheet("S", ["a"], [("x" * 32_767,)])], config)) == {"A1": "x" * 32_767}
+    for long in ("x" * 32_768, "\U0001f600" * 16_384):
+        with pytest.raises(PlumbrookError, match="cell B1"):
+            workbook.workbook_bytes([workbook.Sheet("S", ["a", "b"], [("x", long)])], config)
+
+
 def test_workbook_template():
     sheet = workbook.Sheet("Orders", ["value"], [(1,), (2,), (3,)])
     content = workbook.workbook_bytes([sheet], workbook.WorkbookConfig(template_xlsx=template()))
