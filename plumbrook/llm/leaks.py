@@ -4,18 +4,25 @@ Rule: a document leaks an item if it holds PASSAGE consecutive words of it (the
 shorter), or, for items of LONG words or more, if a stretch of at most 1.5 times the item's words
 holds at least 70 % of the item's words in the item's order.
 
-Method: the containment of a short set in a long one can't be seen in the signature of the whole
-document, so sizes are partitioned. Items are cut into units: passages of five-word shingles for the
-first rule, whole items as sets of words for the second. Units of like size form a class, and for each
+Method: items are cut into units: passages as sets of five-word shingles for the first rule, whole
+items as sets of words for the second. A unit's sketch holds, for each of a number of hash functions,
+the element of least hash value. The chance that this element lies in a set that holds the share c of
+the unit is c, whatever the size of that set, so the number of sketch elements found in a set measures
+the containment of the unit in it. Sizes are partitioned: units of like size form a class, and for each
 class the document is cut into overlapping windows in proportion to the class, such that any stretch
-that satisfies the rule lies in one window. That bounds the Jaccard similarity of unit and window from
-below, by the distinct shingles of the unit, and with it the number of equal MinHash values: the count
-that is asked for is missed by a true case with a probability under MISS. Units of so few distinct
-shingles that not even one equal value is sure are found by an exact index instead: passages by the hash
-of all their words, items by the words they share with a window. Candidates are verified exactly, by
+that satisfies the rule lies in one window. A window that holds a passage holds all of its sketch; one
+that satisfies the second rule holds at least the share of distinct words that is left when the words
+lost are those that cost most distinct ones, and the number of sketch elements asked for is missed by
+such a window with a probability under MISS. Units of so small a share that not even one element is sure
+take the counts of all their words in place of the sketch, which misses none.
+
+Candidates: of a unit's elements those that occur most often in the texts at hand are left aside as long
+as they can't make up the needed number by themselves; only the others are looked up, so that common words
+start nothing.
+What a window then holds of the whole sketch is counted, and candidates are verified exactly, by
 shingles and by order.
 
-The items are a stated query set: they are indexed in blocks of BLOCK items, each sent to all tasks;
+The items are a stated query set: they are indexed in blocks of bounded words, each sent to all tasks;
 documents are read once per block and never shuffled. Documents of any length are processed whole, in
 overlapping segments.
 
@@ -28,7 +35,6 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -41,165 +47,189 @@ from plumbrook.llm.words import words
 
 PASSAGE, SHINGLE, LONG = 12, 5, 20
 KEPT_TENTHS, STRETCH_HALVES = 7, 3
-#: Hash functions for shingle sets and for word sets.
-PASSAGE_HASHES, WORD_HASHES = 64, 128
+#: Hash functions of the sketches of shingle sets and of word sets.
+PASSAGE_HASHES, WORD_HASHES = 16, 256
 #: Greatest probability that the search misses a true case.
 MISS = 1e-6
 CLASS_RATIO = 1.2
-BLOCK = 20_000
-SEGMENT = 20_000
+#: Items and characters of items that are indexed at once; a block is held by every Python worker.
+BLOCK, BLOCK_CHARACTERS = 20_000, 4_000_000
+SEGMENT = 50_000
 _FOUND = pa.schema([("doc_id", pa.int64()), ("eval_id", pa.int64())])
 
 _random = np.random.Generator(np.random.PCG64(20_240))
-_A = _random.integers(1, 1 << 63, WORD_HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _random.integers(0, 1 << 63, WORD_HASHES, dtype=np.uint64)
+_SEEDS = _random.integers(1, 1 << 63, WORD_HASHES, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.empty(0, np.int64)
 
 
 def hashes(numbers: np.ndarray, count: int) -> np.ndarray:
-    """One row of `count` 32-bit hash values per number."""
-    mixed = numbers ^ (numbers >> np.uint64(31))
-    return ((mixed[:, None] * _A[None, :count] + _B[None, :count]) >> np.uint64(32)).astype(np.uint32)
+    """One row of `count` 64-bit hash values per number."""
+    x = numbers[:, None] ^ _SEEDS[None, :count]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketch(elements: np.ndarray, count: int) -> Counter[int]:
+    """The elements of least hash value, with the number of hash functions that choose them."""
+    chosen = elements[hashes(elements, count).argmin(axis=0)]
+    return Counter(chosen.tolist())
 
 
 def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of `size` words, by the position of its first word."""
+    """Hash of every run of `size` words, by the position of its first word; of single words their number."""
+    if size == 1:
+        return numbers
     out = np.zeros(max(0, len(numbers) - size + 1), dtype=np.uint64)
     for k in range(size):
         out = out * _P + numbers[k : k + len(out)]
     return out * _P
 
 
-def word_number(word: str, _known: dict[str, int] = {}) -> int:  # noqa: B006
-    """A 64-bit number of the word, the same everywhere; the cache is bounded."""
-    n = _known.get(word)
-    if n is None:
-        if len(_known) > 500_000:
-            _known.clear()
-        n = _known[word] = xxhash.xxh64_intdigest(word)
-    return n
+class _Numbers(dict):
+    """A 64-bit number per word, the same everywhere."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = xxhash.xxh64_intdigest(word)
+        return n
+
+
+_numbers = _Numbers()
+
+
+def word_numbers(tokens: list[str]) -> np.ndarray:
+    if len(_numbers) > 500_000:  # a cache: it is bounded
+        _numbers.clear()
+    return np.fromiter(map(_numbers.__getitem__, tokens), np.uint64, len(tokens))
 
 
 @lru_cache(maxsize=65536)
-def least_count(similarity: float, count: int, miss: float = MISS) -> int:
-    """The largest number of equal values that a pair of this similarity falls short of with probability < miss."""
+def least_count(share: float, count: int, miss: float = MISS) -> int:
+    """The largest number of sketch elements that a set with this share of a unit falls short of with probability < miss."""
+    if share >= 1:
+        return count
     total, k = 0.0, 0
     while k < count:
-        total += math.exp(math.lgamma(count + 1) - math.lgamma(k + 1) - math.lgamma(count - k + 1) + k * math.log(similarity) + (count - k) * math.log1p(-similarity)) if similarity < 1 else 0.0
+        total += math.exp(math.lgamma(count + 1) - math.lgamma(k + 1) - math.lgamma(count - k + 1) + k * math.log(share) + (count - k) * math.log1p(-share))
         if total >= miss:
             return k
         k += 1
     return count
 
 
-@dataclass
-class SizeClass:
-    """Units of like size and the windows they are searched in."""
-
-    shingle: int
-    hash_count: int
-    window: int
-    hop: int
-    others: float  # most shingles of a window that are none of the unit's
-    units: list[tuple[int, np.ndarray, int]] = field(default_factory=list)  # item, shingle hashes, needed count
-
-    def needed(self, distinct: int, shared: int) -> int:
-        """The equal values to ask for if a window holds `shared` of the `distinct` shingles of a unit; 0: none is sure."""
-        return least_count(shared / (distinct + self.others), self.hash_count)
-
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, in words, of the windows of a segment of `length` words."""
-        starts = np.arange(0, max(1, length - self.window + self.hop), self.hop)
-        return starts, np.minimum(starts + self.window, length)
-
-
-class Exact:
-    """Items by hash values of which all occurrences are wanted."""
-
-    def __init__(self, pairs: list[tuple[int, int]]):
-        table = sorted(set(pairs))
-        self.keys = np.array([k for k, _ in table], dtype=np.uint64)
-        self.owners = np.array([i for _, i in table], dtype=np.int64)
-
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, item) of every number that is a key of an item, by position."""
-        low = np.searchsorted(self.keys, numbers, "left")
-        counts = np.searchsorted(self.keys, numbers, "right") - low
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(np.arange(len(numbers)), counts), self.owners[np.repeat(low, counts) + offset]
-
-
-class Table:
-    """The MinHash values of the units of all classes that share shingle length and hash functions."""
-
-    def __init__(self, classes: list[SizeClass], item_count: int):
-        self.classes = classes
-        self.shingle, self.hash_count = classes[0].shingle, classes[0].hash_count
-        self.place = np.arange(self.hash_count, dtype=np.uint64) << np.uint64(32)
-        pairs = set()
-        self.needed, self.class_of = np.full(item_count, self.hash_count + 1), np.full(item_count, -1)
-        exact: list[tuple[int, int]] = []
-        for number, c in enumerate(classes):
-            for item, numbers, least in c.units:
-                self.class_of[item] = number
-                if least < 1:
-                    exact += [(int(k), item) for k in numbers]
-                    continue
-                pairs.update((int(k), item) for k in hashes(numbers, self.hash_count).min(axis=0).astype(np.uint64) | self.place)
-                self.needed[item] = min(self.needed[item], least)
-            c.units = []
-        self.exact = Exact(exact)
-        table = sorted(pairs)
-        self.keys = np.array([k for k, _ in table], dtype=np.uint64)
-        self.owners = np.array([i for _, i in table], dtype=np.int64)
-
-    def windows(self, parts: list[list[str]], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Segment, start and end (in the joined words) of the distinct windows, and which classes each serves."""
-        rows: dict[tuple[int, int, int], int] = {}
-        serves: list[int] = []
-        for k, part in enumerate(parts):
-            if len(part) < self.shingle:
-                continue
-            for number, c in enumerate(self.classes):
-                if len(part) <= c.window:
-                    own = [(0, len(part))]
-                else:
-                    s, e = c.windows(len(part))
-                    own = zip(s.tolist(), e.tolist(), strict=True)
-                for a, b in own:
-                    if b - a >= self.shingle:
-                        row = rows.setdefault((k, a, b), len(serves))
-                        if row == len(serves):
-                            serves.append(0)
-                        serves[row] |= 1 << number
-        found = np.array(list(rows), dtype=np.int64).reshape(-1, 3)
-        base = offsets[found[:, 0]]
-        return found[:, 0], found[:, 1] + base, found[:, 2] + base, np.array(serves, dtype=np.int64)
-
-    def search(self, signatures: np.ndarray, serves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all pairs with the needed number of equal values and a window of the item's class."""
-        if not len(self.keys):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        asked = (signatures.astype(np.uint64) | self.place[None, :]).ravel()
-        low = np.searchsorted(self.keys, asked, "left")
-        which = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == asked)
-        if not len(which):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        low = low[which]
-        counts = np.searchsorted(self.keys, asked[which], "right") - low
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        items = self.owners[np.repeat(low, counts) + offset]
-        windows = np.repeat(which // self.hash_count, counts)
-        total = len(self.class_of)
-        equal = np.bincount(windows * total + items) if len(signatures) * total < 20_000_000 else None
-        if equal is not None:
-            pair = np.flatnonzero(equal)
-            equal = equal[pair]
-        else:
-            pair, equal = np.unique(windows * total + items, return_counts=True)
-        at, items = pair // total, pair % total
-        keep = (equal >= self.needed[items]) & ((serves[at] >> self.class_of[items]) & 1 == 1)
-        return at[keep], items[keep]
+class Units:
+    """The units of all size classes whose elements are runs of `run` words, ready to be searched."""
+
+    def __init__(self, run: int):
+        self.run = run
+        self.classes: list[tuple[int, int]] = []  # window and hop, in words
+        self.rows: list[tuple[int, int, int, int, dict[int, int], dict[int, int]]] = []
+
+    def add_class(self, window: int, hop: int) -> int:
+        self.classes.append((window, hop))
+        return len(self.classes) - 1
+
+    def add(self, item: int, size_class: int, needed: int, weights: dict[int, int], most: int = 0, held: dict[int, int] | None = None) -> None:
+        """A unit whose windows hold elements of a total weight of `needed`, and of a total of `held` of `most`."""
+        self.rows.append((item, size_class, needed, most, weights, held or {}))
+
+    def close(self) -> Units:
+        elements = np.array(sorted({e for *_, weights, held in self.rows for e in {*weights, *held}}), dtype=np.uint64)
+        place = {e: k for k, e in enumerate(elements.tolist())}
+        self.elements, width = elements, max(1, len(elements))
+        self.item, self.size_class, self.needed, self.most = (np.array([r[k] for r in self.rows], dtype=np.int64) for k in range(4))
+        entries = sorted((number * width + place[e], weights.get(e, 0), held.get(e, 0)) for number, (*_, weights, held) in enumerate(self.rows) for e in {*weights, *held})
+        self.keys, self.weight, self.held = (np.array([e[k] for e in entries], dtype=np.int64) for k in range(3))
+        chosen = np.flatnonzero(self.weight)
+        self.own_unit, self.own_place, self.own_weight = self.keys[chosen] // width, self.keys[chosen] % width, self.weight[chosen]
+        self.rows = []
+        return self
+
+    def _starts(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units to look for from each element, and where those of an element begin.
+
+        Of every unit's elements, the ones that occur most often here are left aside while their weights together
+        are below the needed weight.
+        """
+        often = np.bincount(place, minlength=len(self.elements))[self.own_place]
+        order = np.lexsort((-often, self.own_unit))
+        unit = self.own_unit[order]
+        upto = np.cumsum(self.own_weight[order])
+        upto -= (upto - self.own_weight[order])[np.searchsorted(unit, unit)]
+        order = order[upto >= self.needed[unit]]
+        order = order[np.argsort(self.own_place[order], kind="stable")]
+        return self.own_unit[order], np.searchsorted(self.own_place[order], np.arange(len(self.elements) + 1))
+
+    def search(self, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Item, part, first and last word of every window with enough of a unit, and how many windows were counted.
+
+        numbers are those of the joined words of all parts, offsets the first word of each and the end.
+        """
+        own = shingles(numbers, self.run)
+        if not len(own) or not len(self.elements):
+            return _EMPTY, _EMPTY, _EMPTY, _EMPTY, 0
+        part = np.searchsorted(offsets, np.arange(len(own)), "right") - 1
+        place = np.searchsorted(self.elements, own)
+        place[place == len(self.elements)] = 0
+        known = (self.elements[place] == own) & (np.arange(len(own)) + self.run <= offsets[part + 1])
+        at = np.flatnonzero(known)
+        place = place[at]
+        start_unit, first = self._starts(place)
+        counts = first[place + 1] - first[place]
+        if not counts.any():
+            return _EMPTY, _EMPTY, _EMPTY, _EMPTY, 0
+        unit = start_unit[_expand(first[place], counts)]
+        where = np.repeat(at, counts)
+        # The windows of the unit's class around each start.
+        window, hop = np.array(self.classes, dtype=np.int64)[self.size_class[unit]].T
+        of = part[where]
+        length = offsets[of + 1] - offsets[of]
+        inside = where - offsets[of]
+        last = np.maximum(0, -((window - length) // hop))  # the first window that reaches the end
+        low = np.minimum(np.maximum(0, -((window - self.run - inside) // hop)), last)
+        high = np.minimum(inside // hop, last)
+        spread = high - low + 1
+        begin = np.repeat(offsets[of], spread) + _expand(low, spread) * np.repeat(hop, spread)
+        pairs = np.unique(np.repeat(unit, spread) * (len(numbers) + 1) + begin)
+        unit, begin = pairs // (len(numbers) + 1), pairs % (len(numbers) + 1)
+        of = part[begin]
+        end = np.minimum(begin + np.array([w for w, _ in self.classes], dtype=np.int64)[self.size_class[unit]], offsets[of + 1])
+        enough = self._enough(unit, begin, end - self.run + 1, at, place)
+        return self.item[unit[enough]], of[enough], begin[enough], end[enough], len(pairs)
+
+    def _enough(self, unit: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows hold the needed weight of the unit's elements, each counted once."""
+        before = np.full(len(at), -1, dtype=np.int64)  # where the same element stood last
+        order = np.argsort(place, kind="stable")
+        same = np.flatnonzero(place[order][1:] == place[order][:-1])
+        before[order[same + 1]] = at[order[same]]
+        low, high = np.searchsorted(at, begin), np.searchsorted(at, end)
+        out = np.zeros(len(unit), dtype=bool)
+        total = np.cumsum(high - low)
+        step = 2_000_000
+        first = 0
+        while first < len(unit):
+            done = total[first - 1] if first else 0
+            upto = max(first + 1, int(np.searchsorted(total, done + step, "right")))
+            size = (high - low)[first:upto]
+            row, k = np.repeat(np.arange(first, upto), size), _expand(low[first:upto], size)
+            new = before[k] < begin[row]
+            row, k = row[new], k[new]
+            key = unit[row] * len(self.elements) + place[k]
+            entry = np.searchsorted(self.keys, key)
+            entry[entry == len(self.keys)] = 0
+            hit = self.keys[entry] == key
+            row, entry = row[hit] - first, entry[hit]
+            weight, held = (np.bincount(row, v[entry], minlength=upto - first) for v in (self.weight, self.held))
+            out[first:upto] = (weight >= self.needed[unit[first:upto]]) & (held >= self.most[unit[first:upto]])
+            first = upto
+        return np.flatnonzero(out)
+
+
+def _expand(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each count, joined."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
 class Index:
@@ -212,56 +242,49 @@ class Index:
             if eval_id is not None and (own := words(text)):
                 self.ids.append(eval_id)
                 self.tokens.append(own)
-        self.passages = [self._passages(t) for t in self.tokens]
+        self.joined = [f" {' '.join(t)} " for t in self.tokens]
         self.bags = [Counter(t) for t in self.tokens]
-        classes = self._passage_classes()
-        by_shingle: dict[int, list[SizeClass]] = defaultdict(list)
-        for c in classes:
-            by_shingle[c.shingle].append(c)
-        self.passage_tables = [Table(own, len(self.ids)) for own in by_shingle.values()]
-        long = self._word_classes()
-        self.word_tables = [Table(long[k : k + 60], len(self.ids)) for k in range(0, len(long), 60)]
-        self.overlap = max([1, *(c.window for t in self.passage_tables + self.word_tables for c in t.classes)])
-
-    @staticmethod
-    def _passages(tokens: list[str]) -> frozenset[tuple[str, ...]]:
-        size = min(PASSAGE, len(tokens))
-        return frozenset(tuple(tokens[i : i + size]) for i in range(len(tokens) - size + 1))
-
-    def _passage_classes(self) -> list[SizeClass]:
-        classes: dict[int, SizeClass] = {}
-        exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.counted = self.verified = 0
+        self.passages = [u.close() for u in self._passage_units().values()]
+        self.whole = self._word_units().close()
+        self.overlap = max([1, *(window for u in [*self.passages, self.whole] for window, _ in u.classes)])
+
+    def _passage_units(self) -> dict[int, Units]:
+        by_run: dict[int, Units] = {}
+        classes: dict[int, int] = {}
         for k, tokens in enumerate(self.tokens):
             size = min(PASSAGE, len(tokens))
-            shingle = min(SHINGLE, size)
+            run = min(SHINGLE, size)
+            units = by_run.setdefault(run, Units(run))
             if size not in classes:
-                window, hop = (size, 1) if size <= SHINGLE else (2 * size, size)
-                classes[size] = SizeClass(shingle, PASSAGE_HASHES, window, hop, window - size)
-            own = np.array([word_number(w) for w in tokens], dtype=np.uint64)
-            numbers, span = shingles(own, shingle), size - shingle + 1
-            for i, whole in enumerate(shingles(own, size).tolist()):
-                distinct = len(set(numbers[i : i + span].tolist()))
-                if (least := classes[size].needed(distinct, distinct)) < 1:
-                    exact[size].append((whole, k))
-                else:
-                    classes[size].units.append((k, numbers[i : i + span], least))
-        self.exact_passages = {size: Exact(pairs) for size, pairs in exact.items()}
-        return list(classes.values())
-
-    def _word_classes(self) -> list[SizeClass]:
+                classes[size] = units.add_class(2 * size, size)
+            own = shingles(word_numbers(tokens), run)
+            span = size - run + 1
+            for elements in {frozenset(own[i : i + span].tolist()) for i in range(len(own) - span + 1)}:
+                # All of a passage is held, so every hash function's element is.
+                units.add(k, classes[size], PASSAGE_HASHES, sketch(np.array(sorted(elements), dtype=np.uint64), PASSAGE_HASHES))
+        return by_run
+
+    def _word_units(self) -> Units:
+        units = Units(1)
         by_size: dict[int, list[int]] = defaultdict(list)
         for k, tokens in enumerate(self.tokens):
             if len(tokens) >= LONG:
                 by_size[int(math.log(len(tokens) / LONG, CLASS_RATIO))].append(k)
-        classes = []
         for members in by_size.values():
             stretch = max(len(self.tokens[k]) for k in members) * STRETCH_HALVES // 2
             hop = max(1, stretch // 2)
-            # Words of the item in the order, at least, are not others.
-            c = SizeClass(1, WORD_HASHES, stretch + hop, hop, stretch + hop - min(needed_words(len(self.tokens[k])) for k in members))
-            c.units = [(k, np.array([word_number(w) for w in self.bags[k]], dtype=np.uint64), c.needed(len(self.bags[k]), least_shared(self.bags[k]))) for k in members]
-            classes.append(c)
-        return classes
+            number = units.add_class(stretch + hop, hop)
+            for k in members:
+                bag = self.bags[k]
+                elements = word_numbers(list(bag))
+                held, most = dict(zip(elements.tolist(), bag.values(), strict=True)), needed_words(len(self.tokens[k]))
+                needed = least_count(least_shared(bag) / len(bag), WORD_HASHES)
+                if needed >= 1:
+                    units.add(k, number, needed, sketch(elements, WORD_HASHES), most, held)
+                else:
+                    units.add(k, number, most, held, most, held)
+        return units
 
     def found(self, parts: list[list[str]]) -> list[set[int]]:
         """The items, by position, that each of some segments of documents leaks."""
@@ -270,81 +293,21 @@ class Index:
         tokens = [w for p in parts for w in p]
         if not tokens:
             return out
-        numbers = np.fromiter(map(word_number, tokens), np.uint64, len(tokens))
-        for size, exact in self.exact_passages.items():
-            at, items = exact.hits(shingles(numbers, size))
-            part = np.searchsorted(offsets, at, "right") - 1
-            whole = at + size <= offsets[part + 1]
-            for p, a, k in zip(part[whole].tolist(), at[whole].tolist(), items[whole].tolist(), strict=True):
-                if k not in out[p] and tuple(tokens[a : a + size]) in self.passages[k]:
-                    out[p].add(k)
-        for tables, in_order in ((self.passage_tables, False), (self.word_tables, True)):
-            for t in tables:
-                own, place = np.unique(numbers if in_order else shingles(numbers, t.shingle), return_inverse=True)
-                of, starts, ends, serves = t.windows(parts, offsets)
-                if not len(starts):
-                    continue
-                made = hashes(own, t.hash_count)[np.append(place, place[-1:])]  # reduceat needs a row beyond the last
-                edges = np.column_stack([starts, ends - t.shingle + 1]).ravel()
-                at, items = t.search(np.minimum.reduceat(made, edges, axis=0)[::2], serves)
-                if in_order:
-                    more, held = self._share_enough(t, numbers, starts, ends, serves)
-                    at, items = np.append(at, more), np.append(items, held)
-                    at, items = self._may_hold(at, items, tokens, starts, ends)
-                for w, k in zip(at.tolist(), items.tolist(), strict=True):
-                    if k not in out[of[w]] and (self._holds_in_order if in_order else self._holds_passage)(k, tokens[starts[w] : ends[w]]):
-                        out[of[w]].add(k)
+        numbers = word_numbers(tokens)
+        for units in [*self.passages, self.whole]:
+            holds = self._holds_in_order if units is self.whole else self._holds_passage
+            items, of, begin, end, counted = units.search(numbers, offsets)
+            self.counted += counted
+            for k, p, a, b in zip(items.tolist(), of.tolist(), begin.tolist(), end.tolist(), strict=True):
+                if k not in out[p]:
+                    self.verified += 1
+                    if holds(k, tokens[a:b]):
+                        out[p].add(k)
         return out
 
-    def _share_enough(self, t: Table, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, serves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of the exactly indexed items with enough words in a window of their class."""
-        places, owners = t.exact.hits(numbers)
-        if not len(places):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        windows, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        order = np.argsort(owners, kind="stable")
-        members, first = np.unique(owners[order], return_index=True)
-        for k, own in zip(members.tolist(), np.split(places[order], first[1:]), strict=True):
-            if len(own) >= (need := needed_words(len(self.tokens[k]))):
-                inside = np.searchsorted(own, ends) - np.searchsorted(own, starts)
-                some = np.flatnonzero((inside >= need) & ((serves >> t.class_of[k]) & 1 == 1))
-                windows.append(some)
-                held.append(np.full(len(some), k))
-        return np.concatenate(windows), np.concatenate(held)
-
-    def _may_hold(self, at: np.ndarray, items: np.ndarray, tokens: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Drops pairs whose window lacks too many of the item's words, whatever their order."""
-        if not len(at):
-            return at, items
-        windows, row = np.unique(at, return_inverse=True)
-        members, column = np.unique(items, return_inverse=True)
-        vocabulary: dict[str, int] = {}
-        for k in members:
-            for w in self.bags[k]:
-                vocabulary.setdefault(w, len(vocabulary))
-        counts = np.zeros((len(vocabulary), len(members)), np.float32)
-        for c, k in enumerate(members):
-            for w, n in self.bags[k].items():
-                counts[vocabulary[w], c] = n
-        number = np.fromiter((vocabulary.get(w, -1) for w in tokens), np.int64, len(tokens))
-        most = np.empty(len(at), np.float32)
-        step = max(1, 4_000_000 // max(1, len(vocabulary)))
-        for first in range(0, len(windows), step):
-            some = windows[first : first + step]
-            held = np.zeros((len(some), len(vocabulary)), np.float32)
-            for r, w in enumerate(some):
-                own = number[starts[w] : ends[w]]
-                held[r, own[own >= 0]] = 1
-            bound = held @ counts
-            mine = (row >= first) & (row < first + step)
-            most[mine] = bound[row[mine] - first, column[mine]]
-        need = np.array([needed_words(len(self.tokens[k])) for k in members], np.float32)[column]
-        keep = most >= need
-        return at[keep], items[keep]
-
     def _holds_passage(self, k: int, window: list[str]) -> bool:
-        size = min(PASSAGE, len(self.tokens[k]))
-        return any(tuple(window[i : i + size]) in self.passages[k] for i in range(len(window) - size + 1))
+        size, joined = min(PASSAGE, len(self.tokens[k])), self.joined[k]
+        return any(f" {' '.join(window[i : i + size])} " in joined for i in range(len(window) - size + 1))
 
     def _holds_in_order(self, k: int, window: list[str]) -> bool:
         n, bag = len(self.tokens[k]), self.bags[k]
@@ -441,8 +404,9 @@ def _search(documents: DataFrame, items: list[tuple[int, str | None]]) -> DataFr
 
 def leaks(documents: DataFrame, eval_item: DataFrame) -> DataFrame:
     """doc_id, eval_id of every document and item that it leaks."""
-    picked = eval_item.select(F.col("eval_id").cast("bigint").alias("eval_id"), F.col("item_text").cast("string").alias("item_text"))
-    blocks = max(1, math.ceil(picked.count() / BLOCK))
+    picked = eval_item.select(F.col("eval_id").cast("bigint").alias("eval_id"), F.col("item_text").cast("string").alias("item_text")).distinct()
+    size = picked.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("characters")).first()
+    blocks = max(1, math.ceil(size["items"] / BLOCK), math.ceil(size["characters"] / BLOCK_CHARACTERS))
     out = None
     for k in range(blocks):
         block = picked.where(F.pmod(F.xxhash64("eval_id", "item_text"), F.lit(blocks)) == k)

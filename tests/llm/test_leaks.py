@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,13 +120,31 @@ def test_order_check(item, window):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.integers(1, 400), st.sampled_from([(24, 12), (5, 1), (109, 36), (16, 8)]))
-def test_windows_hold_every_stretch(length, sizes):
-    c = leaks.SizeClass(1, 8, *sizes, 0.5)
-    starts, ends = c.windows(length)
-    reach = sizes[0] - sizes[1] + 1
+@given(st.integers(1, 400), st.integers(0, 9), st.sampled_from([(24, 12), (10, 5), (109, 36), (16, 8)]))
+def test_windows_hold_every_stretch(length, before, sizes):
+    window, hop = sizes
+    reach = window - hop
+    offsets = np.array([0, before, before, before + length, before + length + 3])
+    numbers = np.arange(offsets[-1], dtype=np.uint64) + np.uint64(1000)
     for s in range(max(1, length - reach + 1)):
-        assert any(a <= s and min(length, s + reach) <= b for a, b in zip(starts, ends, strict=True))
+        first, last = before + s, before + min(length, s + reach) - 1
+        units = leaks.Units(1)
+        units.add(7, units.add_class(window, hop), 1 if first == last else 3, {1000 + first: 1, 1000 + last: 1 if first == last else 2})
+        item, part, begin, end, _ = units.close().search(numbers, offsets)
+        assert set(item.tolist()) == {7} and set(part.tolist()) == {2} and all(a <= first and last < b <= before + length for a, b in zip(begin, end, strict=True))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 12), st.integers(1, 5), min_size=1), min_size=1, max_size=6), st.lists(st.lists(st.integers(0, 14), max_size=30), min_size=1, max_size=4), st.integers(1, 12))
+def test_what_is_left_aside_loses_no_unit(weights, parts, needed):
+    units = leaks.Units(1)
+    for k, w in enumerate(weights):
+        units.add(k, units.add_class(40, 20), min(needed, sum(w.values())), w)
+    units.close()
+    offsets = np.cumsum([0] + [len(p) for p in parts])
+    item, part, *_ = units.search(np.array([x for p in parts for x in p], dtype=np.uint64), offsets)
+    want = {(k, p) for k, w in enumerate(weights) for p, own in enumerate(parts) if sum(n for e, n in w.items() if e in own) >= min(needed, sum(w.values()))}
+    assert set(zip(item.tolist(), part.tolist(), strict=True)) == want
 
 
 def test_needed_counts():
@@ -133,6 +152,19 @@ def test_needed_counts():
     assert leaks.needed_words(20) == 14 and leaks.needed_words(21) == 15
 
 
+def test_common_words_start_no_search():
+    """Items that share most words with all documents: few windows are counted, fewer verified."""
+    r = random.Random(5)
+    common = [f"w{k}" for k in range(30)]
+    text = lambda n, own: [r.choice(common) if r.random() < 0.35 else f"{own}{r.randint(0, 10**6)}" for _ in range(n)]
+    items = [text(40, "i") for _ in range(200)]
+    parts = [text(120, "d") for _ in range(400)] + [text(20, "e") + items[3] + text(20, "e")]
+    index = leaks.Index([(k, " ".join(t)) for k, t in enumerate(items)])
+    found = index.found(parts)
+    assert found[-1] == {3} and not any(found[:-1])
+    assert index.counted < len(parts) * len(items) / 10 and index.verified < 20
+
+
 def test_segments_cover_everything():
     tokens = [str(k) for k in range(100_000)]
     parts = list(leaks.segments(tokens, 300))
