@@ -11,6 +11,7 @@ import decimal
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 #: Other spellings of simple type names.
 SYNONYMS = {"int": "integer", "bigint": "long", "smallint": "short", "tinyint": "byte", "bool": "boolean", "real": "float", "numeric": "decimal(10,0)", "decimal": "decimal(10,0)"}
@@ -18,7 +19,7 @@ INTEGER_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
 
 _DECIMAL = re.compile(r"decimal\(\s*(\d+)\s*,\s*(-?\d+)\s*\)")
 _WHOLE = re.compile(r"[+-]?[0-9]+")
-_NUMERAL = re.compile(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?")
+_NUMERAL = re.compile(r"\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*")
 _FIXED = re.compile(r"[+-]?([0-9]*)(?:\.([0-9]*))?")
 _DATE_PART = re.compile(r"y+|M+|d+|'[^']*'|.", re.S)
 
@@ -50,6 +51,7 @@ def is_numeric(kind: str) -> bool:
     return kind in INTEGER_BITS or kind in ("double", "float") or kind.startswith("decimal(")
 
 
+@lru_cache(maxsize=256)
 def date_reader(pattern: str | None) -> Callable[[str], datetime.date | None]:
     """Reads a day in a pattern of y, M, d and literal characters; None if it is no existing day."""
     parts: list[str] = []
@@ -64,6 +66,7 @@ def date_reader(pattern: str | None) -> Callable[[str], datetime.date | None]:
     except re.error:
         return lambda text: None
 
+    @lru_cache(maxsize=20_000)
     def read(text: str) -> datetime.date | None:
         if not (m := whole.fullmatch(text)):
             return None
@@ -77,12 +80,18 @@ def date_reader(pattern: str | None) -> Callable[[str], datetime.date | None]:
     return read
 
 
-def value_check(kind: str, pattern: str | None = None) -> Callable[[str], bool]:
-    """Whether a text is a value of the type; blanks around numbers do not matter."""
+def value_check(kind: str, pattern: str | None = None) -> Callable[[str], object] | None:
+    """Tells by a true value whether a text is a value of the type; None if every text is.
+
+    Blanks around numbers do not matter.
+    """
     if kind in INTEGER_BITS:
         bound = 1 << (INTEGER_BITS[kind] - 1)
+        short = re.compile(r"\s*[+-]?[0-9]{1,%d}\s*" % (len(str(bound)) - 1)).fullmatch  # in range whatever the digits
 
-        def whole(text: str) -> bool:
+        def whole(text: str) -> object:
+            if short(text):
+                return True
             text = text.strip()
             if not _WHOLE.fullmatch(text):
                 return False
@@ -91,23 +100,22 @@ def value_check(kind: str, pattern: str | None = None) -> Callable[[str], bool]:
 
         return whole
     if kind in ("double", "float"):
-        return lambda text: _NUMERAL.fullmatch(text.strip()) is not None
+        return _NUMERAL.fullmatch
     if m := _DECIMAL.fullmatch(kind):
         before, after = int(m[1]) - int(m[2]), int(m[2])
+        if before < 0 or after < 0:  # no Spark type; the digits are counted
 
-        def fixed(text: str) -> bool:
-            m = _FIXED.fullmatch(text.strip())
-            if not m or not (m[1] or m[2]):
-                return False
-            return len(m[1].lstrip("0")) <= before and len(m[2] or "") <= after
+            def fixed(text: str) -> object:
+                m = _FIXED.fullmatch(text.strip())
+                return m and (m[1] or m[2]) and len(m[1].lstrip("0")) <= before and len(m[2] or "") <= after
 
-        return fixed
+            return fixed
+        return re.compile(r"\s*[+-]?(?=\.?[0-9])0*[0-9]{0,%d}(?:\.[0-9]{0,%d})?\s*" % (before, after)).fullmatch
     if kind == "date":
-        read = date_reader(pattern)
-        return lambda text: read(text) is not None
+        return date_reader(pattern)
     if kind == "boolean":
         return lambda text: text.lower() in ("true", "false")
-    return lambda text: True
+    return None
 
 
 def canonical_value(kind: str, pattern: str | None = None) -> Callable[[str], str]:

@@ -4,10 +4,13 @@ Method: similarity flooding. The schemas of a file and of the one before it are
 node, field nodes, name nodes and type nodes (nested types have nodes of their own), with edges
 `field`, `name`, `type`, `element`, `key`, `member`. Pairs of nodes that are reached by equal edges
 pass their scores to each other until the scores no longer change; name pairs start from the likeness
-of the names, type pairs from that of the types. Fields of equal names correspond; the other pairs
-that hold a score are verified on the values of the records that both files share, and the
-correspondences that are consistent (one to one) are taken in the order of their scores. Values are
-then cast to the narrowest common type of their column and all files become one table.
+of the names, type pairs from that of the types. Fields of equal names correspond; of the other pairs those correspond
+by the method that are each other's best. Values are then cast to the narrowest common type of their
+column and all files become one table.
+
+Names and types alone can't tell that two fields hold the same values. Where that is the rule, all pairs
+of a gone and a new field are candidates, counted on the records that both files share, and the
+consistent ones (one to one) are taken in the order of their shares, then of their scores.
 
 Defined results: names are compared in lower case without outer blanks, the first of equal names of a
 file counts; files without table name or instant are in no sequence; files of equal instants follow
@@ -154,7 +157,17 @@ def flood(left: tuple[tuple[str, str], ...], right: tuple[tuple[str, str], ...])
     return {(at_a[x], at_b[y]): float(score[k]) for (x, y), k in number.items() if x in at_a and y in at_b}
 
 
-_MATCHES = "file_id bigint, prior_id bigint, kind string, old_name string, new_name string, old_type string, new_type string, old_no int, new_no int, score double"
+def each_others_best(scores: dict[tuple[str, str], float]) -> set[tuple[str, str]]:
+    """The pairs of which neither side has a pair of higher score; of equal scores the first by name counts."""
+    best: dict[tuple[int, str], tuple[float, tuple[str, str]]] = {}
+    for pair, score in sorted(scores.items()):
+        for side in (0, 1):
+            if score > 0 and ((side, pair[side]) not in best or score > best[side, pair[side]][0]):
+                best[side, pair[side]] = (score, pair)
+    return {pair for pair in scores if all((side, pair[side]) in best and best[side, pair[side]][1] == pair for side in (0, 1))}
+
+
+_MATCHES = "file_id bigint, prior_id bigint, kind string, old_name string, new_name string, old_type string, new_type string, old_no int, new_no int, score double, best boolean"
 
 
 def _match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,17 +179,16 @@ def _match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gone, come = [f for f in old if f[0] not in new_by], [f for f in new if f[0] not in old_by]
             for name, kind, k in new:
                 if name in old_by:
-                    rows.append((file_id, prior_id, "kept", name, name, old_by[name][1], kind, old_by[name][2], k, 1.0))
-            rows += [(file_id, prior_id, "gone", f[0], None, f[1], None, f[2], None, None) for f in gone]
-            rows += [(file_id, prior_id, "new", None, f[0], None, f[1], None, f[2], None) for f in come]
+                    rows.append((file_id, prior_id, "kept", name, name, old_by[name][1], kind, old_by[name][2], k, 1.0, None))
+            rows += [(file_id, prior_id, "gone", f[0], None, f[1], None, f[2], None, None, None) for f in gone]
+            rows += [(file_id, prior_id, "new", None, f[0], None, f[1], None, f[2], None, None) for f in come]
             if gone and come:
-                scores = flood(tuple(f[:2] for f in old), tuple(f[:2] for f in new))
+                every = flood(tuple(f[:2] for f in old), tuple(f[:2] for f in new))
                 place_old, place_new = {f[0]: k for k, f in enumerate(old)}, {f[0]: k for k, f in enumerate(new)}
-                for f in gone:
-                    for g in come:
-                        if (score := scores.get((place_old[f[0]], place_new[g[0]]), 0.0)) > 0:
-                            rows.append((file_id, prior_id, "candidate", f[0], g[0], f[1], g[1], f[2], g[2], score))
-        out = pd.DataFrame(rows, columns=["file_id", "prior_id", "kind", "old_name", "new_name", "old_type", "new_type", "old_no", "new_no", "score"])
+                scores = {(f[0], g[0]): every.get((place_old[f[0]], place_new[g[0]]), 0.0) for f in gone for g in come}
+                best = each_others_best(scores)
+                rows += [(file_id, prior_id, "candidate", f[0], g[0], f[1], g[1], f[2], g[2], scores[f[0], g[0]], (f[0], g[0]) in best) for f in gone for g in come]
+        out = pd.DataFrame(rows, columns=["file_id", "prior_id", "kind", "old_name", "new_name", "old_type", "new_type", "old_no", "new_no", "score", "best"])
         yield out.astype({"old_no": "Int32", "new_no": "Int32"})
 
 
@@ -191,37 +203,57 @@ def matches(files: DataFrame, layout: DataFrame) -> DataFrame:
 # Verification on shared records
 
 
-def _spread(rows: DataFrame, per_file: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join on the file; rows of one file are spread over parts, so that a file with a third of them is no hot key."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(rejects.SALTS - 1)))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(rejects.SALTS)).cast("int"))
-    return salted.join(per_file.withColumn("salt", parts), [key, "salt"]).drop("salt")
+def _spread(rows: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Inner join on the file and block of lines, so that a file with a third of the rows is no hot key."""
+    blocks = rows.withColumn("block", rejects.block(F.col("line_no")))
+    there = blocks.select("file_id", "block").distinct().join(per_file, "file_id")
+    return blocks.join(there, ["file_id", "block"]).drop("block")
+
+
+def _pairs(matched: DataFrame) -> DataFrame:
+    """file_id, prior_id and the gone and new fields (name, place) of the files that have both."""
+    listed = lambda name, no: F.array_sort(F.collect_set(F.struct(F.col(name).alias("name"), F.col(no).alias("no"))))
+    return matched.where("kind = 'candidate'").groupBy("file_id", "prior_id").agg(listed("old_name", "old_no").alias("gone"), listed("new_name", "new_no").alias("come"))
+
+
+def asked(matched: DataFrame, layout: DataFrame) -> DataFrame:
+    """The layouts of the files whose records tell about renames, with what rejects.picked is to take from them.
+
+    A file is the newer one of its own pairs and the older one of the next file's.
+    """
+    pairs = _pairs(matched)
+    pick = lambda file, newer, fields: pairs.select(F.col(file).alias("of"), F.struct(F.col("file_id"), F.lit(newer).alias("newer"), F.col(f"{fields}.no").alias("places")).alias("pick"))
+    picks = pick("file_id", True, "come").unionByName(pick("prior_id", False, "gone")).groupBy(F.col("of").alias("file_id")).agg(F.to_json(F.collect_list("pick")).alias("picks"))
+    text = F.concat(F.expr("substring(layout, 1, length(layout) - 1)"), F.lit(',"picks":'), F.col("picks"), F.lit("}"))
+    return layout.join(picks, "file_id").select("file_id", text.alias("layout"))
 
 
-def shares(matched: DataFrame, records: DataFrame) -> DataFrame:
+def shares(matched: DataFrame, sides: DataFrame) -> DataFrame:
     """Candidates with shared_records and same_values, counted over the keys valid in both files.
 
-    records: rejects.loaded(). The key is the first value. Records are grouped by file and key, which
-    spreads any file over all tasks; only files that have candidates take part.
+    sides: rejects.picked() of the records by the layouts of asked(). Records are grouped by file and key, which
+    spreads any file over all tasks. Candidates without any record of equal values are not listed.
     """
-    candidate = matched.where("kind = 'candidate'")
-    wanted = candidate.groupBy("file_id", "prior_id").agg(F.array_sort(F.collect_list(F.struct("old_name", "new_name", "old_no", "new_no", "score"))).alias("pairs"))
-    keyed = records.where("row_values[0] IS NOT NULL").withColumn("key", F.trim(F.col("canonical_values")[0]))
-    # A file is the newer one of its own pairs and the older one of the next file's.
-    per_file = wanted.select("file_id", F.col("pairs").alias("own")).join(wanted.select(F.col("prior_id").alias("file_id"), F.col("file_id").alias("next_id"), F.col("pairs").alias("next")), "file_id", "full")
-    spread = _spread(keyed, per_file, "file_id", "line_no")
-    # Where a type changes, a value may be read as a number on one side and as text on the other.
-    picked = lambda pairs, no: F.transform(pairs, lambda p: F.struct(F.get("canonical_values", p[no]).alias("value"), F.trim(F.get("row_values", p[no])).alias("text")))
-    side = lambda pairs, file_id, newer, no: F.when(F.col(pairs).isNotNull(), F.struct(F.col(file_id).alias("file_id"), F.lit(newer).alias("newer"), picked(pairs, no).alias("v")))
-    sides = F.filter(F.array(side("own", "file_id", True, "new_no"), side("next", "next_id", False, "old_no")), lambda s: s.isNotNull())
-    # Only the values of candidates are shuffled on, in the order of the pairs.
-    rows = spread.select("key", "line_no", F.explode(sides).alias("s")).select("s.file_id", "key", "s.newer", "line_no", "s.v")
     first = lambda newer: F.min(F.when(F.col("newer") == newer, F.struct("line_no", "v")))["v"]
-    both = rows.groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
-    same = F.zip_with("a", "b", lambda x, y: x["value"].eqNullSafe(y["value"]) | x["text"].eqNullSafe(y["text"]))
-    counts = both.select("file_id", F.posexplode(same).alias("pair_no", "same")).groupBy("file_id", "pair_no").agg(F.count(F.lit(1)).alias("shared_records"), F.count_if("same").alias("same_values"))
-    named = wanted.select("file_id", F.posexplode("pairs").alias("pair_no", "p"))
-    return counts.join(named, ["file_id", "pair_no"]).select("file_id", "p.old_name", "p.new_name", "p.score", "shared_records", "same_values")
+    both = sides.groupBy("file_id", "key").agg(first(True).alias("b"), first(False).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
+    # Where a type changes, a value may be read as a number on one side and as text on the other.
+    equal = lambda x, y: x["value"].eqNullSafe(y["value"]) | x["text"].eqNullSafe(y["text"])
+    places = F.flatten(F.transform("a", lambda x, i: F.filter(F.transform("b", lambda y, j: F.when(equal(x, y), i * F.size("b") + j)), lambda k: k.isNotNull())))
+    told = both.select("file_id", F.explode(F.concat(F.array(F.lit(-1)), places)).alias("pair_no"))
+    counts = told.groupBy("file_id", "pair_no").agg(F.count(F.lit(1)).alias("n"))
+    per_file = counts.groupBy("file_id").agg(F.max(F.when(F.col("pair_no") < 0, F.col("n"))).alias("shared_records"), F.collect_list(F.when(F.col("pair_no") >= 0, F.struct("pair_no", "n"))).alias("found"))
+    named = per_file.join(_pairs(matched), "file_id").select("file_id", "shared_records", "gone", "come", F.explode("found").alias("f"))
+    named = named.select(
+        "file_id", F.get("gone", F.expr("f.pair_no div size(come)").cast("int"))["name"].alias("old_name"), F.get("come", F.col("f.pair_no") % F.size("come"))["name"].alias("new_name"),
+        "shared_records", F.col("f.n").alias("same_values"),
+    )
+    scores = matched.where("kind = 'candidate'").select("file_id", "old_name", "new_name", "score")
+    return named.join(scores, ["file_id", "old_name", "new_name"]).select("file_id", "old_name", "new_name", "score", "shared_records", "same_values")
+
+
+def by_score(matched: DataFrame) -> DataFrame:
+    """The correspondences of similarity flooding alone: file_id, old_name, new_name, score, share (unknown)."""
+    return matched.where("best").select("file_id", "old_name", "new_name", "score", F.lit(None).cast("double").alias("share"))
 
 
 def _select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,8 +339,13 @@ def columns(files: DataFrame, layout: DataFrame, renamed: DataFrame) -> DataFram
 
 def column_types(columns: DataFrame) -> DataFrame:
     """table_name, column_name, data_type: the narrowest type that holds the column's values of all files."""
-    common = F.udf(types.common_type, "string")  # once per column of a table, not per record
-    return columns.groupBy("table_name", "column_name").agg(F.collect_set("data_type").alias("kinds")).select("table_name", "column_name", common("kinds").alias("data_type"))
+    kinds = columns.groupBy("table_name", "column_name").agg(F.collect_set("data_type").alias("kinds"))
+
+    def common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[["table_name", "column_name"]].assign(data_type=[types.common_type(list(k)) for k in frame["kinds"]])
+
+    return kinds.mapInPandas(common, "table_name string, column_name string, data_type string")
 
 
 def unite(records: DataFrame, columns: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
@@ -322,7 +359,7 @@ def unite(records: DataFrame, columns: DataFrame, kinds: DataFrame | None = None
     typed = columns.join(common, ["table_name", "column_name"])
     number = F.col("data_type").isin(*types.INTEGER_BITS, "double", "float") | F.col("data_type").startswith("decimal(")
     per_file = typed.groupBy("file_id", "table_name").agg(F.array_sort(F.collect_list(F.struct("field_no", "column_name", "as_text", number.alias("number")))).alias("fields"))
-    joined = _spread(records, per_file, "file_id", "line_no")
+    joined = _spread(records, per_file)
     held = lambda f: F.get(F.col("row_values"), f["field_no"])
     text = lambda f: F.when(f["number"], F.regexp_replace(held(f), r"(?U)^\s+|\s+$", "")).otherwise(held(f))
     value = lambda f: F.when(f["as_text"], text(f)).otherwise(F.get(F.col("canonical_values"), f["field_no"]))

@@ -101,24 +101,36 @@ def _layouts(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.layouts(table(spark, folder, "file_input"), table(spark, folder, "dq_field"))
 
 
-def _parsed(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
-    return rejects.parse(table(spark, folder, "raw_line"), _layouts(spark, folder), once)
+def _parsed(spark: SparkSession, folder: str, keep: str) -> DataFrame:
+    return rejects.parse(table(spark, folder, "raw_line"), _layouts(spark, folder), True, keep)
 
 
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.rejected(_parsed(spark, folder)).select("file_id", "line_no", "rule_name").distinct()
+    return _parsed(spark, folder, "rejected").select("file_id", "line_no", "rule_name").distinct()
 
 
 @query
 def p5_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """The rejected records with the reason and the values read so far."""
-    return rejects.rejected(_parsed(spark, folder))
+    return rejects.rejected(_parsed(spark, folder, "rejected"))
 
 
 @query
 def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.loaded(_parsed(spark, folder, once=True))
+    return rejects.loaded(_parsed(spark, folder, "loaded"))
+
+
+@query
+def p5_assembled(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the records of all files as physical lines: raw_line cut at line breaks and assembled again."""
+    raw, layout = table(spark, folder, "raw_line"), _layouts(spark, folder)
+    pieces = F.split("line", "\n")
+    lines = raw.where("file_id IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL").select("file_id", "line_no", "line").distinct()
+    step = lines.agg(F.coalesce(F.max(F.size(pieces)), F.lit(1))).first()[0]  # numbers for the breaks of a record
+    physical = lines.select("file_id", "line_no", F.posexplode(pieces).alias("k", "line")).select("file_id", (F.col("line_no") * step + F.col("k")).alias("line_no"), "line")
+    records = rejects.assemble(physical, layout).select("file_id", F.expr(f"CAST(line_no DIV {step} AS INT)").alias("line_no"), "line")
+    return rejects.parse(records, layout, True).select("file_id", "line_no", "rule_name", "row_values")
 
 
 # 3. Schemas that drift between files
@@ -131,13 +143,18 @@ def _written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Files in order, their layouts, the matches of their fields, and the renames (rows per file, not per record)."""
+def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files in order, their layouts, and the matches of their fields (rows per file, not per record)."""
     files, layout = drift.sequence(table(spark, folder, "file_input")), _written(_layouts(spark, folder), "layouts")
-    matched = _written(drift.matches(files, layout), "matches")
-    records = rejects.loaded(rejects.parse(table(spark, folder, "raw_line"), layout, once=True))
-    renamed = _written(drift.renames(drift.shares(matched, records)), "renames")
-    return files, layout, matched, renamed
+    return files, layout, _written(drift.matches(files, layout), "matches")
+
+
+def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same and the renames, verified on the records of the files that have gone and new fields."""
+    files, layout, matched = _matched(spark, folder)
+    asked = _written(drift.asked(matched, layout), "asked")
+    lines = table(spark, folder, "raw_line").join(asked.select("file_id"), "file_id", "left_semi")
+    return files, layout, matched, _written(drift.renames(drift.shares(matched, rejects.picked(lines, asked))), "renames")
 
 
 @query
@@ -146,6 +163,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(matched, renamed).select("file_id", "change_kind", "field_name").distinct()
 
 
+@query
+def p3_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change by similarity flooding alone, from names, types and nesting, without a look at values."""
+    _, _, matched = _matched(spark, folder)
+    return drift.changes(matched, drift.by_score(matched))
+
+
 @query
 def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Every change with its old and new name or type."""
@@ -166,4 +190,4 @@ def p3_united(spark: SparkSession, folder: str) -> DataFrame:
     files, layout, _, renamed = _drift(spark, folder)
     columns = _written(drift.columns(files, layout, renamed), "columns")
     kinds = _written(drift.column_types(columns), "column_types")
-    return drift.unite(rejects.loaded(_parsed(spark, folder, once=True)), columns, kinds)
+    return drift.unite(rejects.loaded(_parsed(spark, folder, "loaded")), columns, kinds)

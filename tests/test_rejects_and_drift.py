@@ -165,7 +165,7 @@ def run(drifting):
     layout = rejects.layouts(files, fields)
     ordered, records = drift.sequence(files), rejects.loaded(rejects.parse(lines, layout, once=True))
     matched = drift.matches(ordered, layout)
-    renamed = drift.renames(drift.shares(matched, records))
+    renamed = drift.renames(drift.shares(matched, rejects.picked(lines, drift.asked(matched, layout))))
     return ordered, layout, records, matched, renamed
 
 
@@ -203,11 +203,91 @@ def test_no_shared_records_is_no_rename(spark, drifting):
     files, fields, lines = drifting
     layout = rejects.layouts(files, fields)
     matched = drift.matches(drift.sequence(files), layout)
-    none = rejects.loaded(rejects.parse(lines.where("file_id <> 5"), layout))
+    sides = lambda own, m, at: rejects.picked(own, drift.asked(m, at))
+    none = sides(lines.where("file_id <> 5"), matched, layout)
     kinds = sorted(r.change_kind for r in drift.changes(matched, drift.renames(drift.shares(matched, none))).where("file_id = 3").collect())
     assert kinds == ["added"] * 3 + ["removed"] * 3
-    empty = drift.matches(drift.sequence(files.limit(0)), rejects.layouts(files.limit(0), fields.limit(0)))
-    assert drift.changes(empty, drift.renames(drift.shares(empty, none.limit(0)))).count() == 0
+    layout = rejects.layouts(files.limit(0), fields.limit(0))
+    empty = drift.matches(drift.sequence(files.limit(0)), layout)
+    assert drift.changes(empty, drift.renames(drift.shares(empty, sides(lines.limit(0), empty, layout)))).count() == 0
+
+
+def test_shares_of_all_pairs(spark, drifting):
+    """Against counting record by record."""
+    files, fields, lines = drifting
+    layout = rejects.layouts(files, fields)
+    matched = drift.matches(drift.sequence(files), layout)
+    got = {(r.file_id, r.old_name, r.new_name): (r.shared_records, r.same_values) for r in drift.shares(matched, rejects.picked(lines, drift.asked(matched, layout))).collect()}
+    values = {f: {r.canonical_values[0]: (r.canonical_values, r.row_values) for r in rejects.loaded(rejects.parse(lines, layout, True)).where(F.col("file_id") == f).collect()} for f in (5, 3)}
+    shared, want = values[5].keys() & values[3].keys(), {}
+    for old, a in (("name", 1), ("amount", 2), ("note", 3)):
+        for new, b in (("total", 1), ("qzx", 2), ("extra", 3)):
+            same = sum(any((v[a] and v[a].strip()) == (w[b] and w[b].strip()) for v, w in zip(values[5][k], values[3][k], strict=True)) for k in shared)
+            if same:
+                want[3, old, new] = (len(shared), same)
+    assert got == want and len(want) >= 2
+
+
+def test_correspondences_by_score(spark, drifting):
+    _, _, _, matched, _ = run(drifting)
+    assert {tuple(r)[:3] for r in drift.by_score(matched).collect()} <= {(3, old, new) for old in ("name", "amount", "note") for new in ("total", "qzx", "extra")}
+    got = drift.each_others_best({("a", "x"): 0.9, ("a", "y"): 0.8, ("b", "x"): 0.85, ("b", "y"): 0.1, ("c", "z"): 0.5, ("d", "z"): 0.5, ("e", "w"): 0.0})
+    assert got == {("a", "x"), ("c", "z")}
+    kinds = sorted((r.file_id, r.change_kind) for r in drift.changes(matched, drift.by_score(matched)).collect())
+    assert len([k for k in kinds if k[1] == "renamed"]) >= 1
+
+
+def assembled(lines, most):
+    """The plain rule, line by line: [(number, text)] of one file."""
+    out, k = [], 0
+    while k < len(lines):
+        end = k
+        if lines[k][1].count('"') % 2:
+            end = next((j for j in range(k + 1, len(lines)) if lines[j][1].count('"') % 2 and lines[j][0] - lines[k][0] < most), k)
+        out.append((lines[k][0], "\n".join(t for _, t in lines[k : end + 1])))
+        k = end + 1
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_records_of_physical_lines(spark, monkeypatch, most):
+    """Quoted fields over several lines, broken quotes, gaps in the numbers, records over block borders."""
+    import random
+
+    monkeypatch.setattr(rejects, "BLOCK_LINES", 8)
+    r = random.Random(most)
+    files = {}
+    for file in range(40):
+        at, own = 0, []
+        for _ in range(r.choice([0, 1, 7, 8, 9, 60])):
+            at += r.choice([1, 1, 1, 1, 2, 9])
+            own.append((at, r.choice(["a,b", "", 'x,"y z"', 'x,"y', 'z",w', 'q"' if r.random() < 0.2 else "c", '"a ""b"" c', 'd"'])))
+        files[file] = own
+    lines = spark.createDataFrame([(f, n, t) for f, own in files.items() for n, t in own] + [(0, None, None)], "file_id bigint, line_no int, line string").repartition(5)
+    layout = spark.createDataFrame([(f, json.dumps({"quote": '"'})) for f in files if f % 3], "file_id bigint, layout string")
+    got = sorted((x.file_id, x.line_no, x.line) for x in rejects.assemble(lines, layout, most).collect())
+    assert got == sorted((f, *x) for f, own in files.items() for x in assembled(own, most)) and len(got) > 200
+
+
+def test_assembled_records_are_parsed(spark):
+    layout = rejects.layouts(*(spark.createDataFrame(rows, kind) for rows, kind in (([(1, "p", None, None, {})], FILE), ([(1, k, n, '"string"', True, None, None, None) for k, n in enumerate("ab")], FIELD))))
+    lines = spark.createDataFrame([(1, 1, 'k,"one'), (1, 2, ""), (1, 3, 'two"'), (1, 4, "l,m"), (1, 5, 'n,"open')], "file_id bigint, line_no int, line string")
+    got = sorted((r.line_no, r.rule_name, r.row_values) for r in rejects.parse(rejects.assemble(lines, layout), layout).collect())
+    assert got == [(1, None, ["k", "one\n\ntwo"]), (4, None, ["l", "m"]), (5, "record_quoting", ['n,"open'])]
+    with pytest.raises(ValueError):
+        rejects.assemble(lines, layout, 0)
+
+
+def test_a_file_with_most_lines_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(rejects, "BLOCK_LINES", 64)
+    lines = spark.range(4000).selectExpr("IF(id % 3 = 0, 1L, id) AS file_id", "CAST(id AS INT) AS line_no", "concat(id, ',x') AS line")
+    layout = spark.createDataFrame([(1, json.dumps({"fields": [{"ordinal_no": k, "field_name": str(k)} for k in range(2)]}))], "file_id bigint, layout string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ordered = rejects.in_blocks(lines, layout)
+    sizes = [r.n for r in ordered.where("file_id = 1 AND layout IS NULL").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 0.6 * sum(sizes)
+    assert rejects.parse(lines, layout, keep="loaded").count() == 1335
 
 
 def test_flooding_prefers_alike_names_and_types():
