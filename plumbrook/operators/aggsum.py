@@ -38,13 +38,13 @@ class AggSummary:
             keys = list(self.keys)
             values = [c for c in self.df.columns if c not in keys]
         elif found is None:
-            raise PlumbrookError("Aggregate statement required: the query has no GROUP BY or aggregate function")
+            raise PlumbrookError("nothing is summed up: the query has neither GROUP BY nor an aggregate function")
         else:
             keys, values = found
         for name in values:
             kind = self.df.schema[name].dataType if name in self.df.columns else None
             if kind is not None and not isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType):
-                raise PlumbrookError(f"Aggregates have to be numerical, boolean, date or timestamp; {name} is {kind.simpleString()}")
+                raise PlumbrookError(f"{name} is no value of a summary: {kind.simpleString()} has no size")
         return {"key_column_names": keys, "value_column_names": values, "referenced_table_names": list(self.tables)}
 
     def rows(self) -> DataFrame:

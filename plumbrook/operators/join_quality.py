@@ -12,15 +12,17 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbrook.errors import PlumbrookError
 from plumbrook.operators.quality import NULL_TOKEN, Quality
 from plumbrook.operators.quality_rules import Rule, named_rule
-from plumbrook.plans.introspect import alias_of
+from plumbrook.plans.introspect import alias_of, expression_sql, referenced_columns
 
-JOIN_TYPES = ("INNER", "LEFT", "RIGHT", "FULL", "CROSS")
+#: The sides of which a join keeps every row.
+_KEPT = {"INNER": (), "LEFT": ("left",), "RIGHT": ("right",), "FULL": ("left", "right")}
+JOIN_TYPES = (*_KEPT, "CROSS")
 
 
 def _tokens(columns: Sequence[Column]) -> Column:
@@ -56,11 +58,15 @@ class JoinQuality:
         return cls(_key_counts(sides[0], sides[1], same, own), alias_of(left), alias_of(right), tuple(left_keys), tuple(right_keys), text)
 
     @classmethod
-    def theta(cls, left: DataFrame, right: DataFrame, condition: Column, left_keys: Sequence[str], right_keys: Sequence[str]) -> JoinQuality:
-        """Any condition over columns `left.k` and `right.k` of the named keys; compares distinct keys pairwise.
+    def theta(cls, left: DataFrame, right: DataFrame, condition: Column, left_keys: Sequence[str] | None = None, right_keys: Sequence[str] | None = None) -> JoinQuality:
+        """Any condition over columns `left.k` and `right.k`; compares distinct keys pairwise.
 
-        left_rows and right_rows count a key once per key it meets.
+        Keys that are not named are the columns the condition refers to. left_rows and right_rows count a key once
+        per key it meets. Where the condition holds an equality of both sides Spark joins by it; else every key of
+        one side meets every key of the other, and the smaller side has to fit Spark's size for broadcasts.
         """
+        if left_keys is None or right_keys is None:
+            left_keys, right_keys = (own if own is not None else condition_keys(left.sparkSession, condition, side) for own, side in ((left_keys, "left"), (right_keys, "right")))
         a = left.groupBy(*left_keys).agg(F.count(F.lit(1)).alias("l")).alias("left")
         b = right.groupBy(*right_keys).agg(F.count(F.lit(1)).alias("r")).alias("right")
         own = [[F.col(f"left.{k}") for k in left_keys], [F.col(f"right.{k}") for k in right_keys]]
@@ -99,16 +105,14 @@ class JoinQuality:
 
     def rules(self) -> list[Rule]:
         """What must hold per key, by join type; keys are rows of type_counts."""
-        missing = lambda side: named_rule(f"{side}_key", "missing", f"{side}_rows > 0", f"no row of the {side} table has the key")
-        dropping = lambda side: named_rule(f"{side}_key", "dropping", f"{side}_rows > 0", f"rows without a key of the {side} table are dropped")
-        multiplying = lambda side: named_rule(f"{side}_key", "multiplying", f"{side}_rows <= 1", f"rows are multiplied by the {side} table")
-        return {
-            "INNER": [dropping("left"), dropping("right"), multiplying("left"), multiplying("right")],
-            "LEFT": [missing("right"), multiplying("right")],
-            "RIGHT": [missing("left"), multiplying("left")],
-            "FULL": [missing("left"), missing("right"), multiplying("left"), multiplying("right")],
-            "CROSS": [],
-        }[self.join_type]
+        if self.join_type == "CROSS":
+            return []
+        kept = _KEPT[self.join_type]
+        # A side is looked at if rows of the other survive without it, or if no side's rows do.
+        watched = [side for side, other in (("left", "right"), ("right", "left")) if other in kept or not kept]
+        absence, loss = ("missing", "stay without a partner") if kept else ("dropping", "are lost")
+        there = [named_rule(f"{side}_key", absence, f"{side}_rows > 0", f"rows whose key the {side} table lacks {loss}") for side in watched]
+        return there + [named_rule(f"{side}_key", "multiplying", f"{side}_rows <= 1", f"the {side} table has the key more than once") for side in watched]
 
     def _checked(self) -> Quality:
         return Quality.from_df(self.type_counts()).rules(self.rules())
@@ -128,6 +132,15 @@ class JoinQuality:
         return one.crossJoin(self.result().select(F.struct("*").alias("result")))  # one row each
 
 
+def condition_keys(spark: SparkSession, condition: Column, side: str) -> list[str]:
+    """The columns of one side, `left` or `right`, that a condition refers to."""
+    names = referenced_columns(spark, expression_sql(condition)[1])
+    found = [n.removeprefix(f"{side}.") for n in names if n.startswith(f"{side}.")]
+    if not found:
+        raise PlumbrookError(f"the condition has no column of the {side} side, written {side}.name")
+    return found
+
+
 def _key_counts(a: DataFrame, b: DataFrame, condition: Column, own: list[list[Column]]) -> DataFrame:
     joined = a.join(b, condition, "full")
     here = F.col("l").isNotNull()

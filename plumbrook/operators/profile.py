@@ -29,6 +29,8 @@ class TypeInference:
     prefer_integer: bool = False
     date_formats: tuple[str, ...] = ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy")
     timestamp_formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss",)
+    #: The zone of moments that are written without one; None for that of the session.
+    time_zone: str | None = None
     #: (name, values in order); columns of two-valued "boolean" ones become booleans, others enums.
     enums: tuple[tuple[str, tuple[str, ...]], ...] = (("boolean", ("FALSE", "TRUE")), ("boolean", ("NO", "YES")), ("boolean", ("N", "Y")))
 
@@ -45,6 +47,9 @@ class ProfileConfig:
     quantiles: bool = True
 
 
+#: Stands for null in a sketch of items, and between a long text's start and its hash; no text of a table has them
+#: (a noncharacter that is never exchanged).
+_NO_ITEM, _CUT = "\ufdd0null", "\ufdd1"
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Percentiles by which an approximate distribution is read from a sketch.
 GRID = 400
@@ -101,7 +106,8 @@ def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
     if family == "string":
         shown = F.substring(v, 1, c.max_item_length)
         out += [F.count_if(v == "").alias(f"empty{k}"), F.min(shown).alias(f"min{k}"), F.max(shown).alias(f"max{k}"), F.max(F.length(v)).cast("bigint").alias(f"length{k}")]
-        item = shown
+        # Values are told apart as a whole and cut only where they are shown: a long one is its start and a hash.
+        item = F.when(F.length(v) <= c.max_item_length, v).otherwise(F.concat(shown, F.lit(_CUT), F.hex(F.xxhash64(v))))
     elif family == "sized":
         size = F.octet_length(v) if isinstance(plan.kind, T.BinaryType) else F.size(v)
         out += [F.count_if(v.isNotNull() & (size == 0)).alias(f"empty{k}"), F.max(F.when(v.isNotNull(), size)).cast("bigint").alias(f"length{k}")]
@@ -128,7 +134,7 @@ def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
     if item is not None and c.items > 0:
         out.append(F.count(item).alias(f"valued{k}"))
         tracked = 1 << max(4, (int((c.items + 1) / 0.75) - 1).bit_length())
-        top = F.call_function("approx_top_k", F.coalesce(item, F.lit("\x00null")), F.lit(c.items + 2), F.lit(max(tracked, c.items + 2)))
+        top = F.call_function("approx_top_k", F.coalesce(item, F.lit(_NO_ITEM)), F.lit(c.items + 2), F.lit(max(tracked, c.items + 2)))
         out.append(top.alias(f"items{k}"))
     if item is not None and c.count_distincts:
         out.append(F.approx_count_distinct(item).alias(f"distinct{k}"))
@@ -161,7 +167,6 @@ def _state(plan: _Plan, c: ProfileConfig, k: int, names: set[str]) -> Column:
     ).cast(_STATE)
 
 
-_NO_ITEM = "\x00null"
 
 
 def _finish(plan: tuple, s: dict, rows: int, c: ProfileConfig) -> dict:
@@ -192,7 +197,7 @@ def _finish(plan: tuple, s: dict, rows: int, c: ProfileConfig) -> dict:
         "name": name, "data_type": kind, "data_type_json": kind_json, "nullable": nullable, "enum_values": list(enum_values), "format": shape, "count": rows,
         "count_empty": None if family == "struct" else whole(s["empty"]), "count_nulls": whole(s["nulls"]), "count_unique": unique, "count_zeros": whole(s["zeros"]) if numbers else None, "max_length": length,
         "min": s["low"] if has_items else None, "max": s["high"] if has_items else None, "mean": mean if family != "integral" or mean is None else float(math.floor(mean + 0.5)), "pmf": pmf,
-        "items": [{"item": i, "count": n} for i, n in items], "extras": extras,
+        "items": [{"item": i.partition(_CUT)[0] if family == "string" else i, "count": n} for i, n in items], "extras": extras,
     }
 
 
@@ -306,7 +311,7 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
                     kind, value, shape = T.DateType(), _read_time(v, f).cast("date"), f
             for j, f in enumerate(rules.timestamp_formats):
                 if kind is None and got[f"time{j}_{k}"] == n:
-                    kind, value, shape = T.TimestampType(), _read_time(v, f), f
+                    kind, value, shape = T.TimestampType(), _in_zone(_read_time(v, f), rules.time_zone), f
             for j, (name, listed) in enumerate(rules.enums):
                 if kind is None and got[f"enum{j}_{k}"] == n:
                     upper = F.upper(t)
@@ -323,6 +328,11 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
     return out
 
 
+def _in_zone(read: Column, zone: str | None) -> Column:
+    """A moment read in the session's zone as the one of the same clock in another zone."""
+    return read if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(read, zone), F.current_timezone())
+
+
 def _read_time(v: Column, pattern: str) -> Column:
     """The moment in a text, else null. Texts of another shape are not parsed: a failing parse is slow."""
     shape = ""

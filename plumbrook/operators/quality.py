@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbrook.errors import PlumbrookError
-from plumbrook.operators.quality_rules import Field, Rule, schema_rules
+from plumbrook.operators.quality_rules import Field, Rule, schema_rules, unique_keys
 from plumbrook.plans import introspect
 
 NULL_TOKEN, MISSING_TOKEN = "__NULL__", "__MISSING__"
@@ -146,7 +146,9 @@ class Quality:
         infos = self.infos()
         self._check(infos)
         base = self.df.withColumn(_ROW, F.monotonically_increasing_id())
-        named = base.select("*", *(F.lit(False).alias(f"__r{k}__") if i.missing else self._value(i).alias(f"__r{k}__") for k, i in enumerate(infos)))
+        base, unique = self._unique(base, infos)
+        values = [F.lit(False) if i.missing else unique[i.rule.name] if i.rule.name in unique else self._value(i) for i in infos]
+        named = base.select(*self._positions(base), *(v.alias(f"__r{k}__") for k, v in enumerate(values)))
         wrong = [i.rule.name for k, i in enumerate(infos) if not isinstance(named.schema[f"__r{k}__"].dataType, T.BooleanType | T.NullType)]
         if wrong:
             raise PlumbrookError(f"the rules {', '.join(wrong)} are not boolean")
@@ -159,6 +161,35 @@ class Quality:
                 at += 1
         return named.toDF(*names, _ROW, *(f"r{k}" for k in range(len(infos)))), infos
 
+    def _positions(self, base: DataFrame) -> list[Column]:
+        """The table's columns and the row id; names may occur twice only where no join was made."""
+        return [F.col("*")] if len(base.columns) == len(self.df.columns) + 1 else [F.col(f"`{c}`") for c in base.columns[: len(self.df.columns) + 1]]
+
+    def _unique(self, base: DataFrame, infos: list[RuleInfo]) -> tuple[DataFrame, dict[str, Column]]:
+        """Rules that keys are unique, by counts: keys are counted before any shuffle, and the keys held more than once are joined to the rows.
+
+        So a key of a third of all rows is one row by the time it is shuffled, and Spark splits a skewed side of rows
+        in the join or, where few keys are held twice, shuffles no rows at all.
+        """
+        own = {c.lower(): c for c in self.columns}
+        by_keys: dict[tuple[str, ...], str] = {}
+        values: dict[str, Column] = {}
+        for i in infos:
+            names = unique_keys(i.rule.expression)
+            if names is None or i.missing or i.rule.name in self._computed or not all(n.lower() in own for n in names):
+                continue
+            keys = tuple(own[n.lower()] for n in names)
+            if keys not in by_keys:
+                mark = by_keys[keys] = f"__twice{len(by_keys)}__"
+                taken = [f"{mark}k{n}" for n in range(len(keys))]
+                twice = base.groupBy(*(F.col(f"`{c}`").alias(a) for c, a in zip(keys, taken, strict=True))).agg(F.count(F.lit(1)).alias(f"{mark}n")).where(F.col(f"{mark}n") > 1)
+                same = F.lit(True)
+                for c, a in zip(keys, taken, strict=True):
+                    same = same & F.col(f"`{c}`").eqNullSafe(F.col(a))
+                base = base.join(twice.withColumn(mark, F.lit(True)), same, "left").drop(*taken, f"{mark}n")
+            values[i.rule.name] = F.col(by_keys[keys]).isNull()
+        return base, values
+
     def _value(self, info: RuleInfo) -> Column:
         at = self._computed.get(info.rule.name)
         return F.expr(info.rule.expression) if at is None else F.col(f"`{self.df.columns[at]}`")
@@ -230,7 +261,10 @@ class Quality:
     # Sample and result
 
     def row_sample(self) -> DataFrame:
-        """row_id, row (texts), violated_rule_names: per rule the rows of least hash, taken in turns."""
+        """row_id, row (texts), violated_rule_names: per rule the rows of least hash, taken in turns.
+
+        Of a file, each rule's first and last row come first.
+        """
         numbered, infos = self._numbered()
         c, by_file = self._config, "file_name" in self._metadata
         if by_file:
@@ -244,7 +278,12 @@ class Quality:
         texts = F.array(*(F.col(f"c{k}").cast("string") for k in range(len(self.columns))))
         some = numbered.select(F.col(_ROW).alias("row_id"), texts.alias("row"), broken.alias("broken")).where(F.size("broken") > 0)
         each = some.select("*", F.explode("broken").alias("m"))
-        order = Window.partitionBy("m.rule_no").orderBy("m.hash", "row_id")
+        key = F.col("m.hash")
+        if by_file:  # the first and the last row of a file that break a rule come before all others
+            ends = each.groupBy(F.col("m.rule_no").alias("of")).agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))  # one row per rule
+            each = each.join(F.broadcast(ends), F.col("m.rule_no") == F.col("of"))
+            key = F.when(F.col("row_id").isin(F.col("first_id"), F.col("last_id")), F.lit(-1)).otherwise(key)
+        order = Window.partitionBy("m.rule_no").orderBy(key, "row_id")
         lowest = each.withColumn("at", F.row_number().over(order)).where(F.col("at") <= c.max_rows_per_rule)
         gathered = lowest.agg(F.collect_list(F.struct("row_id", "row", "broken", F.col("m.rule_no").alias("rule_no"), "at")).alias("rows"))  # rules x max_rows_per_rule
         names = [i.rule.name for i in infos]
@@ -343,12 +382,12 @@ def sql_rules(spark: SparkSession, sql: str) -> tuple[list[Rule], list[str]]:
     """The rules of a select list that starts with *, and the tables the statement reads."""
     items = introspect.outermost_projection(spark, sql)
     if not items or not items[0].is_star:
-        raise PlumbrookError("the first item of the rule SQL has to be '*' or 'table.*'")
+        raise PlumbrookError("a query of rules selects all columns of its table first, by a star")
     lines = sql.split("\n")
     rules = []
     for item in items[1:]:
         if item.is_star or item.name is None:
-            raise PlumbrookError(f"the rule {item.expression or '*'} needs a logical name: give it an alias")
+            raise PlumbrookError(f"{item.expression or '*'} can't be a rule without an alias")
         comments: list[str] = []
         above = (item.line or 1) - 2
         while above >= 0 and lines[above].strip().startswith("--"):

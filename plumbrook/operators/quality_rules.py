@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -84,8 +85,7 @@ def type_rule(spark: SparkSession, field: str, source: T.DataType, target: T.Dat
     """Every value can be read as the target type; values that can't are null under TRY_*, not an error."""
     name = quote_if_needed(field)
     if not can_cast(spark, source, target):
-        kinds = type(source).__name__, type(target).__name__
-        return named_rule(field, "type", "false", f"Cannot cast {name} from '{kinds[0]}' to '{kinds[1]}'.")
+        return named_rule(field, "type", "false", f"{source.simpleString()} is never read as {target.simpleString()}")
     if format and isinstance(target, T.DateType):
         read = f"TRY_TO_DATE({name}, {sql_literal(format)})"
     elif format and isinstance(target, T.TimestampType | T.TimestampNTZType):
@@ -97,8 +97,22 @@ def type_rule(spark: SparkSession, field: str, source: T.DataType, target: T.Dat
 
 def unique_rule(name: str, fields: Sequence[str] | None = None, description: str | None = None) -> Rule:
     """No two rows are alike in the fields; of nulls there may be one. Rules over equal fields share one shuffle."""
-    keys = ", ".join(quote_if_needed(f) for f in (fields or [name]))
-    return named_rule(name, "unique", f"(COUNT(*) OVER (PARTITION BY {keys})) = 1", description)
+    return named_rule(name, "unique", unique_expression(fields or [name]), description)
+
+
+def unique_expression(keys: Sequence[str]) -> str:
+    return f"(COUNT(*) OVER (PARTITION BY {', '.join(quote_if_needed(k) for k in keys)})) = 1"
+
+
+_UNIQUE = re.compile(r"\s*\(?COUNT\(\*\) OVER \(PARTITION BY ((?:[A-Za-z_]\w*|`(?:[^`]|``)+`)(?:, (?:[A-Za-z_]\w*|`(?:[^`]|``)+`))*)\)\)? = 1\s*", re.I)
+
+
+def unique_keys(expression: str) -> list[str] | None:
+    """The key columns of an expression that says they are unique, as unique_expression writes it; else None."""
+    m = _UNIQUE.fullmatch(expression)
+    if not m or expression.count("(") != expression.count(")"):
+        return None
+    return [k[1:-1].replace("``", "`") if k.startswith("`") else k for k in re.findall(r"[A-Za-z_]\w*|`(?:[^`]|``)+`", m[1])]
 
 
 def all_of(name: str, rules: Sequence[Rule], description: str | None = None) -> Rule:
@@ -125,14 +139,14 @@ def schema_rules(spark: SparkSession, schema: T.StructType, fields: Sequence[Fie
     expected = {f.name.lower() for f in fields}
     rules = []
     if missing := [f.name for f in fields if f.name.lower() not in by_name]:
-        rules.append(Rule("__no_missing_fields", "false", f"Missing fields: {', '.join(missing)}", tuple([*missing, *(k for k in primary_key if k.lower() not in by_name)])))
+        rules.append(Rule("__no_missing_fields", "false", f"not in the table: {', '.join(missing)}", tuple([*missing, *(k for k in primary_key if k.lower() not in by_name)])))
     extra = [f.name for f in schema.fields if f.name.lower() not in expected]
     if fail_on_extra_columns and extra:
-        rules.append(Rule("__no_extra_fields", "false", f"Extra fields: {', '.join(extra)}"))
+        rules.append(Rule("__no_extra_fields", "false", f"not declared: {', '.join(extra)}"))
     keys = [quote_if_needed(k) for k in primary_key if k.lower() in by_name]
     if keys and len(keys) == len(primary_key):
         rules.append(Rule("__primary_key_not_null", " AND ".join(f"{k} IS NOT NULL" for k in keys)))
-        rules.append(Rule("__primary_key_unique", f"(COUNT(*) OVER (PARTITION BY {', '.join(keys)})) = 1"))
+        rules.append(Rule("__primary_key_unique", unique_expression(primary_key)))
     for f in fields:
         own = by_name.get(f.name.lower())
         if own is None:

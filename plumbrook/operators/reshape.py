@@ -5,7 +5,12 @@ All that does not fit is collected and raised once. Casts give null for values t
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
+import decimal
 import re
+import types as pytypes
+import typing
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -87,7 +92,7 @@ class _Planner:
         for at, to, source, wanted in pairs:
             if wanted is None:
                 if c.fail_on_extra_column:
-                    self.errors.append(f"{path}{source.name} unexpectedly present")
+                    self.errors.append(f"the target has no field for {path}{source.name}")
                 elif not c.drop_extra_columns:
                     made.append((at, to, source.name, source.column.alias(source.name, metadata=source.metadata)))
             else:
@@ -117,7 +122,7 @@ class _Planner:
                 yield far + to, to, None, f
                 continue
             if len(places) > 1 and self.config.conflicts == "error":
-                self.errors.append(f"{path}{f.name} has {len(places)} conflicting occurrences")
+                self.errors.append(f"{len(places)} columns of the table go by the name {path}{f.name}")
             at = places[0] if self.config.conflicts == "first" else places[-1]
             yield at, to, sources[at], f
         for k, s in enumerate(sources):
@@ -130,7 +135,7 @@ class _Planner:
             return F.lit(None).cast(wanted.dataType)
         if c.fill_default_values and (value := self.default(wanted.dataType)) is not None:
             return value
-        self.errors.append(f"{path}{wanted.name} is missing")
+        self.errors.append(f"the table has nothing for {path}{wanted.name}")
         return None
 
     def default(self, kind: T.DataType) -> Column | None:
@@ -150,7 +155,7 @@ class _Planner:
             if self.config.fill_default_values and (value := self.default(wanted.dataType)) is not None:
                 return F.coalesce(column, value)
             if self.config.fail_on_ignoring_nullability:
-                self.errors.append(f"{path}{wanted.name} is nullable but target column is not")
+                self.errors.append(f"{path}{wanted.name} may hold nulls, which the target forbids")
         return column
 
     def convert(self, column: Column, kind: T.DataType, wanted: T.DataType, path: str, old: dict, new: dict) -> Column | None:
@@ -175,7 +180,7 @@ class _Planner:
         if kind == wanted:
             return column
         if not self.config.coerce_types or not can_cast(self.spark, kind, wanted):
-            self.errors.append(f"{path} of type {type(kind).__name__} cannot be casted to {type(wanted).__name__}")
+            self.errors.append(f"no way from {kind.simpleString()} to {wanted.simpleString()} for {path}")
             return None
         return column.try_cast(wanted) if _may_fail(kind, wanted) else column.cast(wanted)
 
@@ -215,8 +220,49 @@ def _may_fail(kind: T.DataType, wanted: T.DataType) -> bool:
     return not isinstance(wanted, T.StringType) and kind != T.NullType()
 
 
-def reshape(df: DataFrame, target: T.StructType, config: ReshapeConfig = DEFAULT) -> DataFrame:
-    """df with the target schema; the same df if it has it already."""
+_PLAIN = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType(), datetime.date: T.DateType(), datetime.datetime: T.TimestampType(), decimal.Decimal: T.DecimalType(38, 18)}
+
+
+def _type_of(hint: object) -> tuple[T.DataType, bool]:
+    """The type of a hint, and whether it may be null."""
+    origin, args = typing.get_origin(hint), typing.get_args(hint)
+    if origin in (typing.Union, pytypes.UnionType):
+        inner = [a for a in args if a is not type(None)]
+        if len(inner) == 1:
+            return _type_of(inner[0])[0], len(inner) < len(args)
+    if origin is list:
+        kind, nullable = _type_of(args[0])
+        return T.ArrayType(kind, nullable), False
+    if origin is dict:
+        kind, nullable = _type_of(args[1])
+        return T.MapType(_type_of(args[0])[0], kind, nullable), False
+    if dataclasses.is_dataclass(hint):
+        return struct_of(hint), False
+    if hint in _PLAIN:
+        return _PLAIN[hint], False
+    raise PlumbrookError(f"no column type stands for {hint}")
+
+
+def struct_of(entity: type) -> T.StructType:
+    """The schema of a dataclass: hints give types, `X | None` nulls; nested dataclasses, lists and dicts are nested.
+
+    Metadata of a field: name, type (a Spark type instead of the hint's), nullable, ignore, and enum_values and format
+    as reshape reads them.
+    """
+    hints, fields = typing.get_type_hints(entity), []
+    for f in dataclasses.fields(entity):
+        if f.metadata.get("ignore"):
+            continue
+        kind, nullable = (f.metadata["type"], True) if "type" in f.metadata else _type_of(hints[f.name])
+        kept = {k: list(v) if k == ENUM_VALUES else v for k, v in f.metadata.items() if k in (ENUM_VALUES, FORMAT)}
+        fields.append(T.StructField(f.metadata.get("name", f.name), kind, f.metadata.get("nullable", nullable), kept))
+    return T.StructType(fields)
+
+
+def reshape(df: DataFrame, target: T.StructType | type, config: ReshapeConfig = DEFAULT) -> DataFrame:
+    """df with the target schema, or that of a dataclass; the same df if it has it already."""
+    if dataclasses.is_dataclass(target):
+        target = struct_of(target)
     if not isinstance(target, T.StructType):
         raise PlumbrookError(f"a struct type is required as target, not {target}")
     if df.schema == target:

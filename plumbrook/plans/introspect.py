@@ -69,7 +69,8 @@ def _walk(plan: JavaObject, known: frozenset[str]) -> Iterator[str]:
 
 
 def _walk_expression(expression: JavaObject, known: frozenset[str]) -> Iterator[str]:
-    if hasattr(expression, "plan") and "Subquery" in _kind(expression) or _kind(expression) in ("Exists", "ListQuery"):
+    # An IN over a query holds that query as a child of its own.
+    if _kind(expression) in ("Exists", "ListQuery") or _kind(expression).endswith("Subquery") and _kind(expression) != "InSubquery":
         yield from _walk(expression.plan(), known)
     for child in _items(expression.children()):
         yield from _walk_expression(child, known)
@@ -105,7 +106,7 @@ def assert_query(spark: SparkSession, sql: str) -> JavaObject:
         origin = plan.origin()
         line = origin.line().get() if origin.line().isDefined() else 1
         column = origin.startPosition().get() if origin.startPosition().isDefined() else 0
-        raise PlumbrookError(f"Unsupported logical plan {_kind(plan)} at line {line}, position {column}: only queries are supported")
+        raise PlumbrookError(f"{_kind(plan)} at line {line}, position {column} is no query")
     return plan
 
 
@@ -150,11 +151,11 @@ def alias_of(df: DataFrame) -> str | None:
 
 
 def expression_sql(column: Column) -> tuple[str | None, str]:
-    """(alias, SQL text) of a column; the alias is None if it has none."""
-    frame = str(column._jc.toString())
-    if m := re.fullmatch(r"(.*) AS `?([^`]*)`?", frame, re.S):
-        return m[2], m[1]
-    return None, frame
+    """(alias, SQL text) of a column; the alias is None if it has none. The text may name operators as functions."""
+    expression = SparkSession.active()._jsparkSession.expression(column._jc)
+    if _kind(expression) == "Alias":
+        return expression.name(), expression.child().sql()
+    return None, expression.sql()
 
 
 def top_aggregate(df: DataFrame) -> tuple[list[str], list[str]] | None:

@@ -7,7 +7,7 @@ files get their names when the job commits, so that a repeated task leaves nothi
 
 from __future__ import annotations
 
-import io
+import itertools
 import posixpath
 import uuid
 import zipfile
@@ -70,12 +70,16 @@ class _Writer(DataSourceWriter):
                 raise PlumbrookError("a row has no path")
             yield checked_path(row[path_at]), content.encode() if isinstance(content, str) else bytes(content or b"")
 
+    def pending(self, system: fs.FileSystem, base: str) -> str:
+        path = posixpath.join(base, f"{_PENDING}-{self.run}", uuid.uuid4().hex)
+        system.create_dir(posixpath.dirname(path), recursive=True)
+        return path
+
     def put(self, system: fs.FileSystem, base: str, final: str, content: bytes) -> tuple[str, str]:
-        pending = posixpath.join(base, f"{_PENDING}-{self.run}", uuid.uuid4().hex)
-        system.create_dir(posixpath.dirname(pending), recursive=True)
-        with system.open_output_stream(pending) as out:
+        path = self.pending(system, base)
+        with system.open_output_stream(path) as out:
             out.write(content)
-        return pending, posixpath.join(base, final)
+        return path, posixpath.join(base, final)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, base = _system(self.folder)
@@ -117,18 +121,19 @@ class _ZipWriter(_Writer):
         level = self.options.get("zip_level")
         if method is None or (level is not None and not (level.lstrip("-").isdigit() and 0 <= int(level) <= 9)):
             raise PlumbrookError("zip_method is STORED or DEFLATED, zip_level 0 to 9")
-        held, count = io.BytesIO(), 0
-        with zipfile.ZipFile(held, "w", method, compresslevel=int(level) if level is not None else None) as z:
-            for path, content in self.rows(iterator):
-                z.writestr(path, content)
-                count += 1
         number = TaskContext.get().partitionId()
-        if not count:
+        rows = self.rows(iterator)
+        if (first := next(rows, None)) is None:
             return _Written([])
         system, base = _system(self.folder)
+        path = self.pending(system, base)
+        # Entries go straight into the file; the archive is never held.
+        with system.open_output_stream(path) as out, zipfile.ZipFile(out, "w", method, compresslevel=int(level) if level is not None else None) as z:
+            for entry, content in itertools.chain([first], rows):
+                z.writestr(entry, content)
         name = self.options.get("zip_file_name")
         final = name if name and number == 0 else f"{name.removesuffix('.zip')}-{number:05d}.zip" if name else f"part-{number:05d}.zip"
-        return _Written([self.put(system, base, final, held.getvalue())])
+        return _Written([(path, posixpath.join(base, final))])
 
 
 class FilePerRow(DataSource):

@@ -356,7 +356,7 @@ def to_excel_files(dfs: Sequence[DataFrame], config: WorkbookConfig = WorkbookCo
     Each sheet's rows are gathered in one row, as a sheet (of at most 1,048,576 rows) has to be.
     """
     if not dfs:
-        raise PlumbrookError("At least one dataset required")
+        raise PlumbrookError("a workbook without sheets can't be written")
     parts = []
     for k, df in enumerate(dfs):
         keys = [c for c in (PATH, SHEET) if c in df.columns]

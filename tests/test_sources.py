@@ -193,7 +193,7 @@ def test_workbooks_as_rows(spark):
         assert b'name="All"' in z.read("xl/workbook.xml") and b'name="c1"' in z.read("xl/workbook.xml")
     single = workbook.to_excel_files([orders]).collect()
     assert [r.path for r in single] == ["workbook.xlsx"] and cells(bytes(single[0].content))["C2"] == "1.0"
-    with pytest.raises(PlumbrookError, match="At least one"):
+    with pytest.raises(PlumbrookError, match="without sheets"):
         workbook.to_excel_files([])
     workbook.register(spark)
     orders.createOrReplaceTempView("xl_orders")
