@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbrook import survey_queries
 from plumbrook.operators import drift, load_profile, rejects
-from plumbrook.sources.folder import shared_folder, table
+from plumbrook.sources.folder import shared_folder, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(survey_queries.QUERIES)
 SQL: dict[str, str] = dict(survey_queries.SQL)
@@ -136,25 +136,18 @@ def p5_assembled(spark: SparkSession, folder: str) -> DataFrame:
 # 3. Schemas that drift between files
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder: a plan that uses them again starts there."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files in order, their layouts, and the matches of their fields (rows per file, not per record)."""
-    files, layout = drift.sequence(table(spark, folder, "file_input")), _written(_layouts(spark, folder), "layouts")
-    return files, layout, _written(drift.matches(files, layout), "matches")
+    files, layout = drift.sequence(table(spark, folder, "file_input")), written(_layouts(spark, folder), "layouts")
+    return files, layout, written(drift.matches(files, layout), "matches")
 
 
 def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The same and the renames, verified on the records of the files that have gone and new fields."""
     files, layout, matched = _matched(spark, folder)
-    asked = _written(drift.asked(matched, layout), "asked")
+    asked = written(drift.asked(matched, layout), "asked")
     lines = table(spark, folder, "raw_line").join(asked.select("file_id"), "file_id", "left_semi")
-    return files, layout, matched, _written(drift.renames(drift.shares(matched, rejects.picked(lines, asked))), "renames")
+    return files, layout, matched, written(drift.renames(drift.shares(matched, rejects.picked(lines, asked))), "renames")
 
 
 @query
@@ -188,6 +181,6 @@ def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
 def p3_united(spark: SparkSession, folder: str) -> DataFrame:
     """All valid records of all files as records of the consistent tables, each value in its column's common type."""
     files, layout, _, renamed = _drift(spark, folder)
-    columns = _written(drift.columns(files, layout, renamed), "columns")
-    kinds = _written(drift.column_types(columns), "column_types")
+    columns = written(drift.columns(files, layout, renamed), "columns")
+    kinds = written(drift.column_types(columns), "column_types")
     return drift.unite(rejects.loaded(_parsed(spark, folder, "loaded")), columns, kinds)
