@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbrook.operators import runs
+from plumbrook.sources.folder import written
 
 _LONG = "column_name string, item string, item_count bigint"
 _KEYS = ["column_name", "item"]
@@ -90,24 +91,37 @@ def range_heaps(run_rows: DataFrame, size: int, min_share: float = 0.0) -> DataF
     return ranged.mapInArrow(heap, _LONG)
 
 
-def _with_total(heaps: DataFrame) -> DataFrame:
-    """Rows of all ranges (at most ranges x heap size per column) beside their column's total."""
-    own = Window.partitionBy("column_name")
-    totals = F.sum(F.when(F.col("item").isNull(), F.col("item_count"))).over(own)
-    return heaps.withColumn("column_total", totals).where("item IS NOT NULL")
+def _totals(heaps: DataFrame) -> DataFrame:
+    """column_name, column_total: one row per column."""
+    return heaps.where("item IS NULL").groupBy("column_name").agg(F.sum("item_count").alias("column_total"))
 
 
 def items_above(run_rows: DataFrame, share: float) -> DataFrame:
-    """Every value with at least `share` of its column's total: column_name, item, item_count, column_total."""
-    size = int(1 / share) + 1
-    return _with_total(range_heaps(run_rows, size, share)).where(F.col("item_count") >= F.lit(share) * F.col("column_total"))
+    """Every value with at least `share` of its column's total: column_name, item, item_count, column_total.
+
+    The heaps of all ranges, at most 1 / share values of a column each, are written and read twice.
+    """
+    heaps = written(range_heaps(run_rows, int(1 / share) + 1, share), "heaps")
+    found = heaps.where("item IS NOT NULL").join(_totals(heaps), "column_name")
+    return found.where(F.col("item_count") >= F.lit(share) * F.col("column_total")).select("column_name", "item", "item_count", "column_total")
+
+
+#: Parts of the ranges whose best are chosen before the best of all are.
+_PARTS = 64
 
 
 def top_items(run_rows: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each column: column_name, rank_no, item, item_count, column_total."""
-    best = Window.partitionBy("column_name").orderBy(F.desc("item_count"), "item")
-    ranked = _with_total(range_heaps(run_rows, k)).withColumn("rank_no", F.row_number().over(best))
-    return ranked.where(F.col("rank_no") <= k).select("column_name", "rank_no", "item", "item_count", "column_total")
+    """The k most frequent values of each column: column_name, rank_no, item, item_count, column_total.
+
+    The best of each range compete within their part of the ranges first, so that at most _PARTS * k rows of a column
+    meet in one task.
+    """
+    heaps = written(range_heaps(run_rows, k).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_PARTS))), "heaps")
+    ranked = heaps.where("item IS NOT NULL")
+    for keys in (["column_name", "part"], ["column_name"]):
+        best = Window.partitionBy(*keys).orderBy(F.desc("item_count"), "item")
+        ranked = ranked.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k)
+    return ranked.join(_totals(heaps), "column_name").select("column_name", "rank_no", "item", "item_count", "column_total")
 
 
 def once_per_partition(dp_item: DataFrame) -> DataFrame:

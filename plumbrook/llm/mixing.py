@@ -14,12 +14,15 @@ smaller than asked for. Whether a document is taken once more depends on its id
 from __future__ import annotations
 
 import base64
+import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +48,49 @@ def plain(source: Column) -> Column:
     return F.when(name != "", name)
 
 
+def _sized(documents: DataFrame) -> DataFrame:
+    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
+    return picked.where("source IS NOT NULL")
+
+
+def character_counts(documents: DataFrame) -> DataFrame:
+    """As token_counts, with characters for tokens: for sources whose language the vocabulary does not know."""
+    return _sized(documents).select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source (as compared), tokens of every document with a source."""
+    """doc_id, source (as compared), tokens of every document with a source.
+
+    The vocabulary is a file of this machine; Spark sends it to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             counts = [len(own.encode_ordinary(t)) if (t := text.as_py()) else 0 for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
 
-    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain(F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    return picked.where("source IS NOT NULL").mapInArrow(scan, "doc_id bigint, source string, tokens bigint")
+    return _sized(documents).mapInArrow(scan, "doc_id bigint, source string, tokens bigint")
+
 
+def water_fill(sizes: list[float], shares: list[float], caps: list[float], total: float) -> tuple[list[float], list[int | None]]:
+    """What each source gives, at most caps * sizes and together total if that is feasible, and when it was clamped.
 
-def water_fill(sizes: list[float], shares: list[float], caps: list[float], total: float) -> list[float]:
-    """What each source gives, at most caps * sizes and together total if that is feasible."""
+    A source clamped in round 1 falls short of its share of the total; one clamped in a later round only can't take
+    what others lack; None is a source that is never clamped. Shares are relative to their sum.
+    """
     room = [s * c for s, c in zip(sizes, caps, strict=True)]
     given, open_ = [0.0] * len(sizes), {k for k, w in enumerate(shares) if w > 0}
-    left = total
+    clamped: list[int | None] = [None] * len(sizes)
+    left, number = total, 0
     while open_:
-        weight = sum(shares[k] for k in open_)
-        full = {k for k in open_ if left * shares[k] / weight > room[k]}
+        number += 1
+        weight = math.fsum(shares[k] for k in open_)
+        full = {k for k in open_ if left * shares[k] > room[k] * weight}
+        for k in full:
+            clamped[k] = number
         if not full:
             for k in open_:
                 given[k] = left * shares[k] / weight
@@ -74,15 +99,17 @@ def water_fill(sizes: list[float], shares: list[float], caps: list[float], total
             given[k] = room[k]
         left -= sum(room[k] for k in full)
         open_ -= full
-    return given
+    return given, clamped
 
 
-_PLAN = "source string, target_share double, max_repeats bigint, documents bigint, tokens bigint, total_tokens bigint, falls_short boolean, repetitions double"
+_PLAN = "source string, target_share double, max_repeats bigint, documents bigint, tokens bigint, total_tokens bigint, falls_short boolean, clamped_in int, repetitions double"
 
 
 def plan(counted: DataFrame, mix_target: DataFrame) -> DataFrame:
     """One row per target source: sizes, whether it falls short, and its repetitions in the mix.
 
+    clamped_in is the round of water-filling in which the source came to its cap, null if it did not; a source falls
+    short if that is the first.
     counted: doc_id, source, tokens. It is summed per source before it is shuffled; all sources of the
     documents count for the total.
     """
@@ -100,12 +127,13 @@ def plan(counted: DataFrame, mix_target: DataFrame) -> DataFrame:
                 if len(rows) > MOST_SOURCES:
                     raise ValueError(f"{len(rows)} target sources; at most {MOST_SOURCES} are mixed at once")
                 total = 0 if pd.isna(total) else int(total)
-                given = water_fill([r["tokens"] for r in rows], [r["w"] for r in rows], [r["cap"] for r in rows], total)
+                given, clamped = water_fill([r["tokens"] for r in rows], [r["w"] for r in rows], [r["cap"] for r in rows], total)
                 out = [
-                    (r["source"], r["w"], r["cap"], r["documents"], r["tokens"], total, bool(r["cap"] * r["tokens"] < r["w"] * total), min(g / r["tokens"], r["cap"]) if r["tokens"] else 0.0)
-                    for r, g in zip(rows, given, strict=True)
+                    (r["source"], r["w"], r["cap"], r["documents"], r["tokens"], total, c == 1, c, min(g / r["tokens"], r["cap"]) if r["tokens"] else 0.0)
+                    for r, g, c in zip(rows, given, clamped, strict=True)
                 ]
-                yield pd.DataFrame(out, columns=["source", "target_share", "max_repeats", "documents", "tokens", "total_tokens", "falls_short", "repetitions"])
+                names = ["source", "target_share", "max_repeats", "documents", "tokens", "total_tokens", "falls_short", "clamped_in", "repetitions"]
+                yield pd.DataFrame(out, columns=names).astype({"clamped_in": "Int32"})
 
     return gathered.mapInPandas(fill, _PLAN)
 

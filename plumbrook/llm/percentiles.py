@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 0.005
-#: Rows of a group are spread over this many parts where a join by group is needed.
-SALTS = 16
 
 
 def _scale(accuracy: float) -> tuple[float, int]:
@@ -93,10 +91,12 @@ def deviations(df: DataFrame, value: str, by: Sequence[str], accepted: DataFrame
     b = F.col("bucket")
     close = (F.abs(b - F.col("upper")) <= 1) | (F.abs(b - F.col("lower")) <= 1)
     found = found.withColumns({"open": close, "out": (b > F.col("upper")) | (b < F.col("lower"))})
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # Rows of a group are spread over as many parts as the session has for its largest shuffles.
+    parts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     asked = found.where("open").select(*by, "pct", "accepted_value", "group_count").withColumn("salt", salts)
     v = F.col(f"`{value}`").cast("double")
-    rows = df.select(*(F.col(f"`{c}`").alias(c) for c in by), v.alias("v"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = df.select(*(F.col(f"`{c}`").alias(c) for c in by), v.alias("v"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int").alias("salt"))
     rows = rows.where("v IS NOT NULL AND NOT isnan(v)")
     counted = asked.alias("q").join(rows.alias("r"), _same("q", "r", by) & (F.col("q.salt") == F.col("r.salt")))
     far = F.abs(F.col("r.v") - F.col("q.accepted_value")) > F.lit(tolerance) * F.abs(F.col("q.accepted_value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbrook.llm import frequent, leaks, mixing, percentiles, repetition
-from plumbrook.sources.folder import shared_folder, table
+from plumbrook.sources.folder import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,7 +71,8 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "dq_record").withColumn("day", F.to_date("updated_at"))
     days = percentiles.bucket_counts(records, "measure", ["day", "group_code"])
     states = percentiles.merge_counts(days, ["group_code"])
-    return percentiles.percentiles(states, ["group_code"], table(spark, folder, "dp_quantile"))
+    found = percentiles.percentiles(states, ["group_code"], table(spark, folder, "dp_quantile"))
+    return found.withColumn("estimate", F.round("estimate", 6))
 
 
 _RANKED = """
@@ -105,10 +106,7 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _counted(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, written once: both the plan and the mix use them."""
-    path = shared_folder(spark, "tokens")
-    counted = mixing.token_counts(table(spark, folder, "documents"))
-    counted.write.parquet(path)
-    return spark.read.schema(counted.schema).parquet(path)
+    return written(mixing.token_counts(table(spark, folder, "documents")), "tokens")
 
 
 @query
@@ -134,6 +132,30 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.actual_shares(mixing.mix(counted, planned), planned)
 
 
+@query
+def p7_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The plan of the mix where size is in characters."""
+    planned = mixing.plan(mixing.character_counts(table(spark, folder, "documents")), table(spark, folder, "mix_target"))
+    return planned.select("source", "documents", F.col("tokens").alias("characters"), "falls_short", (F.col("clamped_in").isNotNull()).alias("is_clamped"), F.round("repetitions", 6).alias("repetitions"))
+
+
+_SIZES = """
+WITH d AS (SELECT lower(trim(source, ' ')) AS source, COALESCE(length(text), 0) AS size FROM documents WHERE trim(source, ' ') <> ''),
+s AS (SELECT source, COUNT(*) AS documents, SUM(size) AS size FROM d GROUP BY 1),
+m AS (SELECT lower(trim(source, ' ')) AS source, SUM(COALESCE(target_share, 0)) AS w, MAX(COALESCE(max_repeats, 0)) AS cap FROM mix_target WHERE trim(source, ' ') <> '' GROUP BY 1),
+t AS (SELECT SUM(size) AS total FROM d),
+r AS (SELECT m.*, COALESCE(documents, 0) AS documents, COALESCE(size, 0) AS size, cap * COALESCE(size, 0) AS room FROM m LEFT JOIN s USING (source)),
+-- In the order of room per share a first part is clamped; the level of the rest is what is left per share.
+o AS (SELECT *, room / w AS ratio, COALESCE(SUM(room) OVER before, 0) AS taken, 1 - COALESCE(SUM(w) OVER before, 0) AS open_share FROM r WHERE w > 0
+  WINDOW before AS (ORDER BY room / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lvl AS (SELECT arg_min((total - taken) / open_share, taken) AS level FROM o, t WHERE ratio >= (total - taken) / open_share)
+"""
+SQL["p7_plan"] = f"""{_SIZES}
+SELECT r.source, CAST(documents AS BIGINT) AS documents, CAST(size AS BIGINT) AS characters, w > 0 AND room < w * total AS falls_short,
+  w > 0 AND (level IS NULL OR room / w < level) AS is_clamped,
+  round(CASE WHEN size = 0 OR w <= 0 THEN 0 ELSE LEAST(CASE WHEN level IS NULL OR room / w < level THEN room ELSE level * w END / size, cap) END, 6) AS repetitions
+FROM r, t, lvl"""
+
 # Characters stand in for tokens here: the cases do not depend on the tokenizer, as their margins are wide.
 SQL["p7_found"] = """
 WITH d AS (SELECT lower(trim(source, ' ')) AS name, COALESCE(length(text), 0) AS size FROM documents WHERE trim(source, ' ') <> ''),
@@ -144,14 +166,16 @@ SELECT DISTINCT m.source FROM mix_target m LEFT JOIN s ON s.name = lower(trim(m.
 # 8. Repetition inside a document
 
 
+def _decided(spark: SparkSession, folder: str) -> DataFrame:
+    measured = written(repetition.measures(table(spark, folder, "documents")), "measures")
+    scored = repetition.strata(measured)
+    return repetition.rejected(scored, repetition.sure_cutoffs(scored.where("is_held_out")))
+
+
 @query
 def p8_method(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents under risk-controlled cutoffs on repeated sentences and paragraphs, learnt from the word rule."""
-    path = shared_folder(spark, "measures")
-    measured = repetition.measures(table(spark, folder, "documents"))
-    measured.write.parquet(path)
-    measured = spark.read.schema(measured.schema).parquet(path)
-    return repetition.rejected(measured, repetition.sure_cutoffs(repetition.strata(measured)))
+    """Documents under risk-controlled cutoffs on repeated sentences and paragraphs, learnt from held out ones."""
+    return _decided(spark, folder).drop("good")
 
 
 @query
@@ -159,9 +183,41 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measures(table(spark, folder, "documents"), parts=False).where(repetition.is_repetitive()).select("doc_id")
 
 
+@query
+def p8_risks(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cutoffs do to the documents that were not held out, per stratum."""
+    return repetition.risks(_decided(spark, folder))
+
+
+@query
+def p8_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and repeated words of every document."""
+    return repetition.measures(table(spark, folder, "documents"), parts=False).select("doc_id", "word_count", "repeated_words")
+
+
 @query
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares of repeated words, sentences and paragraphs of every document."""
     measured = repetition.measures(table(spark, folder, "documents"))
     share = F.coalesce(F.col("repeated_words") / F.nullif(F.col("word_count"), F.lit(0)), F.lit(0.0))
     return measured.select("doc_id", "word_count", share.alias("repeated_share"), "repeated_sentences", "repeated_paragraphs")
+
+
+_RUNS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(nfc_normalize(lower(regexp_replace(regexp_replace(COALESCE(text, ''), '\\p{Cf}', '', 'g'), '<[^<>]{0,40}>', ' ', 'g'))), '[\\p{L}\\p{N}]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+g AS (SELECT doc_id, k, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS run FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+again AS (SELECT doc_id, k FROM (SELECT *, MIN(k) OVER (PARTITION BY doc_id, run) AS first FROM g WHERE run IS NOT NULL) WHERE k > first),
+marked AS (SELECT DISTINCT doc_id, k + j AS k FROM again, range(5) x(j)),
+n AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS word_count, (SELECT COUNT(*) FROM marked m WHERE m.doc_id = d.doc_id) AS repeated_words FROM d)
+"""
+# All compatibility characters of the corpus are beside words, so that NFC gives the words of NFKC here.
+SQL["p8_words"] = f"{_RUNS} SELECT doc_id, word_count, repeated_words FROM n"
+SQL["p8_found"] = f"{_RUNS} SELECT doc_id FROM n WHERE word_count > 0 AND repeated_words * 10 >= word_count * 3"
+
+_STEP, _OFFSET = percentiles._scale(percentiles.ACCURACY)
+SQL["p4_percentiles"] = f"""{_RANKED},
+x AS (SELECT q.*, r.n AS group_count, r.v FROM dp_quantile q JOIN r ON r.group_code IS NOT DISTINCT FROM q.group_code AND r.k = GREATEST(1, (q.pct * r.n + 99) // 100)),
+b AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / {_STEP!r}) + {_OFFSET}) END AS s FROM x)
+SELECT group_code, pct, accepted_value, group_count, CAST(s AS INTEGER) AS bucket,
+  round(CASE WHEN s = 0 THEN 0 ELSE sign(s) * exp((abs(s) - {_OFFSET}) * {_STEP!r}) * {1 - percentiles.ACCURACY!r} END, 6) AS estimate FROM b"""

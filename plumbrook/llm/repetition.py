@@ -4,14 +4,16 @@ Measures per document: the share of words that lie in five consecutive words tha
 the document too (overlaps count), and the shares of characters in sentences and in paragraphs that
 stood earlier in it.
 
-Method for cutoffs: risk control. On labelled holdouts, for every stratum and every cutoff of a grid,
-the exact binomial test of "at least RISK of the good documents would be rejected" is made; a cutoff
-is sure if the test rejects at DELTA divided by the number of tests (Bonferroni), and the smallest
-sure cutoff of the stratum is taken. The guarantee holds for all strata at once with probability
-1 - DELTA; a stratum without sure cutoff rejects nothing.
+Method for cutoffs: risk control. A seeded part of the documents is held out and labelled; on it, for every
+stratum and every cutoff of a grid, the exact binomial test of "at least RISK of the good documents would be
+rejected" is made; a cutoff is sure if the test rejects at DELTA divided by the number of tests (Bonferroni),
+and the smallest sure cutoff of the stratum is taken. For documents that were not held out the guarantee holds
+for all strata at once with probability 1 - DELTA; a stratum without sure cutoff rejects nothing. What the
+cutoffs do to those documents is counted too.
 
 Defined results: null texts and texts of fewer than five words have share 0; languages are compared
-without case and outer blanks and all unknown ones are one stratum; an empty table gives no rows.
+without case and outer blanks, and those of less than STRATUM_SHARE of the documents are one stratum with
+the unknown ones; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ RUN = 5
 LIMIT_TENTHS = 3
 RISK, DELTA = 0.02, 0.05
 CUTOFFS = [k / 20 for k in range(1, 20)]
-LANGUAGES = ["en", "de", "es", "fr"]
+#: Documents held out for labels, of 100, and the seed that chooses them.
+HOLDOUT, SEED = 50, 8
+#: A language of fewer documents has no strata of its own; so there are at most 1 / STRATUM_SHARE languages.
+STRATUM_SHARE = 0.01
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -85,7 +90,7 @@ def measures(documents: DataFrame, parts: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_MEASURES)[2:], strict=True))], schema=_MEASURES)
 
     lang = F.lower(F.trim(F.col("lang").cast("string")))
-    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(lang.isin(LANGUAGES), lang).otherwise("other").alias("lang"), F.col("text").cast("string").alias("text"))
+    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(lang != "", lang).alias("lang"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(scan, "doc_id bigint, lang string, word_count bigint, repeated_words bigint, repeated_sentences double, repeated_paragraphs double")
 
 
@@ -148,12 +153,36 @@ def sure_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA)
 
 
 def strata(measured: DataFrame) -> DataFrame:
-    """Language and length class as stratum; score is the larger share of repeated sentences and paragraphs."""
+    """Language and length class as stratum; score is the larger share of repeated sentences and paragraphs.
+
+    good is the label: the document is not repetitive by the word rule. Which languages have strata is counted, one
+    row per language before any shuffle.
+    """
+    counts = measured.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    whole = measured.agg(F.count(F.lit(1)).alias("whole"))  # one row
+    common = counts.join(whole, F.col("n") >= F.lit(STRATUM_SHARE) * F.col("whole")).select("lang", F.col("lang").alias("known"))
     length = F.when(F.col("word_count") < 50, "short").when(F.col("word_count") < 150, "middle").otherwise("long")
-    return measured.withColumns({"stratum": F.concat_ws("/", "lang", length), "score": F.greatest("repeated_sentences", "repeated_paragraphs"), "good": ~is_repetitive()})
+    held = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(100)) < HOLDOUT
+    return measured.join(F.broadcast(common), "lang", "left").withColumns({
+        "stratum": F.concat_ws("/", F.coalesce("known", F.lit("other")), length), "score": F.greatest("repeated_sentences", "repeated_paragraphs"), "good": ~is_repetitive(), "is_held_out": held,
+    }).drop("known")
 
 
-def rejected(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Every document with its stratum, score, the stratum's cutoff and whether it is rejected."""
-    scored = strata(measured).join(F.broadcast(cutoffs.select("stratum", F.when(~F.isnan("cutoff"), F.col("cutoff")).alias("cutoff"))), "stratum", "left")
-    return scored.select("doc_id", "stratum", "score", "cutoff", F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False)).alias("is_rejected"), "word_count", "repeated_words")
+def rejected(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Every document with its stratum, score, the stratum's cutoff and whether it is rejected.
+
+    scored: strata(); documents that are held out gave the labels, and the guarantee is for the others.
+    """
+    chosen = cutoffs.select("stratum", F.when(~F.isnan("cutoff"), F.col("cutoff")).alias("cutoff"))  # at most three per language
+    return scored.join(F.broadcast(chosen), "stratum", "left").select(
+        "doc_id", "stratum", "is_held_out", "score", "cutoff", F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False)).alias("is_rejected"), "word_count", "repeated_words", "good"
+    )
+
+
+def risks(decided: DataFrame) -> DataFrame:
+    """Per stratum, of the documents that were not held out: good ones, those among them rejected, repetitive ones and
+    those found; decided is rejected()."""
+    of = decided.where("NOT is_held_out").groupBy("stratum").agg(
+        F.max("cutoff").alias("cutoff"), F.count_if("good").alias("good"), F.count_if(F.col("good") & F.col("is_rejected")).alias("false_rejections"), F.count_if(~F.col("good")).alias("repetitive"), F.count_if(~F.col("good") & F.col("is_rejected")).alias("rejected")
+    )
+    return of.withColumn("false_rate", F.coalesce(F.col("false_rejections") / F.nullif(F.col("good"), F.lit(0)), F.lit(0.0)))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from plumbrook.llm import queries
+from plumbrook.llm import frequent, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_reads_only_its_columns(spark, name, columns, exchanges):
 
 
 def test_runs_are_made_before_the_range_shuffle(spark):
-    text = plan(queries.QUERIES["p1_found"](spark, SMALL))
+    text = plan(frequent.range_heaps(queries._runs(spark, SMALL), 201, 0.005))
     assert text.count("Exchange rangepartitioning") == 1 and text.index("Exchange rangepartitioning") < text.rindex("MapInArrow")
 
 

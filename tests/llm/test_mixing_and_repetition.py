@@ -17,7 +17,9 @@ from plumbrook.llm.words import words
 def test_water_filling(sources):
     sizes, shares, caps = zip(*sources, strict=True)
     total = sum(sizes)
-    given_ = mixing.water_fill(sizes, shares, caps, total)
+    given_, clamped = mixing.water_fill(sizes, shares, caps, total)
+    for s, w, c, n in zip(sizes, shares, caps, clamped, strict=True):  # the first round clamps those that fall short
+        assert (n == 1) is (w > 0 and s * c * sum(shares) < w * total) and (n is None or w > 0)
     room = [s * c for s, c in zip(sizes, caps, strict=True)]
     assert all(-1e-9 <= g <= r + 1e-6 for g, r in zip(given_, room, strict=True))
     open_ = sum(r for r, w in zip(room, shares, strict=True) if w)
@@ -41,6 +43,7 @@ def test_plan(mixed):
     got = {r.source: r for r in planned.collect()}
     assert set(got) == {"big", "small", "absent", "nul"} and got["big"].documents == 301 and counted.count() == 351
     assert got["small"].falls_short and got["absent"].falls_short and not got["big"].falls_short and not got["nul"].falls_short
+    assert {s: r.clamped_in for s, r in got.items()} == {"small": 1, "absent": 1, "big": None, "nul": None}
     each = got["small"].tokens // 10
     assert got["big"].total_tokens == 350 * each and got["small"].repetitions == 3 and got["absent"].repetitions == 0
     assert got["big"].repetitions == pytest.approx((350 - 30) / 300, rel=1e-9)  # what the others lack
@@ -130,10 +133,31 @@ def test_measures_and_rejection(spark):
     documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("word_count", F.lit("clash"))
     measured = repetition.measures(documents)
     got = {r.doc_id: r for r in measured.collect()}
-    assert got[1].lang == "en" and got[3].lang == got[4].lang == "other" and got[1].repeated_words == plain_repeated(words(loop)) and got[1].repeated_sentences > 0.9
+    assert got[1].lang == "en" and got[3].lang is None and got[4].lang == "xx" and got[1].repeated_words == plain_repeated(words(loop)) and got[1].repeated_sentences > 0.9
     assert sorted(str(r.doc_id) for r in measured.where(repetition.is_repetitive()).collect()) == ["1", "None"]
-    out = repetition.rejected(measured, repetition.sure_cutoffs(repetition.strata(measured)))
+    scored = repetition.strata(measured)
+    out = repetition.rejected(scored, repetition.sure_cutoffs(scored.where("is_held_out")))
     assert out.count() == 6 and not any(r.is_rejected for r in out.collect())  # too few to be sure of anything
     cutoffs = spark.createDataFrame([("en/middle", 0.5)], "stratum string, cutoff double")
-    assert [r.doc_id for r in repetition.rejected(measured, cutoffs).where("is_rejected").collect()] == [1]
-    assert repetition.measures(documents.limit(0)).count() == 0
+    assert [r.doc_id for r in repetition.rejected(scored, cutoffs).where("is_rejected").collect()] == [1]
+    assert repetition.measures(documents.limit(0)).count() == 0 and repetition.strata(measured.limit(0)).count() == 0
+
+
+def test_cutoffs_keep_the_risk_on_documents_not_held_out(spark):
+    """Labels of the held out half only; the other half is counted afterwards. Rare languages share strata."""
+    r = random.Random(2)
+    rows = []
+    for k in range(12_000):
+        bad = r.random() < 0.04
+        rows.append((k, r.choice(["en"] * 60 + ["de"] * 39 + ["xy", None]) if k % 300 else f"rare{k}", 40, 20 if bad else 0, r.uniform(0.5, 1) if bad else min(1.0, r.expovariate(14)), 0.0))
+    measured = spark.createDataFrame(rows, "doc_id bigint, lang string, word_count bigint, repeated_words bigint, repeated_sentences double, repeated_paragraphs double").repartition(4)
+    scored = repetition.strata(measured)
+    assert {x.stratum for x in scored.select("stratum").distinct().collect()} == {"en/short", "de/short", "other/short"}
+    assert scored.where("is_held_out").count() == pytest.approx(6000, abs=300)
+    # Labels outside the held out half play no part.
+    turned = scored.withColumn("good", F.when(F.col("is_held_out"), F.col("good")).otherwise(~F.col("good")))
+    cutoffs = {x.stratum: x.cutoff for x in repetition.sure_cutoffs(turned.where("is_held_out")).collect()}
+    decided = repetition.rejected(scored, repetition.sure_cutoffs(scored.where("is_held_out")))
+    found = {x.stratum: x for x in repetition.risks(decided).collect()}
+    assert found["en/short"].cutoff == cutoffs["en/short"] and found["en/short"].false_rate <= repetition.RISK and found["en/short"].rejected >= 0.9 * found["en/short"].repetitive > 50
+    assert sum(x.good + x.repetitive for x in found.values()) == scored.where("NOT is_held_out").count()
