@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbrook.llm.words import words
@@ -158,9 +158,9 @@ def strata(measured: DataFrame) -> DataFrame:
     good is the label: the document is not repetitive by the word rule. Which languages have strata is counted, one
     row per language before any shuffle.
     """
-    counts = measured.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    whole = measured.agg(F.count(F.lit(1)).alias("whole"))  # one row
-    common = counts.join(whole, F.col("n") >= F.lit(STRATUM_SHARE) * F.col("whole")).select("lang", F.col("lang").alias("known"))
+    counts = measured.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.sum("n").over(Window.partitionBy())  # over one row per language
+    common = counts.withColumn("whole", whole).where(F.col("n") >= F.lit(STRATUM_SHARE) * F.col("whole")).select("lang", F.col("lang").alias("known"))
     length = F.when(F.col("word_count") < 50, "short").when(F.col("word_count") < 150, "middle").otherwise("long")
     held = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(100)) < HOLDOUT
     return measured.join(F.broadcast(common), "lang", "left").withColumns({
