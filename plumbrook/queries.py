@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrook import survey_queries
+from plumbrook import survey_queries, system_queries
 from plumbrook.operators import drift, load_profile, rejects
 from plumbrook.sources.folder import shared_folder, table, written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(survey_queries.QUERIES)
-SQL: dict[str, str] = dict(survey_queries.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = survey_queries.QUERIES | system_queries.QUERIES
+SQL: dict[str, str] = survey_queries.SQL | system_queries.SQL
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -13,13 +13,14 @@ import decimal
 import io
 import re
 import zipfile
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -389,6 +390,34 @@ def to_excel(sheets: Any, options: Mapping[str, Any] | None = None) -> bytes | N
     return workbook_bytes([_sheet_of(name, rows) for name, rows in zip(sheets.__fields__, sheets, strict=True) if rows is not None], config)
 
 
+CELL = "path string, sheet string, row_no int, column_no int, value string"
+
+
+def workbook_cells(content: bytes) -> list[tuple[str, int, int, str]]:
+    """Sheet, row and column (from 1) and text of every cell with a value; numbers as they are written."""
+    package, out = _Package(content), []
+    for name, (_, tree) in package.sheets.items():
+        for cell in tree.iter(_tag("c")):
+            text = package.text_of(cell)
+            if text is None and (value := cell.find(_tag("v"))) is not None:
+                text = value.text
+            if text is not None:
+                row, column = cell_place(cell.get("r"))
+                out.append((name, row + 1, column + 1, text))
+    return out
+
+
+def excel_cells(files: DataFrame) -> DataFrame:
+    """The cells of workbooks (path, content): CELL."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(path, *cell) for path, content in zip(frame["path"], frame["content"], strict=True) for cell in workbook_cells(content)]
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row_no", "column_no", "value"])
+
+    return files.select("path", "content").mapInPandas(read, CELL)
+
+
 def register(spark: SparkSession) -> None:
     """to_excel(named_struct(...), map(...)) in SQL."""
     spark.udf.register("to_excel", to_excel, "binary")

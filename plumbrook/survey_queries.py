@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbrook.functions import sketches
 from plumbrook.functions.codes import cleanup_codes, collect_codes
 from plumbrook.operators import quality_rules as qr
 from plumbrook.operators import reshape as rs
@@ -188,10 +190,52 @@ def dq_row_sample_size(spark: SparkSession, folder: str) -> DataFrame:
     return q.row_sample().agg(F.count(F.lit(1)).alias("sampled"))
 
 
-@query()
+@query(
+    f"{_LINES}, s AS (SELECT COUNT(*) AS n, COUNT_IF(NOT COALESCE(a, FALSE)) AS a, COUNT_IF(NOT COALESCE(b, FALSE)) AS b, COUNT_IF(NOT COALESCE(c, FALSE)) AS c, COUNT_IF(NOT (COALESCE(a, FALSE) AND COALESCE(b, FALSE) AND COALESCE(c, FALSE))) AS bad FROM w) "
+    "SELECT kind, name, CAST(violations AS BIGINT) AS violations FROM (SELECT 'table' AS kind, 'rows' AS name, n AS violations FROM s UNION ALL SELECT 'table', 'violations', bad FROM s UNION ALL SELECT 'rule', 'l_quantity__max', a FROM s "
+    "UNION ALL SELECT 'rule', 'l_returnflag__enum_values', b FROM s UNION ALL SELECT 'rule', '__primary_key_unique', c FROM s UNION ALL SELECT 'sample', 'enough', LEAST(1, bad) FROM s)"
+)
 def dq_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The nested result row of all statistics and the sample."""
-    return _lines(spark, folder).result()
+    """The nested result row of all statistics and the sample, taken apart."""
+    one = _lines(spark, folder).result()
+    row = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.cast("bigint").alias("violations"))
+    whole = F.array(
+        row("table", F.lit("rows"), F.col("statistics.table.rows")), row("table", F.lit("violations"), F.col("statistics.table.violations")),
+        row("sample", F.lit("enough"), F.least(F.lit(1), F.size("row_sample"))),
+    )
+    rules = F.transform("statistics.rule", lambda s: row("rule", s["rule_name"], s["violations"]))
+    return one.select(F.inline(F.concat(whole, rules)))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey = 2 AND n_nationkey > 9 THEN 'away,early' WHEN n_regionkey = 2 THEN 'away' ELSE 'early' END AS rules FROM nation WHERE n_regionkey = 2 OR n_nationkey > 9")
+def dq_sample_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Where all rows fit, the sample is all rows that break a rule, each with the rules it breaks."""
+    q = Quality.from_df(table(spark, folder, "nation")).rules([qr.Rule("away", "n_regionkey <> 2"), qr.Rule("early", "n_nationkey <= 9")]).config(QualityConfig(max_rows_per_rule=1000))
+    return q.row_sample().select(F.col("row")[0].alias("n_nationkey"), F.col("row")[1].alias("n_name"), F.array_join("violated_rule_names", ",").alias("rules"))
+
+
+@dataclasses.dataclass
+class DeclaredCustomer:
+    """What the customers' table should hold."""
+
+    c_custkey: str
+    c_mktsegment: str = dataclasses.field(metadata={"enum_values": ["BUILDING", "MACHINERY", "AUTOMOBILE"], "nullable": False})
+    c_name: str = dataclasses.field(metadata={"regexp": "7$"})
+
+
+@query(
+    "SELECT 'c_custkey__type' AS rule_name, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'c_mktsegment__type', 0 UNION ALL SELECT 'c_mktsegment__not_null', CAST(COUNT_IF(c_mktsegment IS NULL) AS BIGINT) FROM customer "
+    "UNION ALL SELECT 'c_mktsegment__enum_values', CAST(COUNT_IF(c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')) AS BIGINT) FROM customer UNION ALL SELECT 'c_name__type', 0 UNION ALL SELECT 'c_name__regexp', CAST(COUNT_IF(NOT c_name LIKE '%7') AS BIGINT) FROM customer"
+)
+def dq_class_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules from the fields of a class."""
+    return Quality.from_df(table(spark, folder, "customer")).fields(qr.fields_of(DeclaredCustomer)).rule_statistics()
+
+
+@query("WITH w AS (SELECT COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT 'customer__unique' AS rule_name, CAST(COUNT_IF(n > 1) AS BIGINT) AS violations FROM w")
+def dq_unique_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """A key that most rows share with others."""
+    return Quality.from_df(table(spark, folder, "orders")).rules([qr.unique_rule("customer", ["o_custkey"])]).rule_statistics()
 
 
 # Join quality
@@ -239,9 +283,26 @@ def dq_join_theta(spark: SparkSession, folder: str) -> DataFrame:
     return j.statistics().select("inner", "left", "right", "full")
 
 
-@query()
+@query(
+    "WITH l AS (SELECT r_regionkey AS k, COUNT(*) AS n FROM region GROUP BY 1), r AS (SELECT n_regionkey AS k, MIN(n_nationkey) AS m, COUNT(*) AS n FROM nation GROUP BY n_regionkey, n_nationkey), "
+    "j AS (SELECT l.n AS a, r.n AS b FROM l JOIN r ON l.k > r.k AND l.k + r.m > 3) SELECT CAST(SUM(a * b) AS BIGINT) AS \"inner\" FROM j"
+)
+def dq_join_derived_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """A join whose key columns are those its condition refers to."""
+    condition = (F.col("left.r_regionkey") > F.col("right.n_regionkey")) & (F.col("left.r_regionkey") + F.col("right.n_nationkey") > 3)
+    return JoinQuality.theta(table(spark, folder, "region"), table(spark, folder, "nation"), condition).statistics().select("inner")
+
+
+@query(
+    f"WITH {_KEYS} SELECT 'o_custkey' AS left_key, 'c_custkey' AS right_key, 'LEFT' AS join_type, CAST(SUM(a * GREATEST(1, b)) AS BIGINT) AS joined, CAST(COUNT(*) AS BIGINT) AS keys, CAST(COUNT_IF(NOT b > 0 OR NOT b <= 1) AS BIGINT) AS violations FROM j"
+)
 def dq_join_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _orders_customers(spark, folder).report()
+    """The report's row taken apart."""
+    got = _orders_customers(spark, folder).how("left").report()
+    return got.select(
+        F.col("join_info.left_key_column_names")[0].alias("left_key"), F.col("join_info.right_key_column_names")[0].alias("right_key"), F.col("join_info.join_type").alias("join_type"),
+        F.col("join_statistics.left").alias("joined"), F.col("result.statistics.table.rows").alias("keys"), F.col("result.statistics.table.violations").alias("violations"),
+    )
 
 
 # Reshape
@@ -319,6 +380,78 @@ def reshape_dates(spark: SparkSession, folder: str) -> DataFrame:
     return rs.reshape(texts, T.StructType().add("o_orderkey", T.LongType()).add(T.StructField("day", T.DateType(), True, {"format": "dd.MM.yyyy"})))
 
 
+@dataclasses.dataclass
+class ReshapedOrder:
+    """The target of a reshape, as a class."""
+
+    o_orderkey: int
+    o_orderstatus: int = dataclasses.field(metadata={"type": T.IntegerType(), "enum_values": ["F", "O", "P"]})
+    price: float | None = dataclasses.field(metadata={"name": "o_totalprice"})
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def reshape_to_class(spark: SparkSession, folder: str) -> DataFrame:
+    return rs.reshape(table(spark, folder, "orders"), ReshapedOrder)
+
+
+@query("SELECT c_custkey, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), '') AS segment, COALESCE(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0) AS balance FROM customer")
+def reshape_not_null(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls become default values where the target has none."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    key = rows.schema["c_custkey"].dataType
+    target = T.StructType([T.StructField("c_custkey", key), T.StructField("segment", T.StringType(), False), T.StructField("balance", T.DoubleType(), False)])
+    return rs.reshape(rows, target, replace(rs.DEFAULT, fill_default_values=True))
+
+
+@query("SELECT n_nationkey AS first, n_regionkey AS last FROM nation")
+def reshape_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Of columns of one name the first, and the last."""
+    nation = table(spark, folder, "nation")
+    twice = nation.select(F.col("n_nationkey").alias("k"), "n_name", F.col("n_regionkey").alias("K"))
+    target = T.StructType([T.StructField("k", nation.schema["n_nationkey"].dataType), T.StructField("n_name", T.StringType())])
+    of = lambda how: rs.reshape(twice, target, replace(rs.DEFAULT, conflicts=how)).withColumnRenamed("k", how)
+    return of("first").join(of("last"), "n_name").select("first", "last")
+
+
+@query("SELECT unnest(['target', 'source', 'alphabetical']) AS sorted, unnest(['r_name,r_regionkey,extra', 'extra,r_regionkey,r_name', 'extra,r_name,r_regionkey']) AS columns, (SELECT COUNT(*) FROM region) AS n")
+def reshape_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The three orders of columns."""
+    rows = table(spark, folder, "region").select(F.lit(1).alias("extra"), "r_regionkey", "r_name")
+    target = T.StructType([T.StructField("r_name", T.StringType()), T.StructField("r_regionkey", T.LongType())])
+    made = {how: rs.reshape(rows, target, replace(rs.DEFAULT, order=how, drop_extra_columns=False)) for how in ("target", "source", "alphabetical")}
+    return spark.createDataFrame([(how, ",".join(df.columns), df.count()) for how, df in made.items()], "sorted string, columns string, n bigint")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'OPEN' END AS state FROM orders")
+def reshape_word_of_boolean(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("state", metadata={"enum_values": ["open", "done"]}))
+    return rs.reshape(rows, T.StructType([rows.schema["o_orderkey"], T.StructField("state", T.StringType())]))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day, CAST(o_orderdate AS DATE) AS again FROM orders")
+def reshape_day_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Days as texts by the target's format, and back by the configured one."""
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    texts = rs.reshape(rows, T.StructType([rows.schema["o_orderkey"], T.StructField("day", T.StringType(), True, {"format": "dd/MM/yyyy"})]))
+    plain = texts.select("o_orderkey", F.col("day").alias("again", metadata={}))
+    back = rs.reshape(plain, T.StructType([rows.schema["o_orderkey"], T.StructField("again", T.DateType())]), replace(rs.DEFAULT, date_format="dd/MM/yyyy"))
+    return texts.join(back, "o_orderkey").select("o_orderkey", "day", "again")
+
+
+@query("SELECT unnest(['missing', 'twice', 'extra', 'kind']) AS reason, unnest([1, 1, 2, 1]) AS n, (SELECT COUNT(*) FROM region) AS regions")
+def reshape_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why a table can't be given a schema: all reasons, counted by kind."""
+    region = table(spark, folder, "region").select("r_regionkey", "r_name", F.array("r_name").alias("names"), F.lit(1).alias("more"))
+    target = T.StructType([T.StructField("r_name", T.StringType()), T.StructField("R_NAME", T.StringType()), T.StructField("gone", T.LongType()), T.StructField("names", T.LongType())])
+    try:
+        rs.reshape(region, target, replace(rs.DEFAULT, fail_on_extra_column=True))
+        told: list[str] = []
+    except rs.ReshapeError as e:
+        told = e.errors
+    kinds = {"missing": "has nothing for", "twice": "twice", "extra": "no field for", "kind": "no way from"}
+    return spark.createDataFrame([(k, sum(mark in t for t in told), region.count()) for k, mark in kinds.items()], "reason string, n int, regions bigint")
+
+
 # Profiles
 
 
@@ -370,22 +503,138 @@ def dp_pmf_discrete(spark: SparkSession, folder: str) -> DataFrame:
     return profile(table(spark, folder, "lineitem").select("l_linenumber")).columns().select(F.inline("pmf"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT MIN(n_nationkey) AS lo, MAX(n_nationkey) AS hi, COUNT(*) AS n FROM nation), q AS (SELECT lo - (hi - lo) * (0.005 / 0.99) AS start, ((hi - lo) + 2 * (hi - lo) * (0.005 / 0.99)) / 5 AS width FROM p) "
+    "SELECT round(start + width * k, 6) AS low, round(start + width * (k + 1), 6) AS high, (SELECT COUNT(*) FROM nation WHERE (k = 0 OR n_nationkey >= start + width * k) AND (k = 4 OR n_nationkey < start + width * (k + 1))) AS \"count\" FROM q, range(5) r(k)"
+)
+def dp_pmf_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """A distribution from a sketch that holds all values, in five buckets."""
+    got = profile(table(spark, folder, "nation").select("n_nationkey"), ProfileConfig(pmf_buckets=5, items=3)).columns().select(F.inline("pmf"))
+    return got.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "count")
+
+
+@query("SELECT 'l_extendedprice' AS name, COUNT(*) AS total, CAST(20 AS INTEGER) AS buckets FROM lineitem WHERE l_extendedprice IS NOT NULL")
 def dp_pmf_approximate(spark: SparkSession, folder: str) -> DataFrame:
-    """A distribution from a sketch, in twenty buckets."""
-    return profile(table(spark, folder, "lineitem").select("l_extendedprice"), ProfileConfig(pmf_buckets=20)).columns().select(F.inline("pmf"))
+    """A distribution from a sketch, in twenty buckets: they hold all values."""
+    got = profile(table(spark, folder, "lineitem").select("l_extendedprice"), ProfileConfig(pmf_buckets=20)).columns()
+    return got.select("name", F.aggregate("pmf", F.lit(0).cast("bigint"), lambda s, b: s + b["count"]).alias("total"), F.size("pmf").alias("buckets"))
+
 
+_NUMBERS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
-@query()
+
+@query(
+    _profile_sql("lineitem", _NUMBERS, lambda c: f'COUNT(*) AS "count", CAST(COUNT_IF({c} IS NULL) AS BIGINT) AS count_nulls, CAST(MIN({c}) AS DOUBLE) AS low, CAST(MAX({c}) AS DOUBLE) AS high, CAST(COUNT({c}) AS BIGINT) AS in_buckets')
+    + " UNION ALL " + _profile_sql("lineitem", ["l_returnflag", "l_linestatus"], lambda c: f"COUNT(*), CAST(COUNT_IF({c} IS NULL) AS BIGINT), NULL, NULL, 0")
+    + " UNION ALL " + _profile_sql("lineitem", ["l_shipdate"], lambda c: f"COUNT(*), CAST(COUNT_IF({c} IS NULL) AS BIGINT), CAST(epoch(MIN({c})) AS DOUBLE), CAST(epoch(MAX({c})) AS DOUBLE), CAST(COUNT({c}) AS BIGINT)")
+)
 def dp_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole profile of all columns of lineitem."""
-    return profile(table(spark, folder, "lineitem")).columns()
+    """The whole profile of all columns of lineitem; what is not a sketch's estimate is held against SQL."""
+    got = profile(table(spark, folder, "lineitem")).columns()
+    return got.select(
+        "name", "count", "count_nulls", F.col("min").try_cast("double").alias("low"), F.col("max").try_cast("double").alias("high"), F.aggregate("pmf", F.lit(0).cast("bigint"), lambda s, b: s + b["count"]).alias("in_buckets")
+    )
+
+
+_FEW = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount"]
+
+
+@query(_profile_sql("lineitem", _FEW, lambda c: f"COUNT(DISTINCT {c}) AS count_unique, 'true' AS is_exact"))
+def dp_distincts(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct values, exact where the list of items holds all."""
+    got = profile(table(spark, folder, "lineitem").select(*_FEW)).columns()
+    return got.select("name", "count_unique", F.try_element_at("extras", F.lit("is_exact")).alias("is_exact"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, '{q:g}' AS share, CAST(quantile_disc({c}, {q}) AS DOUBLE) AS value FROM nation" for c in ("n_nationkey", "n_regionkey") for q in (0.05, 0.25, 0.5, 0.75, 0.95)))
+def dp_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles from a sketch that holds all values."""
+    got = profile(table(spark, folder, "nation").select("n_nationkey", "n_regionkey")).columns()
+    quantiles = F.from_json(F.try_element_at("extras", F.lit("quantiles")), "map<string,string>")
+    return got.select("name", F.explode(quantiles).alias("share", "value")).select("name", "share", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "SELECT 'words' AS name, CAST(COUNT_IF(p_partkey % 5 = 0) AS BIGINT) AS count_empty, CAST(0 AS BIGINT) AS count_nulls, CAST(MAX(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE len(string_split(p_type, ' ')) END) AS BIGINT) AS max_length FROM part "
+    "UNION ALL SELECT 'by_brand', 0, CAST(COUNT_IF(p_size < 10) AS BIGINT), 1 FROM part UNION ALL SELECT 'bytes', 0, 0, CAST(MAX(length(p_name)) AS BIGINT) FROM part UNION ALL SELECT 'nested', NULL, CAST(COUNT_IF(p_size >= 40) AS BIGINT), NULL FROM part"
+)
+def dp_sized(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrays, maps, bytes and structs."""
+    rows = table(spark, folder, "part").select(
+        F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("p_type", " ")).alias("words"), F.when(F.col("p_size") >= 10, F.create_map("p_brand", "p_size")).alias("by_brand"),
+        F.encode("p_name", "UTF-8").alias("bytes"), F.when(F.col("p_size") < 40, F.struct("p_size", "p_type")).alias("nested"),
+    )
+    return profile(rows).columns().select("name", "count_empty", "count_nulls", "max_length")
+
+
+@query("SELECT 'o_orderkey' AS name, TRUE AS no_distincts, TRUE AS no_items, TRUE AS no_buckets, COUNT(*) AS \"count\" FROM orders")
+def dp_turned_off(spark: SparkSession, folder: str) -> DataFrame:
+    """Only counts, without any sketch."""
+    got = profile(table(spark, folder, "orders").select("o_orderkey"), ProfileConfig(items=0, count_distincts=False, quantiles=False)).columns()
+    return got.select("name", F.isnull("count_unique").alias("no_distincts"), (F.size("items") == 0).alias("no_items"), (F.size("pmf") == 0).alias("no_buckets"), "count")
+
+
+@query(
+    "WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN '  ' ELSE ' ' || CAST(o_orderkey AS VARCHAR) END AS v FROM orders) SELECT 'v' AS name, 'long' AS data_type, CAST(COUNT_IF(trim(v) = '') AS BIGINT) AS count_empty, "
+    "CAST(COUNT_IF(v IS NULL) AS BIGINT) AS count_nulls, CAST(MAX(length(v)) AS BIGINT) AS max_length, CAST(MIN(CAST(NULLIF(trim(v), '') AS BIGINT)) AS VARCHAR) AS min, CAST(MAX(CAST(NULLIF(trim(v), '') AS BIGINT)) AS VARCHAR) AS max FROM t"
+)
+def dp_combined(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that are numbers: the profile of both, blanks count as empty."""
+    v = F.when(F.col("o_orderkey") % 10 == 0, None).when(F.col("o_orderkey") % 10 == 1, "  ").otherwise(F.concat(F.lit(" "), "o_orderkey"))
+    got = profile(table(spark, folder, "orders").select(v.alias("v")), ProfileConfig(infer_types_from_strings=True)).columns()
+    return got.select("name", "data_type", "count_empty", "count_nulls", "max_length", "min", "max")
+
+
+@query("SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price FROM orders")
+def dp_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts brought into the schema that their profile gives."""
+    from plumbrook.operators.profile import schema_of
+
+    orders = table(spark, folder, "orders")
+    texts = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"), F.col("o_totalprice").cast("string").alias("price"))
+    return rs.reshape(texts, schema_of(profile(texts, ProfileConfig(infer_types_from_strings=True, items=0, quantiles=False, count_distincts=False)).columns().collect()))  # a row per column
+
+
+@query(
+    'SELECT \'o_orderkey\' AS name, COUNT(*) AS "count", CAST(0 AS BIGINT) AS count_nulls FROM orders UNION ALL SELECT \'money\', COUNT(*), CAST(COUNT_IF(o_totalprice < 1000) AS BIGINT) FROM orders '
+    "UNION ALL SELECT 'money.price', COUNT(*), CAST(COUNT_IF(o_totalprice < 1000) AS BIGINT) FROM orders UNION ALL SELECT 'money.status', COUNT(*), CAST(COUNT_IF(o_totalprice < 1000) AS BIGINT) FROM orders"
+)
+def dp_legacy(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile that goes into structs."""
+    from plumbrook.operators.profile import legacy_profile
+
+    money = F.when(F.col("o_totalprice") >= 1000, F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")))
+    return legacy_profile(table(spark, folder, "orders").select("o_orderkey", money.alias("money")), ProfileConfig(items=0, quantiles=False)).select("name", "count", "count_nulls")
+
+
+@query("SELECT 'timestamp' AS data_type, CAST(epoch(MIN(date_trunc('second', ts))) AS BIGINT) - 9 * 3600 AS first, CAST(epoch(MAX(date_trunc('second', ts))) AS BIGINT) - 9 * 3600 AS last FROM events")
+def dp_time_zone(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments written in the clock of a zone."""
+    texts = table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    got = profile(texts, ProfileConfig(infer_types_from_strings=True, inference=TypeInference(time_zone="Asia/Tokyo"), items=0, quantiles=False)).columns()
+    return got.select("data_type", F.col("min").cast("bigint").alias("first"), F.col("max").cast("bigint").alias("last"))
+
+
+@query("SELECT l_returnflag, CAST(l_linenumber AS VARCHAR) AS item, COUNT(*) AS \"count\" FROM lineitem GROUP BY 1, 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY COUNT(*) DESC, item) <= 3")
+def dp_frequent_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketch aggregate per group, exact while all values fit."""
+    got = table(spark, folder, "lineitem").groupBy("l_returnflag").agg(sketches.frequent_items(F.col("l_linenumber"), 3).alias("top"))
+    return got.select("l_returnflag", F.inline("top"))
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(quantile_disc(n_nationkey, {b} / 4.0) AS DOUBLE) AS low, CAST(quantile_disc(n_nationkey, {b + 1} / 4.0) AS DOUBLE) AS high FROM nation" for b in range(4)))
+def dp_quantile_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """The histogram aggregate, exact while the sketch holds all values."""
+    return table(spark, folder, "nation").agg(sketches.quantile_histogram(F.col("n_nationkey"), 4).alias("h")).select(F.inline("h"))
 
 
 _TEXTS = {"whole": "CAST(o_orderkey AS VARCHAR)", "part": "CAST(o_totalprice AS VARCHAR)", "day": "strftime(o_orderdate, '%d.%m.%Y')", "word": "CASE WHEN o_orderstatus = 'F' THEN ' no' ELSE 'YES' END", "free": "o_orderpriority"}
 
 
-@query("SELECT unnest(['whole', 'part', 'day', 'word', 'free']) AS name, unnest(['long', 'double', 'date', 'boolean', 'string']) AS data_type, unnest([NULL, NULL, 'dd.MM.yyyy', NULL, NULL]) AS format")
+_INFERRED = "CASE WHEN COUNT_IF(NOT regexp_full_match(v, '[+-]?[0-9]+')) = 0 THEN 'long' WHEN COUNT_IF(TRY_CAST(v AS DOUBLE) IS NULL) = 0 THEN 'double' WHEN COUNT_IF(TRY_STRPTIME(v, '%d.%m.%Y') IS NULL) = 0 THEN 'date' WHEN COUNT_IF(upper(trim(v)) NOT IN ('NO', 'YES')) = 0 THEN 'boolean' ELSE 'string' END"
+
+
+@query("SELECT name, data_type, CASE WHEN data_type = 'date' THEN 'dd.MM.yyyy' END AS format FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, {_INFERRED} AS data_type FROM (SELECT {e} AS v FROM orders)" for n, e in _TEXTS.items()) + ")")
 def dp_infer_types(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     texts = orders.select(
@@ -409,12 +658,24 @@ def aggsum_rows(spark: SparkSession, folder: str) -> DataFrame:
     return one.select(F.inline(F.from_json("data_json", "array<struct<l_returnflag:string,l_linestatus:string,n:bigint,total:bigint>>")))
 
 
-@query("SELECT 'l_returnflag,l_linestatus' AS keys, 'n,total' AS measures, 'aggsum_lineitem' AS tables")
+@query("SELECT 'l_returnflag,l_linestatus' AS keys, 'n,total' AS measures, 'aggsum_lineitem' AS tables, COUNT(DISTINCT l_returnflag || l_linestatus) AS \"rows\", SUM(CAST(l_linenumber AS DOUBLE)) AS total FROM lineitem")
 def aggsum_info(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "lineitem").createOrReplaceTempView("aggsum_lineitem")
-    one = AggSummary.from_sql(spark, _AGG.replace("FROM lineitem", "FROM aggsum_lineitem")).result()
+    one = AggSummary.from_sql(spark, _AGG.replace("FROM lineitem", "FROM aggsum_lineitem"), limit=None).result()
+    joined = lambda c: F.concat_ws(",", f"aggsum_info.{c}")
+    rows = F.from_json("data_json", "array<struct<total:double>>")
+    return one.select(
+        joined("key_column_names").alias("keys"), joined("value_column_names").alias("measures"), joined("referenced_table_names").alias("tables"), F.size(rows).cast("bigint").alias("rows"),
+        F.aggregate(rows, F.lit(0.0), lambda s, r: s + r["total"]).alias("total"),
+    )
+
+
+@query("SELECT 'n_nationkey,n_name' AS keys, 'n_regionkey' AS measures, COUNT(*) AS \"rows\" FROM nation")
+def aggsum_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that are named, of a table that is no aggregate."""
+    one = AggSummary.from_df(table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey"), keys=["n_nationkey", "n_name"], limit=None).result()
     joined = lambda c: F.concat_ws(",", f"aggsum_info.{c}")
-    return one.select(joined("key_column_names").alias("keys"), joined("value_column_names").alias("measures"), joined("referenced_table_names").alias("tables"))
+    return one.select(joined("key_column_names").alias("keys"), joined("value_column_names").alias("measures"), F.size(F.from_json("data_json", "array<map<string,string>>")).cast("bigint").alias("rows"))
 
 
 @query(
@@ -427,24 +688,30 @@ def metrics_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @dataclasses.dataclass
-class PackParams:
-    add_multiplier: int
-    multiply_multiplier: int
+class LateParams:
+    """Parameters of the SQL text below."""
 
+    least_quantity: int
+    flag: str
 
-PACK = """
-CREATE OR REPLACE TEMPORARY VIEW pack_sums AS SELECT a.l_orderkey, SUM(a.l_linenumber) AS lines, COUNT(*) AS n FROM pack_lineitem a GROUP BY a.l_orderkey;
--- the parameters weigh the sum; and the product
-SELECT o.o_orderkey AS id, CAST(${add_multiplier} * (s.lines + s.n) + ${multiply_multiplier} * s.lines * s.n AS LONG) AS value FROM pack_sums s JOIN pack_orders o ON s.l_orderkey = o.o_orderkey;
+
+LATE_LINES = """
+-- large lines of one flag; nothing else
+CREATE OR REPLACE TEMPORARY VIEW late_large AS SELECT l_orderkey, l_quantity FROM late_lines WHERE l_quantity >= ${least_quantity} AND l_returnflag = '${flag}';
+/* a statement with a semicolon in a literal; */
+CREATE OR REPLACE TEMPORARY VIEW late_named AS SELECT c_custkey, concat(c_mktsegment, ';') AS segment FROM late_customers;
+SELECT segment, COUNT(*) AS lines, CAST(SUM(l_quantity) AS STRING) AS quantity
+FROM late_large JOIN late_orders ON l_orderkey = o_orderkey JOIN late_named ON o_custkey = c_custkey GROUP BY segment;
 -- COMMAND ----------
-SELECT * FROM nowhere;
+SELECT * FROM what_is_below_is_not_run;
 """
 
 
-@query("SELECT o_orderkey AS id, CAST(1 * (SUM(l_linenumber) + COUNT(*)) + 1000 * SUM(l_linenumber) * COUNT(*) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-def sql_runner_pack(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {"pack_lineitem": table(spark, folder, "lineitem"), "pack_orders": table(spark, folder, "orders")}
-    return run_sql(spark, PACK, tables, PackParams(1, 1000), T.StructType.fromDDL("id bigint, value bigint"))
+@query("SELECT c_mktsegment || ';' AS segment, COUNT(*) AS lines, SUM(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 30 AND l_returnflag = 'R' GROUP BY 1")
+def sql_runner(spark: SparkSession, folder: str) -> DataFrame:
+    """A text of several statements with parameters over named tables, its result reshaped."""
+    tables = {f"late_{n}": table(spark, folder, t) for n, t in (("lines", "lineitem"), ("orders", "orders"), ("customers", "customer"))}
+    return run_sql(spark, LATE_LINES, tables, LateParams(30, "R"), T.StructType.fromDDL("segment string, lines bigint, quantity double"))
 
 
 @query("SELECT p_size, array_to_string(list_sort(list_distinct(list_concat(list(p_brand), list(split_part(p_type, ' ', 1)) FILTER (split_part(p_type, ' ', 1) <> '')))), ',') AS codes FROM part GROUP BY p_size")
@@ -498,41 +765,26 @@ def file_per_row_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("content"))
 
 
-@query("SELECT 'nations.zip' AS name, CAST(25 AS BIGINT) AS entries")
+@query("SELECT 'nations.zip' AS name, 'by_region/' || CAST(n_regionkey AS VARCHAR) || '/nation_' || CAST(n_nationkey AS VARCHAR) || '.txt' AS entry, n_name AS content FROM nation")
 def zip_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     from plumbrook.sources.file_sinks import write_files
 
     out = shared_folder(spark, "zip")
     write_files(_files(spark, folder).coalesce(1), out, "zip", zip_file_name="nations.zip", zip_method="STORED")
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(out)
-    entries = F.udf(_zip_entries, "bigint")
-    return read.select(F.substring_index("path", "/", -1).alias("name"), entries("content").alias("entries"))
-
-
-def _zip_entries(content: bytes) -> int:
-    import io
-    import zipfile
-
-    return len(zipfile.ZipFile(io.BytesIO(content)).namelist())
-
-
-@query("SELECT r_name || '.xlsx' AS path, COUNT(*) AS cells FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-def xlsx_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """A workbook per region with a sheet of its nations; cells counts the data rows found in it."""
-    from plumbrook.sources.workbook import to_excel_files
-
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    sheets = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit(".xlsx")).alias("__path__"), F.lit("Nations").alias("__sheet__"), "n_name")
-    return to_excel_files([sheets]).select("path", F.udf(_data_rows, "bigint")("content").alias("cells"))
+    return read.select(F.substring_index("path", "/", -1).alias("name"), "content").mapInPandas(_zip_entries, "name string, entry string, content string")
 
 
-def _data_rows(content: bytes) -> int:
+def _zip_entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import io
     import zipfile
 
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        part = next(n for n in z.namelist() if n.startswith("xl/worksheets/"))
-        return z.read(part).count(b"<row ") - 1
+    for frame in frames:
+        rows = []
+        for name, content in zip(frame["name"], frame["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                rows += [(name, n, z.read(n).decode()) for n in z.namelist()]
+        yield pd.DataFrame(rows, columns=["name", "entry", "content"])
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")
