@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbrook.operators import runs
+from plumbrook.sources.folder import written
 
 #: Columns accepted in a profile; it is held in every task.
 MOST_COLUMNS = 10_000
@@ -377,12 +378,31 @@ def quantiles(placed: DataFrame, percents: Sequence[float]) -> DataFrame:
 _CURVE = "range_no int, column_no int, load_id bigint, step double, low double, high double"
 
 
+def neighbours(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """counts beside the row before (prior_*) and the key of the row after (next_*) in the order of `key`.
+
+    counts has one row per key, none of them null, and is written in sorted ranges; the last row of a range meets the next range by one
+    row per range, so that no task orders all keys.
+    """
+    placed = counts.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    placed = written(placed, "loads")
+    whole = F.struct(key, *values)
+    within = Window.partitionBy("part").orderBy(key)
+    order = Window.orderBy("part")  # one row per range
+    ends = placed.groupBy("part").agg(F.max_by(whole, key).alias("last"), F.min_by(whole, key).alias("first"))
+    ends = ends.withColumns({"end_before": F.lag("last").over(order), "start_after": F.lead("first").over(order)}).select("part", "end_before", "start_after")
+    beside = placed.withColumns({"prior": F.lag(whole).over(within), "next": F.lead(whole).over(within)}).join(F.broadcast(ends), "part")
+    prior, after = F.coalesce("prior", "end_before"), F.coalesce("next", "start_after")
+    return beside.select(key, *values, *(prior[c].alias(f"prior_{c}") for c in (key, *values)), after[key].alias(f"next_{key}"))
+
+
 def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     """load_id, prior_load, column_name, ks_distance of each load to the load before it (by load_id).
 
     Each value takes part in two pairs, as +n/size of its load and -n/size of the load before the next.
     The running sum over the merged order is the difference of the two curves; a range keeps its total
-    and its extremes, and the totals of the ranges before shift them.
+    and its extremes, and the totals of the ranges before shift them. Distances are rounded to nine digits.
+    Runs meet the sizes by load and column.
     """
     from pyspark import TaskContext
 
@@ -390,12 +410,13 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     read = _read(df, plans, load)
     present = [F.count(F.when(F.trim(f"v{p.number}") != "", 1) if p.kind == "text" else F.col(f"v{p.number}")).alias(f"n{p.number}") for p in plans]
     counts = read.where("load_id IS NOT NULL").groupBy("load_id").agg(*present)
-    order = Window.orderBy("load_id")  # one row per load
-    sizes = counts.select("load_id", F.array(*(f"n{p.number}" for p in plans)).alias("sizes"))
-    sizes = sizes.withColumns({"prior_load": F.lag("load_id").over(order), "prior_sizes": F.lag("sizes").over(order), "next_load": F.lead("load_id").over(order)})
+    beside = neighbours(counts.select("load_id", F.array(*(f"n{p.number}" for p in plans)).alias("sizes")), "load_id", ["sizes"])
+    each = F.posexplode(F.arrays_zip(F.col("sizes").alias("size"), F.coalesce("prior_sizes", F.array_repeat(F.lit(0).cast("bigint"), len(plans))).alias("prior_size")))
+    sizes = beside.select("load_id", "prior_load_id", "next_load_id", each.alias("column_no", "s"))
+    sizes = sizes.select("load_id", F.col("prior_load_id").alias("prior_load"), F.col("next_load_id").alias("next_load"), "column_no", "s.size", "s.prior_size")
     run_rows = value_runs(df, plans, load).where("load_id IS NOT NULL AND (ordinal IS NOT NULL OR text IS NOT NULL)")
-    joined = run_rows.join(sizes.select("load_id", "sizes", "prior_load", "next_load"), "load_id")
-    share = F.col("n") / F.get("sizes", F.col("column_no"))
+    joined = run_rows.join(sizes.select("load_id", "column_no", "size", "prior_load", "next_load"), ["load_id", "column_no"])
+    share = F.col("n") / F.col("size")
     sides = F.array(
         F.struct(F.when(F.col("prior_load").isNotNull(), F.col("load_id")).alias("pair"), share.alias("w")),
         F.struct(F.col("next_load").alias("pair"), (-share).alias("w")),
@@ -429,7 +450,7 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     extreme = F.greatest(F.abs(before + F.col("low")), F.abs(before + F.col("high")))
     ks = parts.withColumn("d", extreme).groupBy("column_no", "load_id").agg(F.max("d").alias("d"))
     # A load without values of a column has no curve there, and no distance.
-    both = ks.join(sizes.select("load_id", "prior_load", "sizes", "prior_sizes"), "load_id").where("get(sizes, column_no) > 0 AND get(prior_sizes, column_no) > 0")
+    both = ks.join(sizes.select("load_id", "prior_load", "column_no", "size", "prior_size"), ["load_id", "column_no"]).where("size > 0 AND prior_size > 0")
     return named(both, plans).select("load_id", "prior_load", "column_name", F.round("d", 9).alias("ks_distance"))
 
 

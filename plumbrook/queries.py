@@ -43,6 +43,40 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return load_profile.profile(records, _every_column(records), "load_id", table(spark, folder, "dp_column"), table(spark, folder, "dq_violation"))
 
 
+def _texts_and_numbers(df: DataFrame, kinds: dict[str, str], *values: str) -> DataFrame:
+    """Values shown as texts as numbers too: those of numeric columns, and microseconds of moments."""
+    kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("column_name")]
+    moment = lambda v: F.unix_micros(F.when(kind == "timestamp", F.col(v)).cast("timestamp")).cast("double")
+    number = lambda v: F.when(kind.isin("long", "double"), F.col(v).try_cast("double")).when(kind == "timestamp", moment(v))
+    text = lambda v: F.when(kind.isin("text", "date"), F.col(v))
+    return df.select("*", *(f(v).alias(f"{v}_{end}") for v in values for f, end in ((text, "text"), (number, "number"))))
+
+
+def _kinds(records: DataFrame) -> dict[str, str]:
+    return {p.name: p.kind for p in load_profile.plan_columns(records, _every_column(records))}
+
+
+@query
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, nulls, distinct values and range of every column of every load."""
+    records = table(spark, folder, "dq_record")
+    found = load_profile.profile(records, _every_column(records), "load_id").withColumn("null_rate", F.round("null_rate", 9))
+    return _texts_and_numbers(found, _kinds(records), "min_value", "max_value").drop("min_value", "max_value")
+
+
+@query
+def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Present and accepted share of every accepted bucket and item of every load."""
+    found = p2_profile(spark, folder).where("cells IS NOT NULL").select("load_id", "column_name", "outside_share", F.explode("cells").alias("c"))
+    return found.select("load_id", "column_name", "c.low", "c.high", "c.item", *(F.round(c, 9).alias(n) for c, n in (("c.share", "share"), ("c.accepted_share", "accepted_share"), ("outside_share", "outside_share"))))
+
+
+@query
+def p2_logged(spark: SparkSession, folder: str) -> DataFrame:
+    """Logged violations of every rule, load and column."""
+    return p2_profile(spark, folder).select("load_id", "column_name", F.explode("violations").alias("v")).select("load_id", "column_name", "v.rule_name", "v.count_violations")
+
+
 @query
 def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of every column of every load."""
@@ -50,14 +84,15 @@ def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     plans = load_profile.plan_columns(records, _every_column(records))
     placed = load_profile.curves(load_profile.ranged(load_profile.value_runs(records, plans, "load_id")), shared_folder(spark, "curves"))
     q = load_profile.named(load_profile.quantiles(placed, PERCENTS), plans)
-    return q.select("load_id", "column_name", F.col("pct").cast("int").alias("pct"), load_profile.shown(F.col("kind"), F.col("ordinal"), F.col("text")).alias("value"))
+    found = q.select("load_id", "column_name", F.col("pct").cast("int").alias("pct"), load_profile.shown(F.col("kind"), F.col("ordinal"), F.col("text")).alias("value"))
+    return _texts_and_numbers(found, _kinds(records), "value").drop("value")
 
 
 @query
 def p2_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Exact Kolmogorov-Smirnov distance of every column of every load to the load before it."""
     records = table(spark, folder, "dq_record")
-    return load_profile.distances(records, _every_column(records), "load_id")
+    return load_profile.distances(records, _every_column(records), "load_id").withColumn("ks_distance", F.round("ks_distance", 6))
 
 
 def _unpivoted(numeric: bool = False) -> str:
@@ -94,6 +129,53 @@ UNION ALL SELECT g.load_id, g.column_name, 'violations' FROM g JOIN a USING (col
   WHERE (b.k * a.profiled_count - a.count_violations * g.r) * 20 > g.r * a.profiled_count"""
 
 
+_KINDS_OF = {
+    "record_id": "long", "customer_id": "text", "item_id": "text", "amount": "long", "cost_cents": "long", "status_code": "text", "zone_code": "text", "ref_code": "text", "group_code": "text", "measure": "double",
+    "ordered_on": "date", "updated_at": "timestamp",
+}
+
+
+def _every_value() -> str:
+    """One row per stored row and column but the load: present, and the value as text or number by which it is ordered."""
+    parts = []
+    for name, kind in _KINDS_OF.items():
+        t = f"CASE WHEN trim({name}, ' ') <> '' THEN {name} END" if kind == "text" else f"CAST({name} AS VARCHAR)" if kind == "date" else "NULL"
+        x = {"long": f"CAST({name} AS DOUBLE)", "double": f"{name} + 0.0", "timestamp": f"CAST(epoch_us({name}) AS DOUBLE)"}.get(kind, "NULL")
+        parts.append(f"SELECT load_id, '{name}' AS column_name, CAST({t} AS VARCHAR) AS t, CAST({x} AS DOUBLE) AS x FROM dq_record")
+    return " UNION ALL ".join(parts)
+
+
+_VALUES = f"WITH v AS ({_every_value()}), p AS (SELECT * FROM v WHERE t IS NOT NULL OR x IS NOT NULL)"
+SQL["p2_counts"] = f"""{_VALUES}
+SELECT load_id, column_name, COUNT(*) AS row_count, CAST(COUNT_IF(t IS NULL AND x IS NULL) AS BIGINT) AS count_nulls, round(COUNT_IF(t IS NULL AND x IS NULL) / COUNT(*), 9) AS null_rate,
+  COUNT(DISTINCT CASE WHEN t IS NOT NULL OR x IS NOT NULL THEN (t, x) END) AS count_unique, MIN(t) AS min_value_text, MIN(x) AS min_value_number, MAX(t) AS max_value_text, MAX(x) AS max_value_number FROM v GROUP BY ALL"""
+SQL["p2_cells"] = f"""WITH u AS ({_unpivoted()}),
+g AS (SELECT load_id, column_name, COUNT(k) AS n FROM u GROUP BY ALL),
+cell AS (SELECT column_name, b.low AS low, b.high AS high, NULL AS item, b.bucket_count AS c FROM (SELECT column_name, unnest(pmf) AS b FROM dp_column)
+  UNION ALL SELECT column_name, NULL, NULL, i.item, i.item_count FROM (SELECT column_name, unnest(items) AS i FROM dp_column WHERE pmf IS NULL)),
+share AS (SELECT *, SUM(c) OVER (PARTITION BY column_name) AS t FROM cell),
+inside AS (SELECT u.load_id, s.column_name, s.low, s.item, COUNT(*) AS m FROM u JOIN share s ON s.column_name = u.column_name AND u.k IS NOT NULL AND (s.item = u.v OR (u.x >= s.low AND u.x < s.high)) GROUP BY ALL)
+SELECT g.load_id, g.column_name, s.low, s.high, s.item, round(COALESCE(i.m, 0) / g.n, 9) AS share, round(s.c / s.t, 9) AS accepted_share,
+  round((g.n - SUM(COALESCE(i.m, 0)) OVER (PARTITION BY g.load_id, g.column_name)) / g.n, 9) AS outside_share
+FROM g JOIN share s USING (column_name) LEFT JOIN inside i ON i.load_id = g.load_id AND i.column_name = s.column_name AND i.low IS NOT DISTINCT FROM s.low AND i.item IS NOT DISTINCT FROM s.item"""
+SQL["p2_logged"] = f"""WITH n AS (SELECT unnest({list(_KINDS_OF)!r}) AS column_name),
+l AS (SELECT load_id, lower(trim(rule_name, ' ')) AS rule_name, primary_key, column_names FROM dq_violation WHERE primary_key IS NOT NULL AND rule_name IS NOT NULL),
+b AS (SELECT load_id, n.column_name, rule_name, primary_key FROM (SELECT *, unnest(column_names) AS c FROM l) JOIN n ON n.column_name = lower(trim(c, ' '))
+  UNION ALL SELECT load_id, a.column_name, l.rule_name, primary_key FROM l JOIN dp_column a ON lower(trim(a.rule_name, ' ')) = l.rule_name JOIN n ON n.column_name = a.column_name)
+SELECT load_id, column_name, rule_name, COUNT(DISTINCT primary_key) AS count_violations FROM b WHERE load_id IN (SELECT load_id FROM dq_record) GROUP BY ALL"""
+SQL["p2_quantiles"] = f"""{_VALUES},
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY load_id, column_name ORDER BY x, t) AS k, COUNT(*) OVER (PARTITION BY load_id, column_name) AS n FROM p)
+SELECT load_id, column_name, q.pct, t AS value_text, x AS value_number FROM r, (SELECT unnest({PERCENTS!r}) AS pct) q WHERE k = GREATEST(1, (q.pct * n + 99) // 100)"""
+SQL["p2_distances"] = f"""{_VALUES},
+o AS (SELECT load_id, LAG(load_id) OVER (ORDER BY load_id) AS prior_load FROM (SELECT DISTINCT load_id FROM dq_record WHERE load_id IS NOT NULL)),
+s AS (SELECT load_id, column_name, COUNT(*) AS size FROM p GROUP BY ALL),
+w AS (SELECT o.load_id, p.column_name, x, t, COUNT(*) / ANY_VALUE(s.size) AS w FROM p JOIN o USING (load_id) JOIN s ON s.load_id = p.load_id AND s.column_name = p.column_name WHERE o.prior_load IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT o.load_id, p.column_name, x, t, -COUNT(*) / ANY_VALUE(s.size) FROM p JOIN o ON o.prior_load = p.load_id JOIN s ON s.load_id = p.load_id AND s.column_name = p.column_name GROUP BY ALL),
+c AS (SELECT load_id, column_name, SUM(SUM(w)) OVER (PARTITION BY load_id, column_name ORDER BY x, t) AS d FROM w GROUP BY load_id, column_name, x, t)
+SELECT c.load_id, o.prior_load, c.column_name, round(MAX(abs(d)), 6) AS ks_distance FROM c JOIN o USING (load_id) JOIN s a ON a.load_id = c.load_id AND a.column_name = c.column_name
+  JOIN s b ON b.load_id = o.prior_load AND b.column_name = c.column_name GROUP BY ALL"""
+
+
 # 5. Rows that fail to parse
 
 

@@ -184,3 +184,20 @@ def test_merge_sorted_across_batches():
         merged = pa.concat_tables(runs.merge_sorted(table.to_batches(max_chunksize=size), ["k"], "n"))
         assert merged.to_pydict() == {"k": ["a", "b", None, "c"], "n": [3, 3, 9, 6]}
     assert list(runs.merge_sorted([], ["k"], "n")) == []
+
+
+@pytest.mark.parametrize(("keys", "parts"), [([], 4), ([7], 4), ([3, 1, 2, 9], 4), (list(range(500)), 7), (list(range(0, 90, 3)), 64)])
+def test_neighbours_over_many_ranges(spark, keys, parts):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame([(k, -(k or 0)) for k in keys], "k bigint, v bigint").repartition(3)
+        got = sorted(tuple(r) for r in lp.neighbours(df, "k", ["v"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(keys)
+    at = lambda n: order[n] if 0 <= n < len(order) else None
+    want = [(k, -(k or 0), at(n - 1), -(at(n - 1) or 0) if n else None, at(n + 1)) for n, k in enumerate(order)]
+    assert got == want
