@@ -379,7 +379,7 @@ _CURVE = "range_no int, column_no int, load_id bigint, step double, low double,
 
 
 def neighbours(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """counts beside the row before (prior_*) and the key of the row after (next_*) in the order of `key`.
+    """counts beside the row before (prior_*) and the row after (next_*) in the order of `key`.
 
     counts has one row per key, none of them null, and is written in sorted ranges; the last row of a range meets the next range by one
     row per range, so that no task orders all keys.
@@ -393,16 +393,17 @@ def neighbours(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     ends = ends.withColumns({"end_before": F.lag("last").over(order), "start_after": F.lead("first").over(order)}).select("part", "end_before", "start_after")
     beside = placed.withColumns({"prior": F.lag(whole).over(within), "next": F.lead(whole).over(within)}).join(F.broadcast(ends), "part")
     prior, after = F.coalesce("prior", "end_before"), F.coalesce("next", "start_after")
-    return beside.select(key, *values, *(prior[c].alias(f"prior_{c}") for c in (key, *values)), after[key].alias(f"next_{key}"))
+    return beside.select(key, *values, *(of[c].alias(f"{name}_{c}") for name, of in (("prior", prior), ("next", after)) for c in (key, *values)))
 
 
 def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     """load_id, prior_load, column_name, ks_distance of each load to the load before it (by load_id).
 
-    Each value takes part in two pairs, as +n/size of its load and -n/size of the load before the next.
-    The running sum over the merged order is the difference of the two curves; a range keeps its total
-    and its extremes, and the totals of the ranges before shift them. Distances are rounded to nine digits.
-    Runs meet the sizes by load and column.
+    Each value takes part in two pairs, as +n of its load and as -n of the load before the next, both times
+    the size of the pair's other load. The running sum over the merged order is the difference of the two
+    curves, as a whole number over the product of the sizes; a range keeps its total and its extremes, and
+    the totals of the ranges before shift them. The sums are doubles: exact up to 2^53, with the error of a
+    double beyond. Runs meet the sizes by load and column.
     """
     from pyspark import TaskContext
 
@@ -411,15 +412,16 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     present = [F.count(F.when(F.trim(f"v{p.number}") != "", 1) if p.kind == "text" else F.col(f"v{p.number}")).alias(f"n{p.number}") for p in plans]
     counts = read.where("load_id IS NOT NULL").groupBy("load_id").agg(*present)
     beside = neighbours(counts.select("load_id", F.array(*(f"n{p.number}" for p in plans)).alias("sizes")), "load_id", ["sizes"])
-    each = F.posexplode(F.arrays_zip(F.col("sizes").alias("size"), F.coalesce("prior_sizes", F.array_repeat(F.lit(0).cast("bigint"), len(plans))).alias("prior_size")))
+    none = F.array_repeat(F.lit(0).cast("bigint"), len(plans))
+    each = F.posexplode(F.arrays_zip(F.col("sizes").alias("size"), F.coalesce("prior_sizes", none).alias("prior_size"), F.coalesce("next_sizes", none).alias("next_size")))
     sizes = beside.select("load_id", "prior_load_id", "next_load_id", each.alias("column_no", "s"))
-    sizes = sizes.select("load_id", F.col("prior_load_id").alias("prior_load"), F.col("next_load_id").alias("next_load"), "column_no", "s.size", "s.prior_size")
+    sizes = sizes.select("load_id", F.col("prior_load_id").alias("prior_load"), F.col("next_load_id").alias("next_load"), "column_no", "s.size", "s.prior_size", "s.next_size")
     run_rows = value_runs(df, plans, load).where("load_id IS NOT NULL AND (ordinal IS NOT NULL OR text IS NOT NULL)")
-    joined = run_rows.join(sizes.select("load_id", "column_no", "size", "prior_load", "next_load"), ["load_id", "column_no"])
-    share = F.col("n") / F.col("size")
+    joined = run_rows.join(sizes.select("load_id", "column_no", "prior_load", "prior_size", "next_load", "next_size"), ["load_id", "column_no"])
+    weight = lambda other: F.col("n").cast("double") * F.col(other).cast("double")
     sides = F.array(
-        F.struct(F.when(F.col("prior_load").isNotNull(), F.col("load_id")).alias("pair"), share.alias("w")),
-        F.struct(F.col("next_load").alias("pair"), (-share).alias("w")),
+        F.struct(F.when(F.col("prior_load").isNotNull(), F.col("load_id")).alias("pair"), weight("prior_size").alias("w")),
+        F.struct(F.col("next_load").alias("pair"), (-weight("next_size")).alias("w")),
     )
     steps = joined.select("column_no", "ordinal", "text", F.explode(sides).alias("s")).where("s.pair IS NOT NULL")
     keys = ["column_no", "load_id", "ordinal", "text"]
@@ -451,7 +453,7 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
     ks = parts.withColumn("d", extreme).groupBy("column_no", "load_id").agg(F.max("d").alias("d"))
     # A load without values of a column has no curve there, and no distance.
     both = ks.join(sizes.select("load_id", "prior_load", "column_no", "size", "prior_size"), ["load_id", "column_no"]).where("size > 0 AND prior_size > 0")
-    return named(both, plans).select("load_id", "prior_load", "column_name", F.round("d", 9).alias("ks_distance"))
+    return named(both, plans).select("load_id", "prior_load", "column_name", (F.col("d") / (F.col("size").cast("double") * F.col("prior_size").cast("double"))).alias("ks_distance"))
 
 
 # Departures from an accepted profile

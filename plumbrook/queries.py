@@ -92,7 +92,7 @@ def p2_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 def p2_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Exact Kolmogorov-Smirnov distance of every column of every load to the load before it."""
     records = table(spark, folder, "dq_record")
-    return load_profile.distances(records, _every_column(records), "load_id").withColumn("ks_distance", F.round("ks_distance", 6))
+    return load_profile.distances(records, _every_column(records), "load_id").withColumn("ks_distance", F.round("ks_distance", 9))
 
 
 def _unpivoted(numeric: bool = False) -> str:
@@ -169,10 +169,10 @@ SELECT load_id, column_name, q.pct, t AS value_text, x AS value_number FROM r, (
 SQL["p2_distances"] = f"""{_VALUES},
 o AS (SELECT load_id, LAG(load_id) OVER (ORDER BY load_id) AS prior_load FROM (SELECT DISTINCT load_id FROM dq_record WHERE load_id IS NOT NULL)),
 s AS (SELECT load_id, column_name, COUNT(*) AS size FROM p GROUP BY ALL),
-w AS (SELECT o.load_id, p.column_name, x, t, COUNT(*) / ANY_VALUE(s.size) AS w FROM p JOIN o USING (load_id) JOIN s ON s.load_id = p.load_id AND s.column_name = p.column_name WHERE o.prior_load IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT o.load_id, p.column_name, x, t, -COUNT(*) / ANY_VALUE(s.size) FROM p JOIN o ON o.prior_load = p.load_id JOIN s ON s.load_id = p.load_id AND s.column_name = p.column_name GROUP BY ALL),
+w AS (SELECT o.load_id, p.column_name, x, t, COUNT(*) * ANY_VALUE(s.size) AS w FROM p JOIN o USING (load_id) JOIN s ON s.load_id = o.prior_load AND s.column_name = p.column_name GROUP BY ALL
+  UNION ALL SELECT o.load_id, p.column_name, x, t, -COUNT(*) * ANY_VALUE(s.size) FROM p JOIN o ON o.prior_load = p.load_id JOIN s ON s.load_id = o.load_id AND s.column_name = p.column_name GROUP BY ALL),
 c AS (SELECT load_id, column_name, SUM(SUM(w)) OVER (PARTITION BY load_id, column_name ORDER BY x, t) AS d FROM w GROUP BY load_id, column_name, x, t)
-SELECT c.load_id, o.prior_load, c.column_name, round(MAX(abs(d)), 6) AS ks_distance FROM c JOIN o USING (load_id) JOIN s a ON a.load_id = c.load_id AND a.column_name = c.column_name
+SELECT c.load_id, o.prior_load, c.column_name, round(CAST(MAX(abs(d)) AS DOUBLE) / (CAST(ANY_VALUE(a.size) AS DOUBLE) * CAST(ANY_VALUE(b.size) AS DOUBLE)), 9) AS ks_distance FROM c JOIN o USING (load_id) JOIN s a ON a.load_id = c.load_id AND a.column_name = c.column_name
   JOIN s b ON b.load_id = o.prior_load AND b.column_name = c.column_name GROUP BY ALL"""
 
 
@@ -203,6 +203,13 @@ def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.loaded(_parsed(spark, folder, "loaded"))
 
 
+@query
+def p5_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file its valid records and their present values."""
+    present = F.size(F.filter("row_values", lambda v: v.isNotNull()))
+    return p5_loaded(spark, folder).groupBy("file_id").agg(F.count(F.lit(1)).alias("records"), F.sum(present).alias("present"))
+
+
 @query
 def p5_assembled(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on the records of all files as physical lines: raw_line cut at line breaks and assembled again."""
@@ -266,3 +273,56 @@ def p3_united(spark: SparkSession, folder: str) -> DataFrame:
     columns = written(drift.columns(files, layout, renamed), "columns")
     kinds = written(drift.column_types(columns), "column_types")
     return drift.unite(rejects.loaded(_parsed(spark, folder, "loaded")), columns, kinds)
+
+_RECORDS = r"""
+WITH file AS (SELECT file_id, ANY_VALUE(metadata) AS metadata FROM file_input WHERE file_id IS NOT NULL GROUP BY file_id),
+opt AS (SELECT file_id, metadata['input_path'] AS path, metadata['table_name'] AS table_name, TRY_CAST(metadata['modification_timestamp'] AS TIMESTAMPTZ) AS instant FROM file),
+layout AS (SELECT file_id, table_name, instant, CASE WHEN regexp_matches(path, '[?&]delimiter=') THEN url_decode(regexp_extract(path, '[?&]delimiter=([^&]*)', 1)) ELSE ',' END AS delimiter,
+  CASE WHEN regexp_matches(path, '[?&]quote=') THEN url_decode(regexp_extract(path, '[?&]quote=([^&]*)', 1)) ELSE '"' END AS quote, lower(regexp_extract(path, '[?&]header=([^&]*)', 1)) = 'true' AS header FROM opt),
+field AS (SELECT file_id, ordinal_no, lower(trim(ANY_VALUE(field_name), ' ')) AS name, ANY_VALUE(nullable) AS nullable, ANY_VALUE(enum_values) AS enum_values, ANY_VALUE(regexp_pattern) AS regexp_pattern,
+  COALESCE(ANY_VALUE(format_pattern), 'yyyy-MM-dd') AS pattern, lower(trim(ANY_VALUE(data_type_json), E' \n\t"')) AS kind FROM dq_field WHERE file_id IS NOT NULL GROUP BY file_id, ordinal_no),
+typed AS (SELECT *, CASE WHEN kind LIKE '{%' THEN 'array' ELSE regexp_replace(kind, '\s', '', 'g') END AS type, CASE WHEN kind LIKE '{%' THEN json_extract_string(kind, '$.elementtype') || json_extract_string(kind, '$.containsnull') END AS inner_type,
+  ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY ordinal_no) AS place FROM field),
+width AS (SELECT file_id, COUNT(*) AS fields FROM field GROUP BY 1),
+line AS (SELECT DISTINCT r.file_id, r.line_no, r.line, COALESCE(l.delimiter, ',') AS delimiter, COALESCE(l.quote, '"') AS quote FROM raw_line r LEFT JOIN layout l USING (file_id) WHERE r.line <> '' AND NOT (COALESCE(l.header, FALSE) AND r.line_no = 0)),
+-- Delimiters are character 1 and quotes character 2; every field begins with a delimiter.
+plain AS (SELECT *, chr(1) || replace(replace(line, quote, chr(2)), delimiter, chr(1)) AS marked FROM line),
+cut AS (SELECT *, regexp_extract_all(marked, '\x01(\x02(?:[^\x02]|\x02\x02)*\x02|[^\x01\x02]*)', 1) AS cells, NOT regexp_full_match(marked, '(\x01(\x02([^\x02]|\x02\x02)*\x02|[^\x01\x02\r\n]*))+') AS broken FROM plain),
+shaped AS (SELECT c.*, CASE WHEN broken THEN 'record_quoting' WHEN len(cells) <> COALESCE(w.fields, 0) THEN 'record_column_count' END AS rule FROM cut c LEFT JOIN width w USING (file_id)),
+cell AS (SELECT file_id, line_no, line, quote, delimiter, unnest(cells) AS cell, generate_subscripts(cells, 1) AS place FROM shaped WHERE rule IS NULL),
+value AS (SELECT file_id, line_no, line, place, cell[1] = chr(2) AS quoted, replace(replace(CASE WHEN cell[1] = chr(2) THEN replace(cell[2:-2], chr(2) || chr(2), quote) ELSE cell END, chr(1), delimiter), chr(2), quote) AS v FROM cell),
+given AS (SELECT t.*, x.line_no, x.line, x.quoted, x.v, trim(x.v, E' \t\n\r') AS s, NOT x.quoted AND trim(x.v, E' \t\n\r') = '' AS absent, regexp_extract(trim(x.v, E' \t\n\r'), '^[+-]?([0-9]*)', 1) AS whole,
+  regexp_extract(trim(x.v, E' \t\n\r'), '\.([0-9]*)$', 1) AS fraction, regexp_full_match(trim(x.v, E' \t\n\r'), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)') AS fixed FROM value x JOIN typed t USING (file_id, place)),
+tried AS (SELECT *, CASE WHEN absent THEN nullable IS DISTINCT FROM FALSE
+  WHEN enum_values IS NOT NULL AND NOT list_contains(enum_values, v) THEN FALSE WHEN regexp_pattern IS NOT NULL AND NOT regexp_full_match(v, regexp_pattern) THEN FALSE
+  WHEN type IN ('integer', 'long') THEN regexp_full_match(s, '[+-]?[0-9]+') AND COALESCE(TRY_CAST(ltrim(s, '+') AS HUGEINT) BETWEEN CASE WHEN type = 'long' THEN -9223372036854775808 ELSE -2147483648 END AND CASE WHEN type = 'long' THEN 9223372036854775807 ELSE 2147483647 END, FALSE)
+  WHEN type = 'double' THEN regexp_full_match(s, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')
+  WHEN type LIKE 'decimal(%' THEN fixed AND length(ltrim(whole, '0')) <= CAST(regexp_extract(type, '\((\d+),', 1) AS INT) - CAST(regexp_extract(type, ',(\d+)\)', 1) AS INT) AND length(fraction) <= CAST(regexp_extract(type, ',(\d+)\)', 1) AS INT)
+  WHEN type = 'date' THEN regexp_full_match(v, regexp_replace(regexp_replace(pattern, '([^A-Za-z])', '[\1]', 'g'), '[yMd]', '[0-9]', 'g')) AND TRY_CAST(substr(v, instr(pattern, 'yyyy'), 4) || '-' || substr(v, instr(pattern, 'MM'), 2) || '-' || substr(v, instr(pattern, 'dd'), 2) AS DATE) IS NOT NULL
+  WHEN type = 'boolean' THEN lower(v) IN ('true', 'false') ELSE TRUE END AS fits FROM given),
+judged AS (SELECT file_id, line_no, line, BOOL_AND(fits) AS fits FROM tried GROUP BY ALL),
+verdict AS (SELECT s.file_id, s.line_no, s.line, COALESCE(s.rule, CASE WHEN NOT COALESCE(j.fits, TRUE) THEN 'field_value' END) AS rule_name FROM shaped s LEFT JOIN judged j USING (file_id, line_no, line))
+"""
+SQL["p5_found"] = f"{_RECORDS} SELECT DISTINCT file_id, line_no, rule_name FROM verdict WHERE rule_name IS NOT NULL"
+SQL["p5_valid"] = f"{_RECORDS} SELECT file_id, COUNT(*) AS records, CAST(SUM(v) AS BIGINT) AS present FROM (SELECT file_id, line_no, line, COUNT_IF(NOT absent) AS v FROM tried GROUP BY ALL) JOIN verdict USING (file_id, line_no, line) WHERE rule_name IS NULL GROUP BY 1"
+
+_DRIFT = _RECORDS.rstrip() + r""",
+seq AS (SELECT file_id, LAG(file_id) OVER (PARTITION BY table_name ORDER BY instant, file_id) AS prior_id FROM layout WHERE table_name IS NOT NULL AND instant IS NOT NULL),
+named AS (SELECT * FROM typed QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, name ORDER BY place) = 1),
+pair AS (SELECT q.file_id, q.prior_id, o.name AS old_name, n.name AS new_name, o.place AS old_place, n.place AS new_place, concat(o.type, o.inner_type) AS old_type, concat(n.type, n.inner_type) AS new_type
+  FROM (SELECT q.file_id, q.prior_id, name FROM seq q JOIN named m ON m.file_id = q.file_id WHERE q.prior_id IS NOT NULL UNION SELECT q.file_id, q.prior_id, name FROM seq q JOIN named m ON m.file_id = q.prior_id) q
+  LEFT JOIN named o ON o.file_id = q.prior_id AND o.name = q.name LEFT JOIN named n ON n.file_id = q.file_id AND n.name = q.name),
+gone AS (SELECT * FROM pair WHERE new_name IS NULL), come AS (SELECT * FROM pair WHERE old_name IS NULL),
+good AS (SELECT t.file_id, t.line_no, t.line, t.place, CASE WHEN NOT absent THEN s END AS s, CASE WHEN absent THEN NULL WHEN type IN ('integer', 'long', 'double') OR type LIKE 'decimal(%' THEN CAST(TRY_CAST(s AS DECIMAL(38, 10)) AS VARCHAR)
+  WHEN type = 'date' THEN substr(v, instr(pattern, 'yyyy'), 4) || '-' || substr(v, instr(pattern, 'MM'), 2) || '-' || substr(v, instr(pattern, 'dd'), 2) WHEN type = 'boolean' THEN lower(v) ELSE v END AS c
+  FROM tried t JOIN verdict USING (file_id, line_no, line) WHERE rule_name IS NULL),
+key AS (SELECT file_id, line_no, line, trim(c, ' ') AS k FROM good WHERE place = 1 AND s IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, k ORDER BY line_no, line) = 1),
+held AS (SELECT g.file_id, key.k, g.place, g.c, g.s FROM good g JOIN key USING (file_id, line_no, line)),
+cand AS (SELECT g.file_id, g.prior_id, g.old_name, n.new_name, g.old_place, n.new_place, g.old_type, n.new_type FROM gone g JOIN come n USING (file_id)),
+share AS (SELECT c.file_id, c.old_name, c.new_name, c.old_type, c.new_type, COUNT_IF(a.c IS NOT DISTINCT FROM b.c OR a.s IS NOT DISTINCT FROM b.s) / COUNT(*) AS share
+  FROM cand c JOIN held a ON a.file_id = c.prior_id AND a.place = c.old_place JOIN held b ON b.file_id = c.file_id AND b.place = c.new_place AND b.k = a.k GROUP BY ALL),
+moved AS (SELECT * FROM share WHERE share >= 0.9 QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, old_name ORDER BY share DESC, new_name) = 1 AND ROW_NUMBER() OVER (PARTITION BY file_id, new_name ORDER BY share DESC, old_name) = 1)
+SELECT file_id, 'renamed' AS change_kind, new_name AS field_name FROM moved UNION ALL SELECT file_id, 'removed', old_name FROM gone WHERE (file_id, old_name) NOT IN (SELECT (file_id, old_name) FROM moved)
+UNION ALL SELECT file_id, 'added', new_name FROM come WHERE (file_id, new_name) NOT IN (SELECT (file_id, new_name) FROM moved)
+UNION ALL SELECT file_id, 'type_changed', new_name FROM moved WHERE old_type <> new_type UNION ALL SELECT file_id, 'type_changed', new_name FROM pair WHERE old_name IS NOT NULL AND new_name IS NOT NULL AND old_type <> new_type"""
+SQL["p3_found"] = _DRIFT

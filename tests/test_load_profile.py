@@ -199,5 +199,6 @@ def test_neighbours_over_many_ranges(spark, keys, parts):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     order = sorted(keys)
     at = lambda n: order[n] if 0 <= n < len(order) else None
-    want = [(k, -(k or 0), at(n - 1), -(at(n - 1) or 0) if n else None, at(n + 1)) for n, k in enumerate(order)]
+    minus = lambda v: None if v is None else -v
+    want = [(k, -k, at(n - 1), minus(at(n - 1)), at(n + 1), minus(at(n + 1))) for n, k in enumerate(order)]
     assert got == want
