@@ -221,3 +221,21 @@ x AS (SELECT q.*, r.n AS group_count, r.v FROM dp_quantile q JOIN r ON r.group_c
 b AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / {_STEP!r}) + {_OFFSET}) END AS s FROM x)
 SELECT group_code, pct, accepted_value, group_count, CAST(s AS INTEGER) AS bucket,
   round(CASE WHEN s = 0 THEN 0 ELSE sign(s) * exp((abs(s) - {_OFFSET}) * {_STEP!r}) * {1 - percentiles.ACCURACY!r} END, 6) AS estimate FROM b"""
+
+_LEAKS = """
+WITH words AS (SELECT FALSE AS is_item, doc_id AS id, text FROM documents UNION ALL SELECT TRUE, eval_id, item_text FROM eval_item),
+cut AS (SELECT DISTINCT is_item, id, regexp_extract_all(nfc_normalize(lower(regexp_replace(regexp_replace(COALESCE(text, ''), '\\p{Cf}', '', 'g'), '<[^<>]{0,40}>', ' ', 'g'))), '[\\p{L}\\p{N}]+') AS w FROM words),
+item AS (SELECT id AS eval_id, w, len(w) AS n, LEAST(12, len(w)) AS size FROM cut WHERE is_item AND len(w) > 0), doc AS (SELECT id AS doc_id, w, len(w) AS n FROM cut WHERE NOT is_item AND len(w) > 0),
+ig AS (SELECT DISTINCT eval_id, size, array_to_string(w[i : i + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, n - size + 2)) AS i FROM item)),
+dg AS (SELECT DISTINCT doc_id, size, array_to_string(w[i : i + size - 1], ' ') AS gram FROM (SELECT doc_id, w, size, unnest(range(1, n - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM item) z WHERE n >= size)),
+whole AS (SELECT DISTINCT doc_id, eval_id FROM ig JOIN dg USING (size, gram)),
+-- Long items with enough words in a document; then the longest common subsequence with every stretch, by bit vectors.
+iw AS (SELECT eval_id, n, word, COUNT(*) AS c, SUM(CAST(1 AS HUGEINT) << CAST(k - 1 AS HUGEINT)) AS mask FROM (SELECT eval_id, n, unnest(w) AS word, unnest(range(1, n + 1)) AS k FROM item WHERE n >= 20) GROUP BY ALL),
+dw AS (SELECT doc_id, word, k FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS k FROM doc)),
+cand AS (SELECT doc_id, eval_id, n FROM (SELECT DISTINCT doc_id, word FROM dw) JOIN iw USING (word) GROUP BY ALL HAVING SUM(c) * 10 >= n * 7),
+hit AS (SELECT c.doc_id, c.eval_id, c.n, dw.k, iw.mask FROM cand c JOIN dw USING (doc_id) JOIN iw ON iw.eval_id = c.eval_id AND iw.word = dw.word),
+stretch AS (SELECT a.doc_id, a.eval_id, a.n, a.k, list(b.mask ORDER BY b.k) AS masks FROM hit a JOIN hit b ON b.doc_id = a.doc_id AND b.eval_id = a.eval_id AND b.k BETWEEN a.k AND a.k + a.n * 3 // 2 - 1 GROUP BY ALL HAVING COUNT(*) * 10 >= a.n * 7),
+held AS (SELECT doc_id, eval_id, n, list_reduce(list_prepend((CAST(1 AS HUGEINT) << CAST(n AS HUGEINT)) - 1, masks), lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << CAST(n AS HUGEINT)) - 1)) AS v FROM stretch)
+SELECT doc_id, eval_id FROM whole UNION SELECT doc_id, eval_id FROM held WHERE (n - bit_count(v)) * 10 >= n * 7"""
+SQL["p6_found"] = _LEAKS
+SQL["p6_items"] = f"SELECT e.eval_id, e.suite_name, COUNT(f.doc_id) AS documents FROM eval_item e LEFT JOIN ({_LEAKS}) f USING (eval_id) GROUP BY ALL"
