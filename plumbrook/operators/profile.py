@@ -47,9 +47,8 @@ class ProfileConfig:
     quantiles: bool = True
 
 
-#: Stands for null in a sketch of items, and between a long text's start and its hash; no text of a table has them
-#: (a noncharacter that is never exchanged).
-_NO_ITEM, _CUT = "\ufdd0null", "\ufdd1"
+#: Between a long text's start and its hash; a noncharacter, which texts do not exchange.
+_CUT = "\ufdd1"
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Percentiles by which an approximate distribution is read from a sketch.
 GRID = 400
@@ -100,8 +99,10 @@ def _number(plan: _Plan) -> Column:
     return plan.value.cast("double" if isinstance(kind, T.FractionalType) else "bigint")
 
 
-def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
+def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> tuple[list[Column], list[Column]]:
+    """The aggregates of a column, and the columns that they need beside those of the table."""
     family, v = _family(plan.kind), plan.value
+    items: list[Column] = []
     out = [F.count_if(plan.raw.isNull()).alias(f"nulls{k}")]
     if family == "string":
         shown = F.substring(v, 1, c.max_item_length)
@@ -117,7 +118,7 @@ def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
     else:
         x = _number(plan)
         own = F.when(~F.isnan(x), x) if family == "fractional" else x
-        item = F.when(x.isNotNull(), x.cast(plan.kind).cast("string") if isinstance(plan.kind, T.FloatType) else x.cast("string"))
+        item = F.when(x.isNotNull(), x.cast(plan.kind) if isinstance(plan.kind, T.FloatType) else x)
         out += [F.count_if(own == 0).alias(f"zeros{k}"), F.min(own).alias(f"min{k}"), F.max(own).alias(f"max{k}"), F.avg(own.cast("double")).alias(f"mean{k}")]
         empty = F.isnan(x) if family == "fractional" else F.lit(False)
         if plan.inferred:
@@ -130,15 +131,16 @@ def _aggregates(plan: _Plan, c: ProfileConfig, k: int) -> list[Column]:
             # Expressions over named columns: the SQL-only sketch functions take no Column here.
             out += [F.call_function("kll_sketch_agg_double", own.cast("double")).alias(f"sketch{k}"), F.count(own).alias(f"n{k}")]
     if item is not None and plan.inferred:
-        item = F.coalesce(item, F.when(F.trim(plan.raw) == "", plan.raw))
+        item = F.coalesce(item.cast("string"), F.when(F.trim(plan.raw) == "", plan.raw))
     if item is not None and c.items > 0:
         out.append(F.count(item).alias(f"valued{k}"))
+        # Numbers are counted as numbers; of their texts there are as many as there are items.
+        items.append(item.alias(f"i{k}"))
         tracked = 1 << max(4, (int((c.items + 1) / 0.75) - 1).bit_length())
-        top = F.call_function("approx_top_k", F.coalesce(item, F.lit(_NO_ITEM)), F.lit(c.items + 2), F.lit(max(tracked, c.items + 2)))
-        out.append(top.alias(f"items{k}"))
+        out.append(F.expr(f"approx_top_k(i{k}, {c.items + 1}, {max(tracked, c.items + 1)}) FILTER (WHERE i{k} IS NOT NULL)").alias(f"items{k}"))
     if item is not None and c.count_distincts:
         out.append(F.approx_count_distinct(item).alias(f"distinct{k}"))
-    return out
+    return out, items
 
 
 _STATE = (
@@ -177,7 +179,7 @@ def _finish(plan: tuple, s: dict, rows: int, c: ProfileConfig) -> dict:
     items, exact, extras, unique, pmf = [], True, {}, None, []
     if has_items:
         if c.items > 0:
-            found = [(i["item"], int(i["count"])) for i in (s["items"] if s["items"] is not None else ()) if i["item"] != _NO_ITEM]
+            found = [(i["item"], int(i["count"])) for i in (s["items"] if s["items"] is not None else ())]
             # Nothing was dropped from the sketch if its counts add up to all values.
             exact = len(found) <= c.items and sum(n for _, n in found) == s["valued"]
             # The largest counts, ties by item, shown in the order of the items.
@@ -258,8 +260,9 @@ def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> Profile:
         _family(p.kind)
     if config.infer_types_from_strings:
         plans = _inferred(numbered, plans, config)
-    aggregates = [a for k, p in enumerate(plans) for a in _aggregates(p, config, k)]
-    one = numbered.agg(F.count(F.lit(1)).alias("row_count"), *aggregates)
+    made = [_aggregates(p, config, k) for k, p in enumerate(plans)]
+    aggregates, items = [a for own, _ in made for a in own], [i for _, own in made for i in own]
+    one = numbered.select("*", *items).agg(F.count(F.lit(1)).alias("row_count"), *aggregates)
     states = one.select("row_count", F.array(*(_state(p, config, k, set(one.columns)) for k, p in enumerate(plans))).alias("states"))
     values = [_plan_values(p) for p in plans]
 
@@ -271,38 +274,42 @@ def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> Profile:
     return Profile(states.mapInPandas(finish, f"row_count bigint, columns array<{COLUMN_SCHEMA}>"))  # one row
 
 
+_WHOLE, _FRACTION = r"^\s*[+-]?[0-9]+\s*$", r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)\s*$"
+
+
 def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list[_Plan]:
     """The narrowest type that reads every non-blank value of a text column; one pass, one row to the driver."""
     rules = c.inference
-    tests: list[Column] = []
     texts = [k for k, p in enumerate(plans) if isinstance(p.kind, T.StringType)]
     if not texts:
         return plans
-    whole, fraction = r"^\s*[+-]?[0-9]+\s*$", r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)\s*$"
-    for k in texts:
-        v = F.when(F.trim(f"v{k}") != "", F.col(f"v{k}"))
-        integral = F.when(v.rlike(whole), F.trim(v).try_cast("bigint"))
-        tests += [
-            F.count(v).alias(f"n{k}"), F.count(F.lit(1)).alias(f"all{k}"), F.count_if(F.col(f"v{k}").isNull()).alias(f"null{k}"), F.count(integral).alias(f"long{k}"), F.count_if((integral >= -(1 << 31)) & (integral < 1 << 31)).alias(f"int{k}"),
-            F.count_if(integral.isin(0, 1)).alias(f"bit{k}"), F.count(F.when(v.rlike(fraction), F.trim(v).try_cast("double"))).alias(f"double{k}"),
-        ]
-        tests += [F.count(_read_time(v, f)).alias(f"date{j}_{k}") for j, f in enumerate(rules.date_formats)]
-        tests += [F.count(_read_time(v, f)).alias(f"time{j}_{k}") for j, f in enumerate(rules.timestamp_formats)]
-        tests += [F.count_if(F.upper(F.trim(v)).isin([x.upper() for x in values])).alias(f"enum{j}_{k}") for j, (_, values) in enumerate(rules.enums)]
-    got = numbered.agg(*tests).first().asDict()
+    # One row per text: the tests are written once, in code that stays small whatever the number of columns.
+    each = numbered.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("raw")) for k in texts))).alias("e")).select("e.k", "e.raw")
+    v = F.when(F.trim("raw") != "", F.col("raw"))
+    plain = each.select("k", "raw", v.alias("v"), F.when(v.rlike(_WHOLE), F.trim(v).try_cast("bigint")).alias("integral"), F.when(v.rlike(_FRACTION), F.trim(v).try_cast("double")).alias("fraction"))
+    v, integral = F.col("v"), F.col("integral")
+    tests = [
+        F.count(v).alias("n"), F.count_if(F.col("raw").isNull()).alias("null"), F.count(integral).alias("long"), F.count_if((integral >= -(1 << 31)) & (integral < 1 << 31)).alias("int"),
+        F.count_if(integral.isin(0, 1)).alias("bit"), F.count("fraction").alias("double"),
+    ]
+    tests += [F.count(_read_time(v, f)).alias(f"date{j}") for j, f in enumerate(rules.date_formats)]
+    tests += [F.count(_read_time(v, f)).alias(f"time{j}") for j, f in enumerate(rules.timestamp_formats)]
+    tests += [F.count_if(F.upper(F.trim(v)).isin([x.upper() for x in values])).alias(f"enum{j}") for j, (_, values) in enumerate(rules.enums)]
+    found = {r["k"]: r.asDict() for r in plain.groupBy("k").agg(*tests).collect()}  # one row per column
+    got = {f"{name}_{k}": n for k, row in found.items() for name, n in row.items()}
     out = list(plans)
     for k in texts:
-        n, p, v = got[f"n{k}"], plans[k], F.col(f"v{k}")
+        n, p, v = got.get(f"n_{k}", 0), plans[k], F.col(f"v{k}")
         if n == 0:
             continue
         t = F.trim(v)
         kind, value, values, shape = None, None, (), None
-        if got[f"bit{k}"] == n and rules.prefer_boolean_for_01:
+        if got[f"bit_{k}"] == n and rules.prefer_boolean_for_01:
             kind, value, values = T.BooleanType(), t == "1", ("0", "1")
-        elif got[f"long{k}"] == n:
-            kind = T.IntegerType() if rules.prefer_integer and got[f"int{k}"] == n else T.LongType()
+        elif got[f"long_{k}"] == n:
+            kind = T.IntegerType() if rules.prefer_integer and got[f"int_{k}"] == n else T.LongType()
             value = t.try_cast(kind)
-        elif got[f"double{k}"] == n:
+        elif got[f"double_{k}"] == n:
             kind = T.FloatType() if rules.prefer_float else T.DoubleType()
             value = t.try_cast(kind)
         else:
@@ -321,9 +328,9 @@ def _inferred(numbered: DataFrame, plans: list[_Plan], c: ProfileConfig) -> list
                         place = F.array_position(F.array(*(F.lit(x.upper()) for x in listed)), upper) - 1
                         kind, value, values = T.IntegerType(), F.when(place >= 0, place.cast("int")), listed
         if kind is not None:
-            nullable = not (rules.prefer_not_nullable and got[f"null{k}"] == 0)
+            nullable = not (rules.prefer_not_nullable and got[f"null_{k}"] == 0)
             out[k] = _Plan(p.name, kind, nullable, value, p.raw, tuple(values), shape, True)
-        elif rules.prefer_not_nullable and got[f"null{k}"] == 0:
+        elif rules.prefer_not_nullable and got[f"null_{k}"] == 0:
             out[k] = _Plan(p.name, p.kind, False, p.value, p.raw)
     return out
 
