@@ -15,7 +15,7 @@ consistent ones (one to one) are taken in the order of their shares, then of the
 Defined results: names are compared in lower case without outer blanks, the first of equal names of a
 file counts; files without table name or instant are in no sequence; files of equal instants follow
 their file_id; a pair without shared records is no rename; a file without declared fields has none.
-A long sequence of files is read as a stream that holds two schemas, never as a whole.
+A long sequence of files is followed by doubled pointers, never walked in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbrook.functions import declared_types as types
 from plumbrook.operators import rejects
+from plumbrook.sources.folder import written
 
 #: Share of shared records with equal values that makes a pair of fields one field.
 SAME_VALUES = 0.9
@@ -301,40 +302,48 @@ def changes(matched: DataFrame, renamed: DataFrame) -> DataFrame:
 # Cast and union
 
 
-_COLUMNS = "file_id bigint, table_name string, field_no int, column_name string, data_type string, format_pattern string"
+_FIELDS = "file_id bigint, name string, place int, kind string, format_pattern string"
 
 
-def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walks the files of a table in order and gives each field its column; holds one file's schema."""
-    table, current, taken = None, {}, set()
+def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
-        for file_id, name, text, moved in frame[["file_id", "table_name", "layout", "moved"]].itertuples(index=False):
-            if name != table:
-                table, current, taken = name, {}, set()
-            was = {m["new_name"]: m["old_name"] for m in (moved if moved is not None else ())}
-            own = {}
-            layout = json.loads(text) if text else {}
-            declared = rejects.declared_fields(layout)
-            for field, kind, k in fields_of(text):
-                column = current.get(was.get(field, field))
-                if column is None:
-                    column, n = field, 1
-                    while column in taken:
-                        n += 1
-                        column = f"{field}_{n}"
-                    taken.add(column)
-                own[field] = column
-                rows.append((file_id, name, k, column, kind, declared[k].get("format_pattern")))
-            current = own
-        yield pd.DataFrame(rows, columns=["file_id", "table_name", "field_no", "column_name", "data_type", "format_pattern"])
+        for file_id, text in zip(frame["file_id"], frame["layout"], strict=True):
+            declared = rejects.declared_fields(json.loads(text)) if text else []
+            rows += [(file_id, name, k, kind, declared[k].get("format_pattern")) for name, kind, k in fields_of(text)]
+        yield pd.DataFrame(rows, columns=["file_id", "name", "place", "kind", "format_pattern"])
 
 
 def columns(files: DataFrame, layout: DataFrame, renamed: DataFrame) -> DataFrame:
-    """The column of the consistent table that every field of every file belongs to, with its type there."""
-    moved = renamed.groupBy("file_id").agg(F.collect_list(F.struct("old_name", "new_name")).alias("moved"))
-    ordered = files.select("file_id", "table_name", "file_no").join(layout, "file_id", "left").join(moved, "file_id", "left")
-    return ordered.repartition("table_name").sortWithinPartitions("table_name", "file_no").select("file_id", "table_name", "layout", "moved").mapInPandas(_chain, _COLUMNS)
+    """The column of the consistent table that every field of every file belongs to, with its type there.
+
+    Every field points to the one it was in the file before, by its name or by its rename; the pointers are doubled
+    until all point to the first field of their column, so that long sequences of files are followed in few rounds,
+    none of them in one task. Equal names of different columns are numbered from 2, past the names that fields have.
+    """
+    known = layout.select("file_id", "layout").mapInPandas(_fields, _FIELDS).join(files.select("file_id", "table_name", "file_no", "prior_id"), "file_id")
+    fields = written(known, "fields")
+    was = renamed.select("file_id", F.col("new_name").alias("name"), "old_name")
+    before = fields.join(was, ["file_id", "name"], "left").select("file_id", "name", "prior_id", F.coalesce("old_name", "name").alias("prior_name"))
+    there = fields.select(F.col("file_id").alias("prior_id"), F.col("name").alias("prior_name"), F.lit(True).alias("there"))
+    found = before.join(there, ["prior_id", "prior_name"], "left")
+    root = F.when(F.col("there"), F.struct(F.col("prior_id").alias("file_id"), F.col("prior_name").alias("name"))).otherwise(F.struct("file_id", "name"))
+    roots = written(found.select("file_id", "name", root.alias("root")), "roots")
+    longest = files.agg(F.coalesce(F.max("file_no"), F.lit(1))).first()[0]
+    for _ in range(max(0, (longest - 1).bit_length())):
+        ahead = roots.select(F.struct("file_id", "name").alias("root"), F.col("root").alias("next"))
+        roots = written(roots.join(ahead, "root").select("file_id", "name", F.col("next").alias("root")), "roots")
+    first = fields.join(roots.where(F.col("root") == F.struct("file_id", "name")).select("file_id", "name"), ["file_id", "name"], "left_semi")
+    numbered = first.select("table_name", F.struct("file_id", "name").alias("root"), "name", F.row_number().over(Window.partitionBy("table_name", "name").orderBy("file_no", "place")).alias("n"))
+    # Names such as x_2 that fields have are not given to the second column x.
+    suffix = F.regexp_extract("name", "_([1-9][0-9]{0,8})$", 1)
+    taken = numbered.where((F.col("n") == 1) & (suffix != "")).select("table_name", F.regexp_replace("name", "_[0-9]+$", "").alias("name"), suffix.cast("int").alias("k"))
+    taken = taken.groupBy("table_name", "name").agg(F.collect_set("k").alias("taken"))
+    again = numbered.join(taken, ["table_name", "name"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(2), F.col("n") + F.size("taken") + 1), lambda k: ~F.array_contains("taken", k))
+    named = again.select("root", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.get(free, F.col("n") - 2))).alias("column_name"))
+    own = fields.join(roots, ["file_id", "name"]).join(named, "root")
+    return own.select("file_id", "table_name", F.col("place").alias("field_no"), "column_name", F.col("kind").alias("data_type"), "format_pattern")
 
 
 def column_types(columns: DataFrame) -> DataFrame:

@@ -199,6 +199,44 @@ def test_union_converts_to_the_common_type(spark):
     assert got == {(1, 1): same, (2, 1): same, (2, 2): {"id": "8", "day": None, "b": "x", "n": None, "x": "1.5", "d": None}}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_columns_against_a_walk(spark, seed):
+    """Long sequences of files whose fields come, go, return and are renamed, against a walk file by file."""
+    import random
+
+    r = random.Random(seed)
+    names = ["a", "b", "c", "a_2", "b_3"]
+    files, fields, renamed, want = [], [], [], {}
+    for table in ("t", "u"):
+        current, taken, roots = {}, {}, []
+        for n in range(r.choice([1, 2, 9, 23])):
+            file = 100 * (table == "u") + n
+            own = r.sample(names, r.randint(0, 4))
+            files.append((file, "p", None, None, meta(table, f"2024-01-01T00:{n:02d}:00Z")))
+            fields += [(file, k, f" {x.upper()}", '"string"', True, None, None, None) for k, x in enumerate(own)]
+            gone, come = [x for x in current if x not in own], [x for x in own if x not in current]
+            moved = dict(zip(come, gone, strict=False)) if r.random() < 0.5 else {}
+            renamed += [(file, old, new, 1.0, 1.0) for new, old in moved.items()]
+            column = {}
+            for x in own:
+                column[x] = current.get(moved.get(x, x))
+                if column[x] is None:
+                    column[x] = (table, x, len(roots))
+                    roots.append(column[x])
+            current = column
+            want |= {(file, x): c for x, c in column.items()}
+    files, fields = spark.createDataFrame(files, FILE), spark.createDataFrame(fields, FIELD)
+    moved = spark.createDataFrame(renamed, "file_id bigint, old_name string, new_name string, score double, share double")
+    layout = rejects.layouts(files, fields)
+    rows = drift.columns(drift.sequence(files), layout, moved).collect()
+    place = {(f.file_id, f.ordinal_no): f.field_name.strip().lower() for f in fields.collect()}
+    got = {(x.file_id, place[x.file_id, x.field_no]): (x.table_name, x.column_name) for x in rows}
+    assert got.keys() == want.keys()
+    pairs = {(got[k], want[k]) for k in want}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})  # one name per column, one column per name
+    assert all(a[1] == b[1] or a[1].startswith(f"{b[1]}_") for a, b in pairs)
+
+
 def test_no_shared_records_is_no_rename(spark, drifting):
     files, fields, lines = drifting
     layout = rejects.layouts(files, fields)
