@@ -8,10 +8,11 @@ list the items, distinct count and discrete distribution are exact, and extras s
 from __future__ import annotations
 
 import bisect
+import enum
 import math
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,22 @@ class TypeInference:
     enums: tuple[tuple[str, tuple[str, ...]], ...] = (("boolean", ("FALSE", "TRUE")), ("boolean", ("NO", "YES")), ("boolean", ("N", "Y")))
 
 
+class Profiler(enum.Enum):
+    """The parts of a column's profile; the values are fixed names."""
+
+    COUNT = "count"
+    COUNT_EMPTY = "count_empty"
+    COUNT_NULLS = "count_nulls"
+    COUNT_UNIQUE = "count_unique"
+    COUNT_ZEROS = "count_zeros"
+    MAX_LENGTH = "max_length"
+    MIN = "min"
+    MAX = "max"
+    MEAN = "mean"
+    PMF = "pmf"
+    ITEMS = "items"
+
+
 @dataclass(frozen=True)
 class ProfileConfig:
     max_item_length: int = 1024
@@ -45,6 +62,14 @@ class ProfileConfig:
     #: Turn off what is not needed; its fields are null.
     count_distincts: bool = True
     quantiles: bool = True
+    #: The parts that are wanted; None for all. The others are null, and their sketches are not made.
+    only: frozenset[Profiler] | None = None
+
+    def made(self) -> ProfileConfig:
+        """The configuration without the sketches of parts that are not wanted."""
+        if self.only is None:
+            return self
+        return replace(self, count_distincts=self.count_distincts and Profiler.COUNT_UNIQUE in self.only, quantiles=self.quantiles and Profiler.PMF in self.only, items=self.items if Profiler.ITEMS in self.only else 0)
 
 
 #: Between a long text's start and its hash; a noncharacter, which texts do not exchange.
@@ -254,6 +279,7 @@ class Profile:
 
 def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> Profile:
     """The profile of all columns of df."""
+    config = config.made()
     numbered = df.toDF(*(f"v{k}" for k in range(len(df.columns))))
     plans = [_Plan(f.name, f.dataType, f.nullable, F.col(f"v{k}"), F.col(f"v{k}")) for k, f in enumerate(df.schema.fields)]
     for p in plans:
@@ -266,9 +292,11 @@ def profile(df: DataFrame, config: ProfileConfig = ProfileConfig()) -> Profile:
     states = one.select("row_count", F.array(*(_state(p, config, k, set(one.columns)) for k, p in enumerate(plans))).alias("states"))
     values = [_plan_values(p) for p in plans]
 
+    unwanted = {} if config.only is None else {p.value: None for p in Profiler if p not in config.only}
+
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(int(n), [_finish(v, s, int(n), config) for v, s in zip(values, own, strict=True)]) for n, own in zip(frame["row_count"], frame["states"], strict=True)]
+            rows = [(int(n), [_finish(v, s, int(n), config) | unwanted for v, s in zip(values, own, strict=True)]) for n, own in zip(frame["row_count"], frame["states"], strict=True)]
             yield pd.DataFrame(rows, columns=["row_count", "columns"])
 
     return Profile(states.mapInPandas(finish, f"row_count bigint, columns array<{COLUMN_SCHEMA}>"))  # one row

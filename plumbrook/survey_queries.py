@@ -17,7 +17,7 @@ from plumbrook.operators import quality_rules as qr
 from plumbrook.operators import reshape as rs
 from plumbrook.operators.aggsum import AggSummary
 from plumbrook.operators.join_quality import JoinQuality
-from plumbrook.operators.profile import ProfileConfig, TypeInference, profile
+from plumbrook.operators.profile import ProfileConfig, Profiler, TypeInference, profile
 from plumbrook.operators.quality import Quality, QualityConfig
 from plumbrook.plans.sql_files import run_sql, run_sql_metrics
 from plumbrook.sources.folder import shared_folder, table
@@ -574,6 +574,13 @@ def dp_turned_off(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("name", F.isnull("count_unique").alias("no_distincts"), (F.size("items") == 0).alias("no_items"), (F.size("pmf") == 0).alias("no_buckets"), "count")
 
 
+@query('SELECT c AS name, COUNT(*) AS "count", TRUE AS no_min, TRUE AS no_items, MAX(len) AS max_length FROM (SELECT unnest([\'p_name\', \'p_type\']) AS c, unnest([length(p_name), length(p_type)]) AS len FROM part) GROUP BY 1')
+def dp_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two parts of the profile by name, nothing else."""
+    got = profile(table(spark, folder, "part").select("p_name", "p_type"), ProfileConfig(only=frozenset({Profiler.COUNT, Profiler.MAX_LENGTH}))).columns()
+    return got.select("name", "count", F.isnull("min").alias("no_min"), F.isnull("items").alias("no_items"), "max_length")
+
+
 @query(
     "WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN '  ' ELSE ' ' || CAST(o_orderkey AS VARCHAR) END AS v FROM orders) SELECT 'v' AS name, 'long' AS data_type, CAST(COUNT_IF(trim(v) = '') AS BIGINT) AS count_empty, "
     "CAST(COUNT_IF(v IS NULL) AS BIGINT) AS count_nulls, CAST(MAX(length(v)) AS BIGINT) AS max_length, CAST(MIN(CAST(NULLIF(trim(v), '') AS BIGINT)) AS VARCHAR) AS min, CAST(MAX(CAST(NULLIF(trim(v), '') AS BIGINT)) AS VARCHAR) AS max FROM t"

@@ -165,6 +165,16 @@ def io_cached(spark: SparkSession, folder: str) -> DataFrame:
     return read().select(F.col("s_suppkey").cast(table(spark, folder, "supplier").schema["s_suppkey"].dataType).alias("s_suppkey"), "s_name")
 
 
+@query("SELECT c_custkey, CAST(c_acctbal AS VARCHAR) IS NOT NULL AS has_balance FROM customer")
+def testing_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Temporary tables of tests, written and read."""
+    from plumbrook.testing import TemporaryTables
+
+    tables = TemporaryTables(spark, shared_folder(spark, "tests"), "customers")
+    tables.write(table(spark, folder, "customer").select("c_custkey", F.isnotnull("c_acctbal").alias("has_balance")), "customers")
+    return tables.read("customers")
+
+
 # Quality of files and catalog tables
 
 
