@@ -61,6 +61,8 @@ _random = np.random.Generator(np.random.PCG64(20_240))
 _SEEDS = _random.integers(1, 1 << 63, WORD_HASHES, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.int64)
+#: Places that are looked at in one step, which bounds the memory of a search.
+_STEP = 500_000
 
 
 def hashes(numbers: np.ndarray, count: int) -> np.ndarray:
@@ -177,11 +179,24 @@ class Units:
         place = place[at]
         start_unit, first = self._starts(place)
         counts = first[place + 1] - first[place]
-        if not counts.any():
-            return _EMPTY, _EMPTY, _EMPTY, _EMPTY, 0
-        unit = start_unit[_expand(first[place], counts)]
-        where = np.repeat(at, counts)
-        # The windows of the unit's class around each start.
+        found = [_EMPTY]
+        total = np.cumsum(counts)
+        done = 0
+        while done < len(at):  # in steps, as many units may begin at one element
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _STEP, "right")))
+            own = slice(done, upto)
+            unit = start_unit[_expand(first[place[own]], counts[own])]
+            found.append(np.unique(self._around(unit, np.repeat(at[own], counts[own]), part, offsets, len(numbers) + 1)))
+            done = upto
+        pairs = np.unique(np.concatenate(found))
+        unit, begin = pairs // (len(numbers) + 1), pairs % (len(numbers) + 1)
+        of = part[begin]
+        end = np.minimum(begin + np.array([w for w, _ in self.classes], dtype=np.int64)[self.size_class[unit]], offsets[of + 1])
+        enough = self._enough(unit, begin, end - self.run + 1, at, place)
+        return self.item[unit[enough]], of[enough], begin[enough], end[enough], len(pairs)
+
+    def _around(self, unit: np.ndarray, where: np.ndarray, part: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+        """The windows of each unit's class around its place in the texts, as unit * width + first word."""
         window, hop = np.array(self.classes, dtype=np.int64)[self.size_class[unit]].T
         of = part[where]
         length = offsets[of + 1] - offsets[of]
@@ -191,12 +206,7 @@ class Units:
         high = np.minimum(inside // hop, last)
         spread = high - low + 1
         begin = np.repeat(offsets[of], spread) + _expand(low, spread) * np.repeat(hop, spread)
-        pairs = np.unique(np.repeat(unit, spread) * (len(numbers) + 1) + begin)
-        unit, begin = pairs // (len(numbers) + 1), pairs % (len(numbers) + 1)
-        of = part[begin]
-        end = np.minimum(begin + np.array([w for w, _ in self.classes], dtype=np.int64)[self.size_class[unit]], offsets[of + 1])
-        enough = self._enough(unit, begin, end - self.run + 1, at, place)
-        return self.item[unit[enough]], of[enough], begin[enough], end[enough], len(pairs)
+        return np.repeat(unit, spread) * width + begin
 
     def _enough(self, unit: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which windows hold the needed weight of the unit's elements, each counted once."""
@@ -207,11 +217,10 @@ class Units:
         low, high = np.searchsorted(at, begin), np.searchsorted(at, end)
         out = np.zeros(len(unit), dtype=bool)
         total = np.cumsum(high - low)
-        step = 2_000_000
         first = 0
         while first < len(unit):
             done = total[first - 1] if first else 0
-            upto = max(first + 1, int(np.searchsorted(total, done + step, "right")))
+            upto = max(first + 1, int(np.searchsorted(total, done + _STEP, "right")))
             size = (high - low)[first:upto]
             row, k = np.repeat(np.arange(first, upto), size), _expand(low[first:upto], size)
             new = before[k] < begin[row]
@@ -236,12 +245,12 @@ class Index:
     """All size classes of a block of items, and what verification needs."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids: list[int] = []
-        self.tokens: list[list[str]] = []
+        alike: dict[tuple[str, ...], list[int]] = {}
         for eval_id, text in items:
             if eval_id is not None and (own := words(text)):
-                self.ids.append(eval_id)
-                self.tokens.append(own)
+                alike.setdefault(tuple(own), []).append(eval_id)
+        #: Items of equal words are searched once.
+        self.ids, self.tokens = list(alike.values()), [list(t) for t in alike]
         self.joined = [f" {' '.join(t)} " for t in self.tokens]
         self.bags = [Counter(t) for t in self.tokens]
         self.counted = self.verified = 0
@@ -385,7 +394,7 @@ def _search(documents: DataFrame, items: list[tuple[int, str | None]]) -> DataFr
 
             def close() -> None:
                 for doc_id, items in zip(docs, own.found(parts), strict=True):  # noqa: B023
-                    found.update((doc_id, own.ids[k]) for k in items)  # noqa: B023
+                    found.update((doc_id, eval_id) for k in items for eval_id in own.ids[k])  # noqa: B023
 
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part in segments(words(text.as_py()), own.overlap):

@@ -174,3 +174,18 @@ def test_segments_cover_everything():
 def test_words():
     assert words("Ab-c_d <i>e</i>&1²­x ＦＵＬＬ é <" + "y" * 41 + ">") == ["ab", "c", "d", "e", "12x", "full", "é", "y" * 41]
     assert words(None) == words("") == words("<br>") == []
+
+
+def test_equal_items_each_leak_and_are_searched_once():
+    text = " ".join(f"w{k}" for k in range(30))
+    index = leaks.Index([(1, text), (2, text.upper()), (3, f"<b>{text}</b>"), (4, "other words")])
+    assert index.ids == [[1, 2, 3], [4]] and index.found([words(f"x {text} y")]) == [{0}]
+
+
+def test_steps_of_a_search_do_not_matter(monkeypatch):
+    r = random.Random(6)
+    items = [" ".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (5, 12, 20, 25, 40) for _ in range(6)]
+    parts = [[r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 200))] for _ in range(30)]
+    whole = leaks.Index(list(enumerate(items))).found(parts)
+    monkeypatch.setattr(leaks, "_STEP", 7)
+    assert leaks.Index(list(enumerate(items))).found(parts) == whole and any(whole)
