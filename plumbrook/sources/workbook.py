@@ -39,6 +39,8 @@ _MARK = re.compile(r"<<(TABLE_STARTS_HERE|HEADER_STYLE|CELL_STYLE|COLUMN_STYLE)(
 _ANY_MARK = re.compile(r"<<.*>>")
 #: UTF-16 units that a cell holds; longer texts raise.
 MOST_TEXT = 32_767
+#: Rows that a sheet holds; more raise.
+MOST_ROWS = 1_048_576
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
@@ -290,6 +292,8 @@ def _place_table(package: _Package, sheet: Sheet, config: WorkbookConfig) -> Non
     top, left = marks.start
     base = [marks.columns.get(t, marks.columns.get(sheet.columns[k], marks.cell or 0)) for t, k in zip(titles, kept, strict=True)]
     styles = [package.style(b, f) for b, f in zip(base, formats, strict=True)]
+    if top + len(rows) + config.use_header > MOST_ROWS:
+        raise PlumbrookError(f"sheet {sheet.name} would have more than the {MOST_ROWS} rows a sheet holds")
     table = ([titles] if config.use_header else []) + [[None if r[k] is None else c(r[k]) for k, c in zip(kept, convert, strict=True)] for r in rows]
     for n, values in enumerate(table):
         number = top + n + 1

@@ -184,6 +184,13 @@ def test_workbook_template():
         workbook.workbook_bytes([sheet], workbook.WorkbookConfig(template_xlsx=bad))
 
 
+def test_sheets_have_an_end(monkeypatch):
+    monkeypatch.setattr(workbook, "MOST_ROWS", 3)
+    assert len(workbook.workbook_cells(workbook.workbook_bytes([workbook.Sheet("s", ["a"], [(1,), (2,)])]))) == 3
+    with pytest.raises(PlumbrookError, match="rows a sheet holds"):
+        workbook.workbook_bytes([workbook.Sheet("s", ["a"], [(1,), (2,), (3,)])])
+
+
 def test_workbooks_as_rows(spark):
     orders = spark.createDataFrame([(1, "c1", 100), (2, "c1", 700), (3, "c X", 300)], "id int, customer string, cost_cents bigint")
     by_customer = orders.withColumn("__path__", F.concat("customer", F.lit(".xlsx"))).withColumn("__sheet__", F.col("customer"))
