@@ -186,6 +186,8 @@ def test_steps_of_a_search_do_not_matter(monkeypatch):
     r = random.Random(6)
     items = [" ".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (5, 12, 20, 25, 40) for _ in range(6)]
     parts = [[r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 200))] for _ in range(30)]
+    for k, item in enumerate(items):
+        parts[k][5:5] = [w for w in item.split() if r.random() < 0.9]
     whole = leaks.Index(list(enumerate(items))).found(parts)
     monkeypatch.setattr(leaks, "_STEP", 7)
     assert leaks.Index(list(enumerate(items))).found(parts) == whole and any(whole)
