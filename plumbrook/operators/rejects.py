@@ -315,16 +315,19 @@ def assemble(lines: DataFrame, layout: DataFrame, most_lines: int = MOST_LINES)
     lines: file_id, line_no, line, each line number of a file once; most_lines bounds the distance of the numbers
     of a record's lines and is at most BLOCK_LINES, so that no record reaches beyond the next block. Every block
     tells its lines of odd quotes in one row; one pass over these rows says which record is open at the borders.
-    Records within a block are complete, the few lines at the borders are brought together by another shuffle.
+    Records within a block are complete, the few lines at the borders are brought together by another shuffle. Lines
+    without a number have no neighbours: each is a record; null lines are none.
     """
     if not 0 < most_lines <= BLOCK_LINES:
         raise ValueError(f"most_lines must be between 1 and {BLOCK_LINES}")
+    loose = lines.where("line_no IS NULL AND line IS NOT NULL").select(F.col("file_id").cast("bigint").alias("file_id"), F.lit(None).cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"))
+    lines = lines.where("line_no IS NOT NULL")
     told = in_blocks(lines, layout, empty=True).mapInArrow(_odd_lines(most_lines), _ODD)
     heads = told.repartition("file_id").sortWithinPartitions("file_id", "block").mapInPandas(_borders(most_lines), _HEAD)  # a row per block
     parts = _under(heads, _lines(lines, empty=True)).mapInArrow(_joined(most_lines), "file_id bigint, line_no bigint, at bigint, line string, whole boolean")
     whole = parts.where("whole").select("file_id", "line_no", "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")  # at most most_lines
-    return whole.unionByName(parts.where("NOT whole").groupBy("file_id", "line_no").agg(text.alias("line")).select("file_id", "line_no", "line"))
+    return whole.unionByName(loose).unionByName(parts.where("NOT whole").groupBy("file_id", "line_no").agg(text.alias("line")).select("file_id", "line_no", "line"))
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict, list[tuple[int, str]]]]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbrook.errors import PlumbrookError
 from plumbrook.functions import sketches
 from plumbrook.functions.codes import cleanup_codes, collect_codes
 from plumbrook.operators import quality_rules as qr
@@ -214,6 +215,19 @@ def dq_sample_rows(spark: SparkSession, folder: str) -> DataFrame:
     return q.row_sample().select(F.col("row")[0].alias("n_nationkey"), F.col("row")[1].alias("n_name"), F.array_join("violated_rule_names", ",").alias("rules"))
 
 
+@query("SELECT unnest(['SUM', 'n_name', 'fine']) AS rule, unnest(['not boolean', 'not unique', 'none']) AS reason, (SELECT COUNT(*) FROM nation) AS n")
+def dq_refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that are no rules of the table, and one that is."""
+    nation, told = table(spark, folder, "nation"), []
+    for rule in (qr.Rule("SUM", "n_nationkey + n_regionkey"), qr.Rule("n_name", "n_regionkey > 1"), qr.Rule("fine", "n_regionkey > 1")):
+        try:
+            n = Quality.from_df(nation).rules([rule]).table_statistics().first()["rows"]
+            told.append((rule.name, "none", n))
+        except PlumbrookError as e:
+            told.append((rule.name, next(r for r in ("not boolean", "not unique") if r in str(e)), nation.count()))
+    return spark.createDataFrame(told, "rule string, reason string, n bigint")
+
+
 @dataclasses.dataclass
 class DeclaredCustomer:
     """What the customers' table should hold."""
