@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from plumbrook.functions import declared_types as types
 
 #: Consecutive lines of a file that are read together, and the most lines of an assembled record.
-BLOCK_LINES, MOST_LINES = 1 << 14, 1000
+BLOCK_LINES, MOST_LINES = 1 << 12, 1000
 PARSED = "file_id bigint, line_no int, rule_name string, reason string, row_values array<string>, canonical_values array<string>"
 _PARSED = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("rule_name", pa.string()), ("reason", pa.string()), ("row_values", pa.list_(pa.string())), ("canonical_values", pa.list_(pa.string()))])
 

@@ -17,10 +17,11 @@ from plumbrook.operators import quality_rules as qr
 from plumbrook.operators.quality import Quality
 from plumbrook.plans import config as cfg
 from plumbrook.plans import dag, introspect
+from plumbrook.plans.sql_files import run_sql
 from plumbrook.sources import jdbc, paths
 from plumbrook.sources import workbook as wb
 from plumbrook.sources.cache import cached
-from plumbrook.sources.files import Files
+from plumbrook.sources.files import Files, resource_text
 from plumbrook.sources.folder import shared_folder, table
 from plumbrook.sources.table_io import TableIO, TableIOConfig
 
@@ -297,6 +298,30 @@ def xlsx_widths(spark: SparkSession, folder: str) -> DataFrame:
     return wb.to_excel_files([rows]).mapInPandas(read, "path string, column_no int, width double")
 
 
+@query("SELECT 'A2:B' || CAST(COUNT(*) + 1 AS VARCHAR) AS area FROM nation")
+def xlsx_conditional_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """A conditional format over the cell of a style grows over all rows of the table."""
+    import io
+    import zipfile
+
+    blank = wb.workbook_bytes([wb.Sheet("Nations", ["a", "b"], [("<<TABLE_STARTS_HERE>>", None), ("<<CELL_STYLE>>", None)])], wb.WorkbookConfig(use_header=False, auto_size_columns=False))
+    made = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(blank)) as old, zipfile.ZipFile(made, "w") as new:
+        for name in old.namelist():
+            part = old.read(name)
+            if name.startswith("xl/worksheets/"):
+                part = part.replace(b"</sheetData>", b'</sheetData><conditionalFormatting sqref="A2:B2"><cfRule type="duplicateValues" priority="1"/></conditionalFormatting>')
+            new.writestr(name, part)
+    rows = table(spark, folder, "nation").select(F.lit("Nations").alias("__sheet__"), "n_nationkey", "n_name")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            trees = [tree for content in frame["content"] for _, tree in wb._Package(content).sheets.values()]
+            yield pd.DataFrame({"area": [f.get("sqref") for tree in trees for f in tree.iter(f"{{{wb.MAIN}}}conditionalFormatting")]})
+
+    return wb.to_excel_files([rows], wb.WorkbookConfig(template_xlsx=made.getvalue())).mapInPandas(read, "area string")
+
+
 # Databases
 
 
@@ -505,6 +530,25 @@ def config_json(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(made, "name string, json string")
 
 
+@query("SELECT r_name AS name, CAST(length(r_name) AS BIGINT) AS size, CAST(r_regionkey AS BIGINT) AS kept, r_regionkey % 2 = 0 AS strict FROM region")
+def config_copy(spark: SparkSession, folder: str) -> DataFrame:
+    """Deep copies with changes: what is not changed stays, and the original does too."""
+    made = []
+    for r in table(spark, folder, "region").collect():  # 5 regions
+        first = SystemSettings([r.r_name], {"kept": r.r_regionkey})
+        copy = cfg.update(first, {"sizes": {"size": len(r.r_name)}, "strict": r.r_regionkey % 2 == 0})
+        if first.sizes != {"kept": r.r_regionkey} or first.strict:
+            raise PlumbrookError("a copy has changed its original")
+        made.append((copy.names[0], copy.sizes["size"], copy.sizes["kept"], copy.strict))
+    return spark.createDataFrame(made, "name string, size bigint, kept bigint, strict boolean")
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey AS customer, c_acctbal AS balance FROM customer WHERE c_acctbal >= 100 QUALIFY ROW_NUMBER() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) = 1")
+def sql_resource(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement that is kept as a text of the package."""
+    return run_sql(spark, resource_text("plumbrook.resources", "richest_of_segment.sql"), {"resource_customer": table(spark, folder, "customer")}, {"least_balance": 100})
+
+
 @query("SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || '/' || CAST(n_nationkey AS VARCHAR) || '.0' AS made FROM nation")
 def config_made_up(spark: SparkSession, folder: str) -> DataFrame:
     """Instances with constant values, one seed per nation."""
