@@ -11,12 +11,15 @@ from __future__ import annotations
 import datetime
 import decimal
 import io
+import itertools
 import re
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from typing import Any
+from typing import IO, Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
@@ -65,6 +68,8 @@ class WorkbookConfig:
     date_format: str = "M/D/YYYY"
     timestamp_format: str = "dd-mm-yyyy hh:mm:ss"
     template_xlsx: bytes | None = None
+    #: Rows of a new sheet that are held as elements; the ones before are written to a file meanwhile. None holds all.
+    row_window: int | None = None
 
 
 @dataclass
@@ -129,6 +134,15 @@ class _Package:
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             self.sheets[s.get("name")] = (part, ET.fromstring(self.parts[part]))
         self._styled: dict[tuple[int, str], int] = {}
+        #: Rows of sheets that left their window, by part.
+        self.flushed: dict[str, IO[bytes]] = {}
+
+    def flush(self, name: str, rows: list[ET.Element]) -> None:
+        """Write rows of a sheet behind those that were written before."""
+        out = self.flushed.setdefault(self.sheets[name][0], tempfile.SpooledTemporaryFile(max_size=1 << 20))
+        for row in rows:
+            out.write(ET.tostring(row).replace(f' xmlns="{MAIN}"'.encode(), b""))
+        rows.clear()
 
     def _strings(self) -> list[str]:
         data = self.parts.get("xl/sharedStrings.xml")
@@ -187,7 +201,18 @@ class _Package:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, data in self.parts.items():
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+                entry = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                entry.compress_type = zipfile.ZIP_DEFLATED
+                with z.open(entry, "w", force_zip64=name in self.flushed) as part:
+                    if (rows := self.flushed.get(name)) is None:
+                        part.write(data)
+                        continue
+                    head, _, tail = data.partition(b"<sheetData />")
+                    part.write(head + b"<sheetData>")
+                    rows.seek(0)
+                    shutil.copyfileobj(rows, part)
+                    part.write(b"</sheetData>" + tail)
+                    rows.close()
         return out.getvalue()
 
 
@@ -294,28 +319,39 @@ def _place_table(package: _Package, sheet: Sheet, config: WorkbookConfig) -> Non
     styles = [package.style(b, f) for b, f in zip(base, formats, strict=True)]
     if top + len(rows) + config.use_header > MOST_ROWS:
         raise PlumbrookError(f"sheet {sheet.name} would have more than the {MOST_ROWS} rows a sheet holds")
-    table = ([titles] if config.use_header else []) + [[None if r[k] is None else c(r[k]) for k, c in zip(kept, convert, strict=True)] for r in rows]
-    for n, values in enumerate(table):
+    shown = ([None if r[k] is None else c(r[k]) for k, c in zip(kept, convert, strict=True)] for r in rows)
+    window: list[ET.Element] | None = [] if config.row_window and not existing else None
+    longest = [min(len(t), config.auto_size.name_cap) for t in titles]
+    for n, values in enumerate(itertools.chain([titles] if config.use_header else [], shown)):
         number = top + n + 1
         row = existing.get(number)
-        if row is None:
+        if window is not None:
+            if len(window) >= config.row_window:
+                package.flush(sheet.name, window)
+            row = ET.Element(_tag("row"), {"r": str(number)})
+            window.append(row)
+        elif row is None:
             row = existing[number] = ET.SubElement(data, _tag("row"), {"r": str(number)})
         row.attrib.pop("spans", None)
         header = config.use_header and n == 0
+        if not header:
+            longest = [max(w, len(str(v))) if v is not None else w for w, v in zip(longest, values, strict=True)]
         taken = {cell_place(c.get("r"))[1] for c in row}
         for c, value in enumerate(values):
             if left + c in taken:
                 row.remove(next(x for x in row if cell_place(x.get("r"))[1] == left + c))
             _cell(row, (top + n, left + c), value, (marks.header or 0) if header else styles[c], config)
         row[:] = sorted(row, key=lambda x: cell_place(x.get("r"))[1])
+    if window:
+        package.flush(sheet.name, window)
     data[:] = sorted(data, key=lambda r: int(r.get("r")))
     if (old := tree.find(_tag("dimension"))) is not None:
         tree.remove(old)
-    last = top + len(table)
+    last = top + len(rows) + config.use_header
     for formatting in tree.iter(_tag("conditionalFormatting")):
         formatting.set("sqref", " ".join(_extended(r, marks.style_rows, last) for r in formatting.get("sqref", "").split()))
     if config.auto_size_columns:
-        _set_widths(tree, left, titles, table[1:] if config.use_header else table, config.auto_size)
+        _set_widths(tree, left, longest, config.auto_size)
 
 
 def _extended(area: str, style_cells: set[tuple[int, int]], last: int) -> str:
@@ -327,14 +363,13 @@ def _extended(area: str, style_cells: set[tuple[int, int]], last: int) -> str:
     return area
 
 
-def _set_widths(tree: ET.Element, left: int, titles: list[str], rows: list[list[Any]], size: AutoSize) -> None:
+def _set_widths(tree: ET.Element, left: int, longest: list[int], size: AutoSize) -> None:
     cols = tree.find(_tag("cols"))
     if cols is None:
         cols = ET.Element(_tag("cols"))
         tree.insert(list(tree).index(tree.find(_tag("sheetData"))), cols)
-    for c, title in enumerate(titles):
-        longest = max([min(len(title), size.name_cap), *(len(str(r[c])) for r in rows if r[c] is not None)])
-        width = min(max(longest, size.least), size.most) * size.scale
+    for c, length in enumerate(longest):
+        width = min(max(length, size.least), size.most) * size.scale
         for old in [x for x in cols if int(x.get("min")) == int(x.get("max")) == left + c + 1]:
             cols.remove(old)
         ET.SubElement(cols, _tag("col"), {"min": str(left + c + 1), "max": str(left + c + 1), "width": f"{width:.4f}", "customWidth": "1"})
@@ -390,7 +425,7 @@ def to_excel(sheets: Any, options: Mapping[str, Any] | None = None) -> bytes | N
         if not hasattr(config, k):
             raise PlumbrookError(f"unknown workbook option {k}")
         old = getattr(config, k)
-        config = replace(config, **{k: (str(v).lower() == "true") if isinstance(old, bool) else bytes(v) if k == "template_xlsx" else v})
+        config = replace(config, **{k: (str(v).lower() == "true") if isinstance(old, bool) else bytes(v) if k == "template_xlsx" else int(v) if k == "row_window" else v})
     return workbook_bytes([_sheet_of(name, rows) for name, rows in zip(sheets.__fields__, sheets, strict=True) if rows is not None], config)
 
 

@@ -184,6 +184,16 @@ def test_workbook_template():
         workbook.workbook_bytes([sheet], workbook.WorkbookConfig(template_xlsx=bad))
 
 
+@pytest.mark.parametrize("window", [1, 7, 1000])
+def test_rows_leave_their_window(window):
+    rows = [(k, f"<{k}> & ü", None if k % 3 else 1.5, datetime.date(2020, 1, 1)) for k in range(50)]
+    sheets = [workbook.Sheet("one", ["a_cents", "b", "c", "d"], rows), workbook.Sheet("none", ["a"], [])]
+    made = [workbook.workbook_bytes(sheets, workbook.WorkbookConfig(row_window=w)) for w in (None, window)]
+    assert workbook.workbook_cells(made[0]) == workbook.workbook_cells(made[1]) and len(workbook.workbook_cells(made[1])) == 172
+    trees = [ET.fromstring(zipfile.ZipFile(io.BytesIO(m)).read("xl/worksheets/added1.xml")) for m in made]
+    assert ET.tostring(trees[0]) == ET.tostring(trees[1])
+
+
 def test_sheets_have_an_end(monkeypatch):
     monkeypatch.setattr(workbook, "MOST_ROWS", 3)
     assert len(workbook.workbook_cells(workbook.workbook_bytes([workbook.Sheet("s", ["a"], [(1,), (2,)])]))) == 3
