@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,3 +29,12 @@ def collect_codes(df_schema: T.StructType, *names: str) -> Column:
         else:
             raise PlumbrookError(f"codes of column {name} of type {kind.simpleString()}: string or array<string> required")
     return cleanup_codes(F.concat(*sets))
+
+
+def register(spark: SparkSession) -> None:
+    """cleanup_codes(codes) in SQL, as a function of SQL expressions.
+
+    collect_codes is cleanup_codes(flatten(collect_set(array(...)))) there: an aggregate can't be made of SQL expressions,
+    and one in Python would hold a whole group.
+    """
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cleanup_codes(codes ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN array_sort(array_distinct(filter(codes, c -> length(c) > 0)))")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from plumbrook.errors import PlumbrookError
 from plumbrook.functions import sketches
 from plumbrook.functions.codes import cleanup_codes, collect_codes
+from plumbrook.functions.codes import register as register_codes
 from plumbrook.operators import quality_rules as qr
 from plumbrook.operators import reshape as rs
 from plumbrook.operators.aggsum import AggSummary
@@ -741,6 +742,14 @@ def collect_codes_query(spark: SparkSession, folder: str) -> DataFrame:
     return part.groupBy("p_size").agg(F.array_join(collect_codes(part.schema, "p_brand", "others"), ",").alias("codes"))
 
 
+@query("SELECT p_size, array_to_string(list_sort(list_distinct(list_concat(list(p_brand), list(split_part(p_type, ' ', 2)) FILTER (split_part(p_type, ' ', 2) <> '')))), ',') AS codes FROM part GROUP BY p_size")
+def codes_in_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of two columns per group by the SQL function."""
+    register_codes(spark)
+    table(spark, folder, "part").createOrReplaceTempView("codes_part")
+    return spark.sql("SELECT p_size, array_join(cleanup_codes(flatten(collect_set(array(p_brand, '', NULL, coalesce(get(split(p_type, ' '), 1), ''))))), ',') AS codes FROM codes_part GROUP BY p_size")
+
+
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), ',') AS codes FROM part")
 def cleanup_codes_query(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.array_join(cleanup_codes(F.concat(F.split("p_type", " "), F.array(F.lit("")))), ",").alias("codes"))
