@@ -47,10 +47,11 @@ def repeated_words(own: list[str]) -> int:
     n = len(own)
     if n <= RUN:
         return 0
+    grams = list(zip(*(own[k:] for k in range(RUN)), strict=False))
+    if len(set(grams)) == len(grams):
+        return 0
     known: dict[str, int] = {}
     numbers = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, n)
-    if len(known) == n:
-        return 0
     runs = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(numbers, RUN)).view(np.dtype((np.void, 4 * RUN))).ravel()
     _, first, inverse = np.unique(runs, return_index=True, return_inverse=True)
     again = np.flatnonzero(first[inverse] < np.arange(len(runs)))

@@ -25,7 +25,8 @@ def words(text: str | None) -> list[str]:
     """
     if not text:
         return []
-    if not text.isascii():
+    # Format characters are not printable; the test is much faster than the search for them.
+    if not text.isascii() and not text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
         text = _invisible().sub("", text)
     if "<" in text:
         text = _TAG.sub(" ", text)

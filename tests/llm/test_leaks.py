@@ -191,3 +191,14 @@ def test_steps_of_a_search_do_not_matter(monkeypatch):
     whole = leaks.Index(list(enumerate(items))).found(parts)
     monkeypatch.setattr(leaks, "_STEP", 7)
     assert leaks.Index(list(enumerate(items))).found(parts) == whole and any(whole)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aé\n\t\r  ​­﻿\U000e0061<>ﬁ²"), st.characters()), max_size=40))
+def test_words_without_the_shortcut(text):
+    import re
+    import unicodedata
+
+    plain = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    plain = unicodedata.normalize("NFKC", re.sub("<[^<>]{0,40}>", " ", plain).lower())
+    assert words(text) == ["".join(g) for g in re.findall(r"[^\W_]+", plain)]
