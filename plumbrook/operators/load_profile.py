@@ -38,7 +38,8 @@ from plumbrook.sources.folder import written
 #: Columns accepted in a profile; it is held in every task.
 MOST_COLUMNS = 10_000
 _RUN = "column_no int, load_id bigint, ordinal bigint, text string, n bigint"
-_KEYS = ["column_no", "load_id", "ordinal", "text"]
+#: Loads come first: of a sort's keys Spark compares the first one fastest, and there are many more loads than columns.
+_KEYS = ["load_id", "column_no", "ordinal", "text"]
 _SIGN = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -348,7 +349,7 @@ def curves(ordered: DataFrame, folder: str) -> DataFrame:
             if first == key:
                 own[: starts[1] if len(starts) > 1 else merged.num_rows] += upto
             key, upto = (merged["column_no"][-1].as_py(), merged["load_id"][-1].as_py()), int(own[-1])
-            placed = merged.append_column("upto", pa.array(own)).add_column(0, "range_no", pa.repeat(pa.scalar(at, pa.int32()), merged.num_rows))
+            placed = merged.select(["column_no", "load_id", "ordinal", "text", "n"]).append_column("upto", pa.array(own)).add_column(0, "range_no", pa.repeat(pa.scalar(at, pa.int32()), merged.num_rows))
             yield from placed.to_batches()
 
     spark = ordered.sparkSession
@@ -424,7 +425,7 @@ def distances(df: DataFrame, names: Sequence[str], load: str) -> DataFrame:
         F.struct(F.col("next_load").alias("pair"), (-weight("next_size")).alias("w")),
     )
     steps = joined.select("column_no", "ordinal", "text", F.explode(sides).alias("s")).where("s.pair IS NOT NULL")
-    keys = ["column_no", "load_id", "ordinal", "text"]
+    keys = _KEYS
     ordered = steps.select("column_no", F.col("s.pair").alias("load_id"), "ordinal", "text", F.col("s.w").alias("w")).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
