@@ -215,6 +215,24 @@ n AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS word_count, (SELECT COUNT(*
 SQL["p8_words"] = f"{_RUNS} SELECT doc_id, word_count, repeated_words FROM n"
 SQL["p8_found"] = f"{_RUNS} SELECT doc_id FROM n WHERE word_count > 0 AND repeated_words * 10 >= word_count * 3"
 
+_BLANK = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+def _parts(cut: str) -> str:
+    """The share of characters in parts that stood earlier; character 1 stands between parts."""
+    key = f"trim(regexp_replace(lower(part), '{_BLANK}+', ' ', 'g'), ' ')"
+    return (
+        f"SELECT doc_id, SUM(CASE WHEN k > first THEN length(key) ELSE 0 END) / NULLIF(SUM(length(key)), 0) AS share FROM (SELECT *, MIN(k) OVER (PARTITION BY doc_id, key) AS first FROM "
+        f"(SELECT doc_id, k, {key} AS key FROM (SELECT doc_id, unnest(string_split({cut}, chr(1))) AS part, generate_subscripts(string_split({cut}, chr(1)), 1) AS k FROM documents))) GROUP BY doc_id"
+    )
+
+
+SQL["p8_shares"] = f"""{_RUNS},
+sentences AS ({_parts(f"regexp_replace(regexp_replace(text, '([.!?…]){_BLANK}+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g')")}),
+paragraphs AS ({_parts(f"regexp_replace(text, '\\n{_BLANK}*\\n', chr(1), 'g')")})
+SELECT n.doc_id, word_count, CASE WHEN word_count = 0 THEN 0 ELSE repeated_words / word_count END AS repeated_share, COALESCE(s.share, 0) AS repeated_sentences, COALESCE(p.share, 0) AS repeated_paragraphs
+FROM n LEFT JOIN sentences s USING (doc_id) LEFT JOIN paragraphs p USING (doc_id)"""
+
 _STEP, _OFFSET = percentiles._scale(percentiles.ACCURACY)
 SQL["p4_percentiles"] = f"""{_RANKED},
 x AS (SELECT q.*, r.n AS group_count, r.v FROM dp_quantile q JOIN r ON r.group_code IS NOT DISTINCT FROM q.group_code AND r.k = GREATEST(1, (q.pct * r.n + 99) // 100)),
