@@ -210,6 +210,14 @@ def p5_valid(spark: SparkSession, folder: str) -> DataFrame:
     return p5_loaded(spark, folder).groupBy("file_id").agg(F.count(F.lit(1)).alias("records"), F.sum(present).alias("present"))
 
 
+@query
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of the valid records by their place, as held and in canonical form, one row each."""
+    both = F.arrays_zip(F.col("row_values").alias("value"), F.col("canonical_values").alias("canonical"))
+    each = p5_loaded(spark, folder).select("file_id", "line_no", F.posexplode(both).alias("place", "v"))
+    return each.select("file_id", "line_no", (F.col("place") + 1).cast("bigint").alias("place"), "v.value", "v.canonical")
+
+
 @query
 def p5_assembled(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on the records of all files as physical lines: raw_line cut at line breaks and assembled again."""
@@ -274,6 +282,13 @@ def p3_united(spark: SparkSession, folder: str) -> DataFrame:
     kinds = written(drift.column_types(columns), "column_types")
     return drift.unite(rejects.loaded(_parsed(spark, folder, "loaded")), columns, kinds)
 
+
+@query
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of the united records, one row each."""
+    return p3_united(spark, folder).select("table_name", "file_id", "line_no", F.explode("record").alias("column_name", "value"))
+
+
 _RECORDS = r"""
 WITH file AS (SELECT file_id, ANY_VALUE(metadata) AS metadata FROM file_input WHERE file_id IS NOT NULL GROUP BY file_id),
 opt AS (SELECT file_id, metadata['input_path'] AS path, metadata['table_name'] AS table_name, TRY_CAST(metadata['modification_timestamp'] AS TIMESTAMPTZ) AS instant FROM file),
@@ -281,7 +296,7 @@ layout AS (SELECT file_id, table_name, instant, CASE WHEN regexp_matches(path, '
   CASE WHEN regexp_matches(path, '[?&]quote=') THEN url_decode(regexp_extract(path, '[?&]quote=([^&]*)', 1)) ELSE '"' END AS quote, lower(regexp_extract(path, '[?&]header=([^&]*)', 1)) = 'true' AS header FROM opt),
 field AS (SELECT file_id, ordinal_no, lower(trim(ANY_VALUE(field_name), ' ')) AS name, ANY_VALUE(nullable) AS nullable, ANY_VALUE(enum_values) AS enum_values, ANY_VALUE(regexp_pattern) AS regexp_pattern,
   COALESCE(ANY_VALUE(format_pattern), 'yyyy-MM-dd') AS pattern, lower(trim(ANY_VALUE(data_type_json), E' \n\t"')) AS kind FROM dq_field WHERE file_id IS NOT NULL GROUP BY file_id, ordinal_no),
-typed AS (SELECT *, CASE WHEN kind LIKE '{%' THEN 'array' ELSE regexp_replace(kind, '\s', '', 'g') END AS type, CASE WHEN kind LIKE '{%' THEN json_extract_string(kind, '$.elementtype') || json_extract_string(kind, '$.containsnull') END AS inner_type,
+typed AS (SELECT *, CASE WHEN kind LIKE '{%' THEN 'array' ELSE regexp_replace(kind, '\s', '', 'g') END AS type, CASE WHEN kind LIKE '{%' THEN '{"containsNull": ' || json_extract_string(kind, '$.containsnull') || ', "elementType": "' || json_extract_string(kind, '$.elementtype') || '", "type": "array"}' ELSE regexp_replace(kind, '\s', '', 'g') END AS shown,
   ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY ordinal_no) AS place FROM field),
 width AS (SELECT file_id, COUNT(*) AS fields FROM field GROUP BY 1),
 line AS (SELECT DISTINCT r.file_id, r.line_no, r.line, COALESCE(l.delimiter, ',') AS delimiter, COALESCE(l.quote, '"') AS quote FROM raw_line r LEFT JOIN layout l USING (file_id) WHERE r.line <> '' AND NOT (COALESCE(l.header, FALSE) AND r.line_no = 0)),
@@ -304,12 +319,15 @@ judged AS (SELECT file_id, line_no, line, BOOL_AND(fits) AS fits FROM tried GROU
 verdict AS (SELECT s.file_id, s.line_no, s.line, COALESCE(s.rule, CASE WHEN NOT COALESCE(j.fits, TRUE) THEN 'field_value' END) AS rule_name FROM shaped s LEFT JOIN judged j USING (file_id, line_no, line))
 """
 SQL["p5_found"] = f"{_RECORDS} SELECT DISTINCT file_id, line_no, rule_name FROM verdict WHERE rule_name IS NOT NULL"
+_CANONICAL = """CASE WHEN t.absent THEN NULL WHEN t.type IN ('integer', 'long', 'double') OR t.type LIKE 'decimal(%' THEN regexp_replace(CAST(TRY_CAST(t.s AS DECIMAL(38, 10)) AS VARCHAR), '\\.?0+$', '')
+  WHEN t.type = 'date' THEN substr(t.v, instr(t.pattern, 'yyyy'), 4) || '-' || substr(t.v, instr(t.pattern, 'MM'), 2) || '-' || substr(t.v, instr(t.pattern, 'dd'), 2) WHEN t.type = 'boolean' THEN lower(t.v) ELSE t.v END"""
+SQL["p5_values"] = f"{_RECORDS} SELECT t.file_id, t.line_no, t.place, CASE WHEN NOT t.absent THEN t.v END AS value, {_CANONICAL} AS canonical FROM tried t JOIN verdict USING (file_id, line_no, line) WHERE rule_name IS NULL"
 SQL["p5_valid"] = f"{_RECORDS} SELECT file_id, COUNT(*) AS records, CAST(SUM(v) AS BIGINT) AS present FROM (SELECT file_id, line_no, line, COUNT_IF(NOT absent) AS v FROM tried GROUP BY ALL) JOIN verdict USING (file_id, line_no, line) WHERE rule_name IS NULL GROUP BY 1"
 
 _DRIFT = _RECORDS.rstrip() + r""",
 seq AS (SELECT file_id, LAG(file_id) OVER (PARTITION BY table_name ORDER BY instant, file_id) AS prior_id FROM layout WHERE table_name IS NOT NULL AND instant IS NOT NULL),
 named AS (SELECT * FROM typed QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, name ORDER BY place) = 1),
-pair AS (SELECT q.file_id, q.prior_id, o.name AS old_name, n.name AS new_name, o.place AS old_place, n.place AS new_place, concat(o.type, o.inner_type) AS old_type, concat(n.type, n.inner_type) AS new_type
+pair AS (SELECT q.file_id, q.prior_id, o.name AS old_name, n.name AS new_name, o.place AS old_place, n.place AS new_place, o.shown AS old_type, n.shown AS new_type
   FROM (SELECT q.file_id, q.prior_id, name FROM seq q JOIN named m ON m.file_id = q.file_id WHERE q.prior_id IS NOT NULL UNION SELECT q.file_id, q.prior_id, name FROM seq q JOIN named m ON m.file_id = q.prior_id) q
   LEFT JOIN named o ON o.file_id = q.prior_id AND o.name = q.name LEFT JOIN named n ON n.file_id = q.file_id AND n.name = q.name),
 gone AS (SELECT * FROM pair WHERE new_name IS NULL), come AS (SELECT * FROM pair WHERE old_name IS NULL),
@@ -321,8 +339,33 @@ held AS (SELECT g.file_id, key.k, g.place, g.c, g.s FROM good g JOIN key USING (
 cand AS (SELECT g.file_id, g.prior_id, g.old_name, n.new_name, g.old_place, n.new_place, g.old_type, n.new_type FROM gone g JOIN come n USING (file_id)),
 share AS (SELECT c.file_id, c.old_name, c.new_name, c.old_type, c.new_type, COUNT_IF(a.c IS NOT DISTINCT FROM b.c OR a.s IS NOT DISTINCT FROM b.s) / COUNT(*) AS share
   FROM cand c JOIN held a ON a.file_id = c.prior_id AND a.place = c.old_place JOIN held b ON b.file_id = c.file_id AND b.place = c.new_place AND b.k = a.k GROUP BY ALL),
-moved AS (SELECT * FROM share WHERE share >= 0.9 QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, old_name ORDER BY share DESC, new_name) = 1 AND ROW_NUMBER() OVER (PARTITION BY file_id, new_name ORDER BY share DESC, old_name) = 1)
-SELECT file_id, 'renamed' AS change_kind, new_name AS field_name FROM moved UNION ALL SELECT file_id, 'removed', old_name FROM gone WHERE (file_id, old_name) NOT IN (SELECT (file_id, old_name) FROM moved)
-UNION ALL SELECT file_id, 'added', new_name FROM come WHERE (file_id, new_name) NOT IN (SELECT (file_id, new_name) FROM moved)
-UNION ALL SELECT file_id, 'type_changed', new_name FROM moved WHERE old_type <> new_type UNION ALL SELECT file_id, 'type_changed', new_name FROM pair WHERE old_name IS NOT NULL AND new_name IS NOT NULL AND old_type <> new_type"""
-SQL["p3_found"] = _DRIFT
+moved AS (SELECT * FROM share WHERE share >= 0.9 QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id, old_name ORDER BY share DESC, new_name) = 1 AND ROW_NUMBER() OVER (PARTITION BY file_id, new_name ORDER BY share DESC, old_name) = 1),
+change AS (SELECT file_id, 'renamed' AS change_kind, new_name AS field_name, old_name || ' -> ' || new_name AS detail FROM moved
+  UNION ALL SELECT file_id, 'removed', old_name, old_type FROM gone WHERE (file_id, old_name) NOT IN (SELECT (file_id, old_name) FROM moved)
+  UNION ALL SELECT file_id, 'added', new_name, new_type FROM come WHERE (file_id, new_name) NOT IN (SELECT (file_id, new_name) FROM moved)
+  UNION ALL SELECT file_id, 'type_changed', new_name, old_type || ' -> ' || new_type FROM moved WHERE old_type <> new_type
+  UNION ALL SELECT file_id, 'type_changed', new_name, old_type || ' -> ' || new_type FROM pair WHERE old_name IS NOT NULL AND new_name IS NOT NULL AND old_type <> new_type)
+"""
+SQL["p3_found"] = f"{_DRIFT} SELECT DISTINCT file_id, change_kind, field_name FROM change"
+SQL["p3_changes"] = f"{_DRIFT} SELECT * FROM change"
+
+_COLUMN = _DRIFT.replace("WITH file AS", "WITH RECURSIVE file AS", 1).rstrip() + r""",
+numbered AS (SELECT file_id, table_name, ROW_NUMBER() OVER (PARTITION BY table_name ORDER BY instant, file_id) AS file_no, LAG(file_id) OVER (PARTITION BY table_name ORDER BY instant, file_id) AS prior_id FROM layout WHERE table_name IS NOT NULL AND instant IS NOT NULL),
+own AS (SELECT m.file_id, m.name, m.place, m.shown, f.table_name, f.file_no, f.prior_id FROM named m JOIN numbered f USING (file_id)),
+child AS (SELECT o.*, b.name AS prior_name FROM own o LEFT JOIN moved v ON v.file_id = o.file_id AND v.new_name = o.name LEFT JOIN named b ON b.file_id = o.prior_id AND b.name = COALESCE(v.old_name, o.name)),
+root AS (SELECT file_id, name, file_id AS root_file, name AS root_name FROM child WHERE prior_name IS NULL UNION ALL SELECT c.file_id, c.name, r.root_file, r.root_name FROM child c JOIN root r ON r.file_id = c.prior_id AND r.name = c.prior_name),
+first AS (SELECT file_id, name, table_name, ROW_NUMBER() OVER (PARTITION BY table_name, name ORDER BY file_no, place) AS n FROM child WHERE prior_name IS NULL),
+taken AS (SELECT table_name, regexp_replace(name, '_[0-9]+$', '') AS name, list(CAST(regexp_extract(name, '_([1-9][0-9]{0,8})$', 1) AS BIGINT)) AS taken FROM first WHERE n = 1 AND regexp_matches(name, '_[1-9][0-9]{0,8}$') GROUP BY ALL),
+col AS (SELECT f.file_id AS root_file, f.name AS root_name, f.table_name, CASE WHEN n = 1 THEN f.name ELSE f.name || '_' || CAST(list_filter(range(2, n + len(COALESCE(taken, [])) + 2), lambda k: NOT list_contains(COALESCE(taken, []), k))[n - 1] AS VARCHAR) END AS column_name
+  FROM first f LEFT JOIN taken t ON t.table_name = f.table_name AND t.name = f.name),
+typing AS (SELECT c.table_name, c.column_name, o.shown AS type, CASE WHEN o.shown LIKE 'decimal(%' THEN CAST(regexp_extract(o.shown, '\((\d+),', 1) AS INT) - CAST(regexp_extract(o.shown, ',(\d+)\)', 1) AS INT) WHEN o.shown = 'integer' THEN 10 WHEN o.shown = 'long' THEN 19 END AS whole,
+  CASE WHEN o.shown LIKE 'decimal(%' THEN CAST(regexp_extract(o.shown, ',(\d+)\)', 1) AS INT) WHEN o.shown IN ('integer', 'long') THEN 0 END AS fraction FROM own o JOIN root r USING (file_id, name) JOIN col c USING (root_file, root_name)),
+common AS (SELECT table_name, column_name, CASE WHEN COUNT(DISTINCT type) = 1 THEN ANY_VALUE(type) WHEN BOOL_AND(type IN ('integer', 'long')) THEN 'long' WHEN NOT BOOL_AND(type IN ('integer', 'long', 'double') OR type LIKE 'decimal(%') THEN 'string'
+  WHEN BOOL_OR(type = 'double') OR MAX(whole) + MAX(fraction) > 38 THEN 'double' ELSE 'decimal(' || CAST(MAX(whole) + MAX(fraction) AS VARCHAR) || ',' || CAST(MAX(fraction) AS VARCHAR) || ')' END AS data_type FROM typing GROUP BY ALL)
+"""
+SQL["p3_columns"] = f"{_COLUMN} SELECT * FROM common"
+SQL["p3_values"] = f"""{_COLUMN}
+SELECT c.table_name, t.file_id, t.line_no, c.column_name, CASE WHEN t.absent THEN NULL WHEN k.data_type = 'string' THEN CASE WHEN t.type IN ('integer', 'long', 'double') OR t.type LIKE 'decimal(%' THEN t.s ELSE t.v END
+  ELSE {_CANONICAL} END AS value
+FROM tried t JOIN verdict USING (file_id, line_no, line) JOIN named m ON m.file_id = t.file_id AND m.place = t.place JOIN root r ON r.file_id = t.file_id AND r.name = m.name JOIN col c USING (root_file, root_name)
+  JOIN common k ON k.table_name = c.table_name AND k.column_name = c.column_name WHERE rule_name IS NULL"""
