@@ -372,7 +372,7 @@ def jdbc_load(spark: SparkSession, folder: str) -> DataFrame:
 def jdbc_constraints(spark: SparkSession, folder: str) -> DataFrame:
     """The constraints that the database knows after the load."""
     of = "(SELECT t.tablename, c.type FROM sys.sysconstraints c JOIN sys.systables t ON c.tableid = t.tableid) k"
-    read = spark.read.jdbc(_loaded(spark, folder), of, properties=_DERBY)
+    read = jdbc.read_table(spark, _loaded(spark, folder), of, _DERBY)
     return read.groupBy(F.col("TABLENAME").alias("table_name"), F.trim("TYPE").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,5 +1,6 @@
 import dataclasses
 import datetime
+import decimal
 import io
 import zipfile
 from xml.etree import ElementTree as ET
@@ -261,6 +262,27 @@ def test_jdbc_load(spark, tmp_path):
     assert "CREATE SCHEMA extra;" in ran and "CREATE SCHEMA data_2020;" in ran and "ADD PRIMARY KEY" in ran
 
 
+def test_jdbc_in_process():
+    local = ("jdbc:derby:memory:x;create=true", "jdbc:derby:/a/b", "jdbc:h2:mem:x", "jdbc:h2:~/x", "jdbc:hsqldb:file:x", "jdbc:sqlite:x.db", "jdbc:duckdb:")
+    served = ("jdbc:derby://host:1527/x", "jdbc:h2:tcp://host/x", "jdbc:hsqldb:hsql://host/x", "jdbc:postgresql://host/x", "")
+    assert all(map(jdbc.in_process, local)) and not any(map(jdbc.in_process, served))
+
+
+def test_jdbc_rows_through_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdbc, "BATCH", 2)
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    url = f"jdbc:derby:memory:d{abs(hash(str(tmp_path)))};create=true"
+    schema = "id long, day date, at timestamp, amount decimal(12,2), share double, name string, content binary, flag boolean"
+    rows = [(k, datetime.date(2020, 1, 1 + k), datetime.datetime(2020, 1, 1, k, 30), decimal.Decimal(k) / 4, k / 4, f"\u00e4'{k}", bytearray([0, k]), k % 2 == 0) for k in range(7)] + [(7, *[None] * 7)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    jdbc.append_rows(df, url, "some_rows", driver, {"batchsize": "3"})
+    assert sorted(map(tuple, jdbc.read_table(spark, url, "some_rows", driver).collect())) == sorted(map(tuple, df.collect()))
+    jdbc.append_rows(df.limit(1), url, "some_rows", driver, {})
+    assert jdbc.read_table(spark, url, "(SELECT COUNT(*) AS n FROM some_rows) c", driver).first()[0] == 9
+    empty = jdbc.read_table(spark, url, "(SELECT * FROM some_rows WHERE 1 = 0) c", driver)
+    assert empty.count() == 0 and [c.lower() for c in empty.columns] == df.columns
+
+
 def test_sql_files(spark):
     df = spark.createDataFrame([(1, "odd"), (2, "even"), (3, "odd")], "value int, tag string")
     sql = "CREATE OR REPLACE TEMPORARY VIEW v AS SELECT * FROM tagged;\nSELECT value, value * value AS squared FROM v WHERE tag = '${tag}';\n-- COMMAND ----------\nSELECT * FROM nowhere"
