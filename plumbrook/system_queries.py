@@ -365,7 +365,7 @@ def _loaded(spark: SparkSession, folder: str) -> str:
 @query("SELECT r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def jdbc_load(spark: SparkSession, folder: str) -> DataFrame:
     """What a script after the load has summed up in the database."""
-    return spark.read.jdbc(_loaded(spark, folder), "log.sums", properties=_DERBY).select(F.col("R_NAME").alias("r_name"), F.col("N").alias("n"))
+    return jdbc.read_table(spark, _loaded(spark, folder), "log.sums", _DERBY).select(F.col("R_NAME").alias("r_name"), F.col("N").alias("n"))
 
 
 @query("SELECT 'SYSTEM_NATION' AS table_name, 'P' AS kind, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'SYSTEM_REGION', 'P', 1 UNION ALL SELECT 'SYSTEM_REGION', 'U', 1")

@@ -12,7 +12,7 @@ from sql_comparison import FOLDER, of_duckdb
 
 from plumbrook import queries
 
-NAMES = ["jdbc_constraints"]
+NAMES = ["jdbc_constraints", "jdbc_load"]
 
 
 @pytest.fixture(scope="module")
