@@ -834,7 +834,7 @@ def jdbc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         loader.write_table(rows, JdbcNation, TableName.of(JdbcNation), connection)
     finally:
         connection.close()
-    read = spark.read.jdbc(url, jdbc.qualified_name(TableName.of(JdbcNation), loader.schema), properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    read = jdbc.read_table(spark, url, jdbc.qualified_name(TableName.of(JdbcNation), loader.schema), {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     return read.select(F.col("id").alias("id"), F.col("name").alias("name"))
 
 

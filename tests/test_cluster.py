@@ -12,7 +12,7 @@ from sql_comparison import FOLDER, of_duckdb
 
 from plumbrook import queries
 
-NAMES = ["jdbc_constraints", "jdbc_load"]
+NAMES = ["jdbc_constraints", "jdbc_load", "jdbc_roundtrip"]
 
 
 @pytest.fixture(scope="module")
